@@ -149,13 +149,15 @@ def distances(texts: list[str], profiles: dict[str, list[str]], length: int = LE
 
 
 def train(docs: DataFrame, length: int = LENGTH, max_rows: int = 4_000) -> dict[str, list[str]]:
-    """Profiles by language, from at most ``max_rows`` labelled documents (smallest hash of the id first).
+    """Profiles by language, from the labelled documents of at most ``max_rows`` ids (smallest hash of the id first).
 
     Learns only from rows whose crc32(id) mod 3 is not 1. N-grams are counted
     on the executors; the driver gets the top ``length`` of each language.
     """
     marked = docs.where(F.col("lang").isNotNull() & ((crc_col() % 3) != 1))
-    chosen = marked.select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_rows)
+    # the sample is chosen by narrow rows; only then are its texts read
+    ids = marked.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = marked.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, texts = batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
