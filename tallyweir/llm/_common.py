@@ -143,11 +143,23 @@ def shared_counts(owned: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(*[F.sum(F.when(group == g, F.col("w")).otherwise(0)).alias(f"c{g}") for g in range(GROUPS)])
 
 
-def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+#: Ids up to this number are sent to all executors; beyond it they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def only_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is in ``ids`` (staged, one column ``id``, distinct)."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join((F.broadcast(ids) if few else ids).withColumnRenamed("id", column), column, "left_semi")
+
+
+def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Components of ids that share a bucket and pass ``verify``: (id, root), ids without a link left out.
 
-    ``buckets`` has (key, id, size), ids distinct within a key; ``verify`` takes
-    pairs (a, b) and returns those that are truly linked. First every member is
+    ``buckets`` has (key, id, size), ids distinct within a key; ``fetch`` takes
+    all ids that share a bucket and returns (id, text), the only time that texts
+    are looked up; ``verify`` takes pairs (a, b) and those texts and returns the
+    pairs that are truly linked. First every member is
     held against its bucket's smallest id, so a hot bucket costs one pair per
     member and is pre-aggregated before the exchange. After the union-find only
     pairs of one bucket whose members are still in different components are
@@ -160,18 +172,19 @@ def linked(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], element
     """
     leaders = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
     shared = stage(buckets.join(leaders, "key").select("key", "a", F.col("id").alias("b"), "size"), "buckets")
-    links = stage(verify(shared.where("a <> b").select("a", "b").distinct()), "links")
+    texts = stage(fetch(stage(shared.select(F.col("b").alias("id")).distinct(), "ids")), "texts")
+    links = stage(verify(shared.where("a <> b").select("a", "b").distinct(), texts), "links")
     first = stage(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "roots")
     held = stage(shared.join(first.withColumnRenamed("id", "b"), "b", "left").select("key", "a", "b", "size", F.coalesce("root", "b").alias("root")), "held")
     mixed = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     # the leader has met everyone; only other members can still be linked across components
     rest = stage(held.where("a <> b").join(mixed, "key").select("key", "b", "size", "root"), "rest")
-    counts = stage(shared_counts(stage(elements(rest.select(F.col("b").alias("id")).distinct()), "elements")), "counts")
+    counts = stage(shared_counts(stage(elements(only_ids(texts, "id", stage(rest.select(F.col("b").alias("id")).distinct(), "ids"))), "elements")), "counts")
     left = rest.join(counts.withColumnRenamed("id", "b"), "b")
     right = left.select("key", *[F.col(c).alias(f"{c}_2") for c in left.columns if c != "key"])
     bound = sum((F.least(f"c{g}", f"c{g}_2") for g in range(1, GROUPS)), F.least("c0", "c0_2"))
     across = left.join(right, "key").where((F.col("root") < F.col("root_2")) & ((100 + percent) * bound >= percent * (F.col("size") + F.col("size_2"))))
-    more = stage(verify(across.select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b")).distinct()), "links")
+    more = stage(verify(across.select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b")).distinct(), texts), "links")
     if more.isEmpty():
         return first
     return stage(components(links.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "roots")

@@ -23,13 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm._common import linked, stage
+from tallyweir.llm._common import linked, only_ids, stage
 from tallyweir.llm.quality import WHITE, let
 
 #: Bands of three minimum hashes. At a similarity of 0.8 a pair shares no band with a chance of 0.3 %, at 0.9 of 3e-5.
 BANDS, ROWS = 8, 3
-#: Ids of lines up to this number are sent to all executors; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 #: Second masks that turn one half of a hash into a further order of the elements.
 _MASKS = (0, 0x5BD1E995)
 
@@ -70,13 +68,6 @@ def _shingle_set(line: F.Column, shingle: int) -> F.Column:
     return let(F.encode(line, "UTF-32"), made)
 
 
-def _texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line) of the lines whose h1 is in ``ids``."""
-    few = ids.count() <= BROADCAST_IDS
-    wanted = lines.select(F.col("h1").alias("id"), "line").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return wanted.groupBy("id").agg(F.min("line").alias("line"))
-
-
 def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80) -> DataFrame:
     """(doc_id, row_key, pos) of every line that is not the first of its component."""
     lines = lines_of(docs)
@@ -87,18 +78,19 @@ def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80) -> DataF
     once = once.where(F.struct("doc_id", "row_key", "pos").eqNullSafe(F.col("at")))
     buckets = once.select(F.explode("keys").alias("key"), F.col("h1").alias("id"), F.col("n").cast("long").alias("size")).dropDuplicates(["key", "id"])
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs, "pairs")
-        texts = stage(_texts(lines, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "texts")
+    def fetch(ids: DataFrame) -> DataFrame:
+        return only_ids(lines.select("h1", "line"), "h1", ids).groupBy("h1").agg(F.min("line").alias("text")).toDF("id", "text")
+
+    def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
         sets = F.struct(_shingle_set(F.col("x"), shingle).alias("s"), _shingle_set(F.col("y"), shingle).alias("t"))
         good = let(sets, lambda p: let(F.size(F.array_intersect(p["s"], p["t"])), lambda n: 100 * n >= percent * (F.size(p["s"]) + F.size(p["t"]) - n)))
         return both.where(good).select("a", "b")
 
-    def elements(ids: DataFrame) -> DataFrame:
-        return _texts(lines, ids).select("id", _shingle_set(F.col("line"), shingle).alias("items"))
+    def elements(texts: DataFrame) -> DataFrame:
+        return texts.select("id", _shingle_set(F.col("text"), shingle).alias("items"))
 
-    roots = linked(buckets, confirmed, elements, percent)
+    roots = linked(buckets, fetch, confirmed, elements, percent)
     named = firsts.join(roots.withColumnRenamed("id", "h1"), "h1", "left").withColumn("g", F.coalesce("root", "h1"))
     keepers = named.where("root is not null").groupBy("g").agg(F.min("at").alias("keep"))
     decided = named.where("n_at > 1 or root is not null").join(keepers, "g", "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("keep", "at").alias("keep"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.llm._arrays import mix, word_shingles
-from tallyweir.llm._common import linked, map_arrow, stage
+from tallyweir.llm._common import linked, map_arrow, only_ids, stage
 
 #: Bands and rows in each. At a similarity of 0.85 a pair shares no band with a chance of 4e-7, at 0.8 of 5e-5.
 BANDS, ROWS = 25, 5
@@ -87,15 +87,12 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]), pa.int32()), pa.array(keys[sizes > 0].ravel(), pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), lists], names=["doc_id", "n", "f1", "f2", "keys"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>", "text", 1 << 20)
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>", "text", 1 << 19)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc ids whose full sets have 100 * intersection >= percent * union."""
-    pairs = stage(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose full sets have 100 * intersection >= percent * union; ``texts`` is (id, text)."""
+    both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         left, right = word_shingles(batch.column(2), shingle), word_shingles(batch.column(3), shingle)
@@ -106,12 +103,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
         keep = pa.array(good, pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return map_arrow(both.select("a", "b", "x", "y"), run, "a bigint, b bigint", "x", 1 << 20)
+    return map_arrow(both.select("a", "b", "x", "y"), run, "a bigint, b bigint", "x", 1 << 19)
 
 
-def shingle_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, items): the shingle sets of the documents named in ``ids``."""
-    texts = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, items): the shingle sets of (id, text)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = word_shingles(batch.column(1), shingle)
@@ -128,7 +124,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     classes = stage(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     lead = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     buckets = lead.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n").alias("size"))
-    roots = linked(buckets, lambda pairs: confirmed(pairs, docs, shingle, percent), lambda ids: shingle_sets(ids, docs, shingle), percent)
+
+    def fetch(ids: DataFrame) -> DataFrame:
+        return only_ids(docs.select("doc_id", "text"), "doc_id", ids).dropDuplicates(["doc_id"]).toDF("id", "text")
+
+    roots = linked(buckets, fetch, lambda pairs, texts: confirmed(pairs, texts, shingle, percent), lambda texts: shingle_sets(texts, shingle), percent)
     named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.col("n").alias("m"), F.coalesce("root", "rep").alias("component"))
     joined = marked.alias("d").join(named.alias("c"), (F.col("d.f1") == F.col("c.f1")) & (F.col("d.f2") == F.col("c.f2")) & (F.col("d.n") == F.col("c.m")) & (F.col("d.n") > 0), "left")
     component = F.when(F.col("d.n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
