@@ -12,6 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,7 +112,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     folder. Self-loops, repeated and null edges are ignored.
     """
     now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    now, before = stage(now, "edges"), None
+    now, before = hold(now), None
     for _ in range(rounds):
         count, mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if (count, mark) == before or count == 0:
@@ -147,8 +148,13 @@ def shared_counts(owned: DataFrame) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """``df`` kept by the executors for a few further reads; a lost executor's share is computed again from the tables below it."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def only_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column`` is in ``ids`` (staged, one column ``id``, distinct)."""
+    """The rows of ``df`` whose ``column`` is in ``ids`` (held, one column ``id``, distinct)."""
     few = ids.count() <= BROADCAST_IDS
     return df.join((F.broadcast(ids) if few else ids).withColumnRenamed("id", column), column, "left_semi")
 
@@ -172,14 +178,14 @@ def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     """
     leaders = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
     shared = stage(buckets.join(leaders, "key").select("key", "a", F.col("id").alias("b"), "size"), "buckets")
-    texts = stage(fetch(stage(shared.select(F.col("b").alias("id")).distinct(), "ids")), "texts")
+    texts = hold(fetch(hold(shared.select(F.col("b").alias("id")).distinct())))
     links = stage(verify(shared.where("a <> b").select("a", "b").distinct(), texts), "links")
     first = stage(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "roots")
-    held = stage(shared.join(first.withColumnRenamed("id", "b"), "b", "left").select("key", "a", "b", "size", F.coalesce("root", "b").alias("root")), "held")
+    held = hold(shared.join(first.withColumnRenamed("id", "b"), "b", "left").select("key", "a", "b", "size", F.coalesce("root", "b").alias("root")))
     mixed = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     # the leader has met everyone; only other members can still be linked across components
-    rest = stage(held.where("a <> b").join(mixed, "key").select("key", "b", "size", "root"), "rest")
-    counts = stage(shared_counts(stage(elements(only_ids(texts, "id", stage(rest.select(F.col("b").alias("id")).distinct(), "ids"))), "elements")), "counts")
+    rest = hold(held.where("a <> b").join(mixed, "key").select("key", "b", "size", "root"))
+    counts = hold(shared_counts(hold(elements(only_ids(texts, "id", hold(rest.select(F.col("b").alias("id")).distinct()))))))
     left = rest.join(counts.withColumnRenamed("id", "b"), "b")
     right = left.select("key", *[F.col(c).alias(f"{c}_2") for c in left.columns if c != "key"])
     bound = sum((F.least(f"c{g}", f"c{g}_2") for g in range(1, GROUPS)), F.least("c0", "c0_2"))
