@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm._common import linked, only_ids, stage
+from tallyweir.llm._common import hold, linked, only_ids, stage
 from tallyweir.llm.quality import WHITE, let
 
 #: Bands of three minimum hashes. At a similarity of 0.8 a pair shares no band with a chance of 0.3 %, at 0.9 of 3e-5.
@@ -43,10 +43,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, shingle: int) -> DataFrame:
-    """One row per line of ``lines``: its ids, number of shingles and band keys."""
+    """(h1, h2, n, keys) of every distinct line: ids, number of shingles and band keys."""
     wide = lines.withColumn("bytes", F.encode("line", "UTF-32")).withColumn("last", F.greatest(F.length("line") - shingle, F.lit(0)))
-    each = wide.select("doc_id", "row_key", "pos", "h1", "h2", "last", "bytes", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    hashed = each.select("doc_id", "row_key", "pos", "h1", "h2", "last", F.xxhash64(F.substring("bytes", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("s"))
+    each = wide.select("h1", "h2", "last", "bytes", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    hashed = each.select("h1", "h2", "last", F.xxhash64(F.substring("bytes", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("s"))
     low = F.lit(0xFFFFFFFF).cast("long")
     minima = []
     for j in range(BANDS * ROWS // 4):
@@ -55,9 +55,9 @@ def signatures(lines: DataFrame, shingle: int) -> DataFrame:
             minima += [F.min(half.bitwiseXOR(F.lit(mask).cast("long")) if mask else half) for mask in _MASKS]
     # the halves of one hash go to different bands
     order = [b + BANDS * r for b in range(BANDS) for r in range(ROWS)]
-    signed = hashed.groupBy("doc_id", "row_key", "pos", "h1", "h2", "last").agg(*[m.alias(f"m{i}") for i, m in enumerate(minima)])
+    signed = hashed.groupBy("h1", "h2", "last").agg(*[m.alias(f"m{i}") for i, m in enumerate(minima)])
     keys = [F.xxhash64(F.lit(b), *[f"m{order[b * ROWS + r]}" for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("doc_id", "row_key", "pos", "h1", "h2", (F.col("last") + 1).alias("n"), F.array(*keys).alias("keys"))
+    return signed.select("h1", "h2", (F.col("last") + 1).cast("long").alias("n"), F.array(*keys).alias("keys"))
 
 
 def _shingle_set(line: F.Column, shingle: int) -> F.Column:
@@ -71,12 +71,10 @@ def _shingle_set(line: F.Column, shingle: int) -> F.Column:
 def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80) -> DataFrame:
     """(doc_id, row_key, pos) of every line that is not the first of its component."""
     lines = lines_of(docs)
-    seen = stage(signatures(lines, shingle), "lines")
+    seen = stage(lines.select("doc_id", "row_key", "pos", "h1", "h2"), "lines")
     # one row per distinct line; hot lines are merged before the exchange
-    firsts = stage(seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row_key", "pos")).alias("at"), F.count("*").alias("n_at")), "firsts")
-    once = seen.join(firsts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "at"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
-    once = once.where(F.struct("doc_id", "row_key", "pos").eqNullSafe(F.col("at")))
-    buckets = once.select(F.explode("keys").alias("key"), F.col("h1").alias("id"), F.col("n").cast("long").alias("size")).dropDuplicates(["key", "id"])
+    firsts = hold(seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row_key", "pos")).alias("at"), F.count("*").alias("n_at")))
+    buckets = stage(signatures(lines, shingle), "signatures").select(F.explode("keys").alias("key"), F.col("h1").alias("id"), F.col("n").alias("size"))
 
     def fetch(ids: DataFrame) -> DataFrame:
         return only_ids(lines.select("h1", "line"), "h1", ids).groupBy("h1").agg(F.min("line").alias("text")).toDF("id", "text")
@@ -94,7 +92,7 @@ def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80) -> DataF
     named = firsts.join(roots.withColumnRenamed("id", "h1"), "h1", "left").withColumn("g", F.coalesce("root", "h1"))
     keepers = named.where("root is not null").groupBy("g").agg(F.min("at").alias("keep"))
     decided = named.where("n_at > 1 or root is not null").join(keepers, "g", "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("keep", "at").alias("keep"))
-    every = seen.select("doc_id", "row_key", "pos", "h1", "h2").join(decided, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    every = seen.join(decided, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     return every.where(~F.struct("doc_id", "row_key", "pos").eqNullSafe(F.col("keep"))).select("doc_id", "row_key", "pos").distinct()
 
 
