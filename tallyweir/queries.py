@@ -205,10 +205,10 @@ def rating_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH m AS (SELECT o_orderpriority AS label, date_trunc('month', o_orderdate)::DATE AS p, sum(o_totalprice) AS v FROM orders WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2),
     a AS (SELECT label, v, date_diff('month', p, (SELECT max(p) FROM m)) AS age FROM m),
     s AS (SELECT label, coalesce(sum(v) FILTER (age < 3), 0) / 3 AS r, coalesce(sum(v) FILTER (age BETWEEN 3 AND 8), 0) / 6 AS e FROM a GROUP BY 1)
-    SELECT label, round(r, 2) AS recent, round(e, 2) AS earlier, round((r - e) / nullif(abs(e), 0), 6) AS change FROM s
+    SELECT label, round(r, 4) AS recent, round(e, 4) AS earlier, round((r - e) / nullif(abs(e), 0), 6) AS change FROM s
 """)
 def segment_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(findings.segment_shift(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "o_orderpriority"), 2, "recent", "earlier"), 6, "change")
+    return rounded(rounded(findings.segment_shift(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "o_orderpriority"), 4, "recent", "earlier"), 6, "change")
 
 
 @query("""
