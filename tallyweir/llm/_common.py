@@ -133,7 +133,7 @@ GROUPS = 32
 
 
 def shared_counts(owned: DataFrame) -> DataFrame:
-    """(id, c0, c1, ...): how many elements of each set occur in another set too, by hash group.
+    """(id, size, c0, c1, ...): a set's size and how many of its elements occur in another set too, by hash group.
 
     ``owned`` is (id, items array<bigint>), items distinct.
     """
@@ -141,7 +141,7 @@ def shared_counts(owned: DataFrame) -> DataFrame:
     lonely = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").select("id", "s", F.lit(-1).alias("w"))
     both = rows.withColumn("w", F.lit(1)).unionByName(lonely)
     group = F.pmod("s", F.lit(GROUPS))
-    return both.groupBy("id").agg(*[F.sum(F.when(group == g, F.col("w")).otherwise(0)).alias(f"c{g}") for g in range(GROUPS)])
+    return both.groupBy("id").agg(F.count_if(F.col("w") > 0).alias("size"), *[F.sum(F.when(group == g, F.col("w")).otherwise(0)).alias(f"c{g}") for g in range(GROUPS)])
 
 
 #: Ids up to this number are sent to all executors; beyond it they are joined by a shuffle.
@@ -162,11 +162,12 @@ def only_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Components of ids that share a bucket and pass ``verify``: (id, root), ids without a link left out.
 
-    ``buckets`` has (key, id, size), ids distinct within a key; ``fetch`` takes
+    ``buckets`` has (key, id, weight), ids distinct within a key; ``fetch`` takes
     all ids that share a bucket and returns (id, text), the only time that texts
     are looked up; ``verify`` takes pairs (a, b) and those texts and returns the
     pairs that are truly linked. First every member is
-    held against its bucket's smallest id, so a hot bucket costs one pair per
+    held against its bucket's member of the largest weight (how often its text
+    occurs: an original rather than a changed copy), so a hot bucket costs one pair per
     member and is pre-aggregated before the exchange. After the union-find only
     pairs of one bucket whose members are still in different components are
     left: pairs inside a component cannot change it. Most of those are settled
@@ -176,21 +177,29 @@ def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     bound keeps the Jaccard index under ``percent`` are left out by the join;
     all others are verified, so no link between components is lost.
     """
-    leaders = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
-    shared = stage(buckets.join(leaders, "key").select("key", "a", F.col("id").alias("b"), "size"), "buckets")
-    texts = hold(fetch(hold(shared.select(F.col("b").alias("id")).distinct())))
-    links = stage(verify(shared.where("a <> b").select("a", "b").distinct(), texts), "links")
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(hold(df))
+        return held[-1]
+
+    leaders = buckets.groupBy("key").agg(F.max_by("id", "weight").alias("a"), F.min("id").alias("y"), F.max("id").alias("z")).where("y <> z").select("key", "a")
+    shared = stage(buckets.join(leaders, "key").select("key", "a", F.col("id").alias("b")), "buckets")
+    texts = keep(fetch(keep(shared.select(F.col("b").alias("id")).distinct())))
+    links = stage(verify(shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts), "links")
     first = stage(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "roots")
-    held = hold(shared.join(first.withColumnRenamed("id", "b"), "b", "left").select("key", "a", "b", "size", F.coalesce("root", "b").alias("root")))
-    mixed = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rooted = shared.join(first.withColumnRenamed("id", "b"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     # the leader has met everyone; only other members can still be linked across components
-    rest = hold(held.where("a <> b").join(mixed, "key").select("key", "b", "size", "root"))
-    counts = hold(shared_counts(hold(elements(only_ids(texts, "id", hold(rest.select(F.col("b").alias("id")).distinct()))))))
+    rest = stage(rooted.where("a <> b").join(mixed, "key").select("key", "b", "root"), "rest")
+    counts = stage(shared_counts(keep(elements(only_ids(texts, "id", keep(rest.select(F.col("b").alias("id")).distinct()))))), "counts")
     left = rest.join(counts.withColumnRenamed("id", "b"), "b")
     right = left.select("key", *[F.col(c).alias(f"{c}_2") for c in left.columns if c != "key"])
     bound = sum((F.least(f"c{g}", f"c{g}_2") for g in range(1, GROUPS)), F.least("c0", "c0_2"))
     across = left.join(right, "key").where((F.col("root") < F.col("root_2")) & ((100 + percent) * bound >= percent * (F.col("size") + F.col("size_2"))))
     more = stage(verify(across.select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b")).distinct(), texts), "links")
+    for df in held:
+        df.unpersist()
     if more.isEmpty():
         return first
     return stage(components(links.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "roots")

@@ -43,7 +43,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, shingle: int) -> DataFrame:
-    """(h1, h2, n, keys) of every distinct line: ids, number of shingles and band keys."""
+    """(h1, h2, weight, keys) of every distinct line: ids, occurrences and band keys."""
     wide = lines.withColumn("bytes", F.encode("line", "UTF-32")).withColumn("last", F.greatest(F.length("line") - shingle, F.lit(0)))
     each = wide.select("h1", "h2", "last", "bytes", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
     hashed = each.select("h1", "h2", "last", F.xxhash64(F.substring("bytes", F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("s"))
@@ -55,9 +55,9 @@ def signatures(lines: DataFrame, shingle: int) -> DataFrame:
             minima += [F.min(half.bitwiseXOR(F.lit(mask).cast("long")) if mask else half) for mask in _MASKS]
     # the halves of one hash go to different bands
     order = [b + BANDS * r for b in range(BANDS) for r in range(ROWS)]
-    signed = hashed.groupBy("h1", "h2", "last").agg(*[m.alias(f"m{i}") for i, m in enumerate(minima)])
+    signed = hashed.groupBy("h1", "h2", "last").agg(F.count("*").alias("weight"), *[m.alias(f"m{i}") for i, m in enumerate(minima)])
     keys = [F.xxhash64(F.lit(b), *[f"m{order[b * ROWS + r]}" for r in range(ROWS)]) for b in range(BANDS)]
-    return signed.select("h1", "h2", (F.col("last") + 1).cast("long").alias("n"), F.array(*keys).alias("keys"))
+    return signed.select("h1", "h2", F.expr("weight div (last + 1)").alias("weight"), F.array(*keys).alias("keys"))
 
 
 def _shingle_set(line: F.Column, shingle: int) -> F.Column:
@@ -74,7 +74,7 @@ def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80) -> DataF
     seen = stage(lines.select("doc_id", "row_key", "pos", "h1", "h2"), "lines")
     # one row per distinct line; hot lines are merged before the exchange
     firsts = hold(seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row_key", "pos")).alias("at"), F.count("*").alias("n_at")))
-    buckets = stage(signatures(lines, shingle), "signatures").select(F.explode("keys").alias("key"), F.col("h1").alias("id"), F.col("n").alias("size"))
+    buckets = stage(signatures(lines, shingle), "signatures").select(F.explode("keys").alias("key"), F.col("h1").alias("id"), "weight")
 
     def fetch(ids: DataFrame) -> DataFrame:
         return only_ids(lines.select("h1", "line"), "h1", ids).groupBy("h1").agg(F.min("line").alias("text")).toDF("id", "text")

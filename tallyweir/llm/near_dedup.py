@@ -121,9 +121,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     """(doc_id, n_shingles, component_id, kept) of every row: links are pairs with a Jaccard index of ``percent`` or more."""
     marked = stage(signed(docs, shingle, bands, rows), "signed")
     full = marked.where("n > 0 and doc_id is not null")
-    classes = stage(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    lead = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    buckets = lead.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n").alias("size"))
+    classes = stage(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "classes")
+    lead = full.join(classes.select(F.col("rep").alias("doc_id"), "weight"), "doc_id").dropDuplicates(["doc_id"])
+    buckets = lead.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "weight")
 
     def fetch(ids: DataFrame) -> DataFrame:
         return only_ids(docs.select("doc_id", "text"), "doc_id", ids).dropDuplicates(["doc_id"]).toDF("id", "text")
