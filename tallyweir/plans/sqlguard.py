@@ -87,8 +87,3 @@ def run(spark: SparkSession, sql: str, data: DataFrame, rows: int = MAX_ROWS, se
     finally:
         timer.cancel()
         context.setLocalProperty("spark.jobGroup.id", None)
-
-
-def fingerprint(rows: list[Row]) -> list[tuple[str, ...]]:
-    """A result as a multiset of rows, cells in any order; two results are the same if these are equal."""
-    return sorted(tuple(sorted(f"{c:.6g}" if isinstance(c, float) else str(c) for c in row)) for row in rows)

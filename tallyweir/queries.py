@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweir.operators import findings, forecast, periods
+from tallyweir.operators import findings, fitted, forecast, periods, recommend, roles
 from tallyweir.plans import sqlguard
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,7 +187,18 @@ def price_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made, 2, "volume", "price", "delta")
 
 
-@query(None)
+@query("""
+    WITH m AS (SELECT ts::DATE AS period, sum(value) AS v FROM events WHERE ts IS NOT NULL GROUP BY 1),
+    days AS (SELECT p::DATE AS d, coalesce(v, 0) AS y FROM (SELECT unnest(generate_series(min(period), max(period), INTERVAL 1 DAY)) AS p FROM m) LEFT JOIN m ON m.period = p::DATE),
+    w AS (SELECT d, y, isodow(d) AS wd, count(*) OVER () AS n, CASE WHEN count(y) OVER c >= 15 THEN quantile_cont(y, 0.5) OVER c END AS mid FROM days WINDOW c AS (ORDER BY d ROWS BETWEEN 14 PRECEDING AND 14 FOLLOWING)),
+    f AS (SELECT wd, median(y / mid) FILTER (mid > 0) AS f FROM w GROUP BY 1),
+    s AS (SELECT wd, coalesce(f / (SELECT avg(f) FROM f), 1) AS f FROM f),
+    e AS (SELECT d, y, greatest(mid * f, (SELECT 0.1 * median(y) FROM days WHERE y > 0)) AS expected FROM w JOIN s USING (wd) WHERE mid IS NOT NULL AND n >= 28),
+    r AS (SELECT *, (y - expected) / nullif(sqrt(expected), 0) AS res FROM e),
+    c AS (SELECT *, res - (SELECT median(res) FROM r) AS off FROM r),
+    z AS (SELECT *, 0.6745 * off / nullif((SELECT median(abs(off)) FROM c), 0) AS score FROM c)
+    SELECT d::VARCHAR AS "day", round(y, 4) AS y, round(expected, 4) AS expected, round(score, 4) AS score FROM z WHERE abs(score) > 6 AND abs(y - expected) >= 0.4 * expected ORDER BY abs(score) DESC, d LIMIT 2
+""")
 def daily_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(findings.daily_anomalies(table(spark, sf_dir, "events"), "ts", "value"), 4, "y", "expected", "score")
 
@@ -300,3 +311,104 @@ def guarded_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def shared_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT o_custkey AS label, round(sum(o_totalprice), 2) AS value, (SELECT round(sum(o_totalprice), 2) FROM orders) AS total, (SELECT count(DISTINCT o_custkey) FROM orders) AS entities FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 5")
+def entity_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(recommend.entity_shares(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice"), 2, "value", "total")
+
+
+@query("""
+    WITH e AS (SELECT max(o_orderdate)::DATE - 180 AS cut FROM orders),
+    g AS (SELECT o_custkey AS label, max(o_orderdate::DATE) AS last, count(*) AS n, count(*) FILTER (o_orderdate::DATE >= cut - 365 AND o_orderdate::DATE < cut) AS b,
+        sum(o_totalprice) FILTER (o_orderdate::DATE >= cut - 365 AND o_orderdate::DATE < cut) AS v, any_value(cut) AS cut FROM orders, e WHERE o_custkey IS NOT NULL GROUP BY 1)
+    SELECT label, round(coalesce(v, 0), 2) AS value FROM g WHERE last < cut AND n >= 2 AND b > 0
+""")
+def lapsed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(recommend.lapsed(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_totalprice"), 2, "value")
+
+
+@query("""
+    WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS p, sum(o_totalprice) AS t, count(DISTINCT o_orderdate::DATE) AS d FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
+    r AS (SELECT month(p)::INT AS month, avg(t / CASE WHEN (SELECT median(d) FROM m) <= 6 THEN d ELSE day(last_day(p)) END * 30.4) AS rate FROM m GROUP BY 1)
+    SELECT month, round(rate, 2) AS rate, round(rate / (SELECT avg(rate) FROM r), 6) AS index FROM r
+""")
+def season_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(recommend.season_index(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice"), 2, "rate"), 6, "index")
+
+
+@query("""
+    WITH m AS (SELECT o_orderdate::DATE AS period, sum(o_totalprice) AS v FROM orders WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1),
+    days AS (SELECT p::DATE AS d, coalesce(v, 0) AS y FROM (SELECT unnest(generate_series(min(period), max(period), INTERVAL 1 DAY)) AS p FROM m) LEFT JOIN m ON m.period = p::DATE),
+    w AS (SELECT d, y, avg(y) OVER (PARTITION BY date_trunc('week', d)) AS mean FROM days),
+    g AS (SELECT (isodow(d) - 1)::INT AS weekday, avg(y) AS m, avg((y > mean + 1e-6)::INT) AS above FROM w GROUP BY 1)
+    SELECT weekday, round(m / (SELECT avg(m) FROM g), 6) AS index, round(above, 6) AS above, (SELECT count(*) FROM days) AS days, round((SELECT avg((y > 0)::INT) FROM days), 6) AS active FROM g
+""")
+def weekday_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(recommend.weekday_index(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice"), 6, "index", "above", "active")
+
+
+@query("SELECT o_orderstatus AS label, round(sum(o_totalprice), 2) AS value, (SELECT round(sum(o_totalprice), 2) FROM orders WHERE o_orderstatus IS NOT NULL) AS total, '' AS kind FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1")
+def status_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(recommend.status_shares(table(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice"), 2, "value", "total")
+
+
+@query("SELECT count(*) FILTER (c_acctbal < 0) AS n, round(coalesce(sum(c_acctbal) FILTER (c_acctbal < 0), 0), 2) AS refunds, round(coalesce(sum(c_acctbal) FILTER (c_acctbal > 0), 0), 2) AS gross, round(-sum(c_acctbal) FILTER (c_acctbal < 0) / sum(c_acctbal) FILTER (c_acctbal > 0), 6) AS share FROM customer")
+def refund_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(recommend.refunds(table(spark, sf_dir, "customer"), "c_acctbal"), 2, "refunds", "gross"), 6, "share")
+
+
+@query("""
+    WITH d AS (SELECT p_brand AS label, l_shipdate AS t, l_extendedprice AS s, l_quantity AS f FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IS NOT NULL AND l_shipdate IN (SELECT DISTINCT l_shipdate FROM lineitem WHERE l_shipdate IS NOT NULL ORDER BY 1 DESC LIMIT 8)),
+    g AS (SELECT label, sum(s) FILTER (t = (SELECT max(t) FROM d)) AS stock, sum(f) / count(DISTINCT t) AS outflow FROM d GROUP BY 1)
+    SELECT label, round(stock, 2) AS stock, round(outflow, 4) AS outflow, round(stock / outflow, 4) AS cover FROM g WHERE stock IS NOT NULL AND outflow <> 0
+""")
+def stock_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rounded(rounded(recommend.stock_cover(joined, "l_shipdate", "p_brand", "l_extendedprice", "l_quantity"), 2, "stock"), 4, "outflow", "cover")
+
+
+def _columns_sql(*columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS name, round(100.0 * (count(*) - count({c})) / count(*), 1)::DOUBLE AS missing_pct, count(DISTINCT {c}) AS uniques FROM orders" for c in columns)
+
+
+@query(_columns_sql("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+def column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.role_table(table(spark, sf_dir, "orders")).select("name", "missing_pct", "uniques")
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3")
+def common_event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.common_values(table(spark, sf_dir, "events"), "event_type")
+
+
+@query(f"""
+    WITH {_MONTHS}, e AS (SELECT min(o_orderdate)::DATE AS lo, max(o_orderdate)::DATE AS hi FROM orders),
+    s AS (SELECT period, y, row_number() OVER (ORDER BY period DESC) AS i, lead(y) OVER (ORDER BY period DESC) AS b FROM series, e
+        WHERE NOT (day(lo) > 3 AND period = date_trunc('month', lo)) AND NOT (date_diff('day', hi, last_day(hi)) > 2 AND period = date_trunc('month', hi)))
+    SELECT 'rows' AS label, count(*)::DOUBLE AS value, NULL::DOUBLE AS delta_pct, NULL::VARCHAR AS note FROM orders
+    UNION ALL SELECT 'total', round(sum(o_totalprice), 2), NULL, NULL FROM orders
+    UNION ALL SELECT 'latest period', round(y, 2), round(100 * (y - b) / abs(b), 4), period::VARCHAR FROM s WHERE i = 1
+    UNION ALL (SELECT 'best period', round(y, 2), NULL, period::VARCHAR FROM s ORDER BY y DESC, period LIMIT 1)
+""")
+def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(roles.kpis(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderdate"), 2, "value"), 4, "delta_pct")
+
+
+@query(None)
+def column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.role_table(table(spark, sf_dir, "orders"))
+
+
+@query(None)
+def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    items = recommend.recommend(orders, roles.roles(orders))
+    return spark.createDataFrame([(i + 1, x.kind, round(x.score, 6), x.title, x.because) for i, x in enumerate(items)], "priority int, kind string, score double, title string, because string")
+
+
+@query(None)
+def forecast_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six months ahead for every order priority, all series in parallel."""
+    months = table(spark, sf_dir, "orders").where("o_orderdate is not null").groupBy(F.coalesce("o_orderpriority", F.lit("(blank)")).alias("series"), periods.bin_of(F.col("o_orderdate"), "MS").alias("period")).agg(F.sum("o_totalprice").alias("y"))
+    return fitted.forecasts(months, 6, "MS")
