@@ -247,12 +247,12 @@ def duplicate_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH d AS (SELECT ts::DATE AS d, event_type AS label, sum(value) AS v FROM events GROUP BY 1, 2)
-    SELECT '2024-01-15' AS "day", label, round(coalesce(sum(v) FILTER (d = DATE '2024-01-15'), 0) - coalesce(avg(v) FILTER (d <> DATE '2024-01-15'), 0), 2) AS excess
+    SELECT '2024-01-15' AS "day", label, round(coalesce(sum(v) FILTER (d = DATE '2024-01-15'), 0) - coalesce(avg(v) FILTER (d <> DATE '2024-01-15'), 0), 6) AS excess
     FROM d WHERE d BETWEEN DATE '2024-01-01' AND DATE '2024-01-29' GROUP BY 2
 """)
 def anomaly_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = spark.sql("select date'2024-01-15' as day")
-    return rounded(findings.range_attribution(table(spark, sf_dir, "events"), "ts", "value", "event_type", flagged), 2, "excess")
+    return rounded(findings.range_attribution(table(spark, sf_dir, "events"), "ts", "value", "event_type", flagged), 6, "excess")
 
 
 @query(f"""
