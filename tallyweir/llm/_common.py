@@ -144,6 +144,36 @@ def shared_counts(owned: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.count_if(F.col("w") > 0).alias("size"), *[F.sum(F.when(group == g, F.col("w")).otherwise(0)).alias(f"c{g}") for g in range(GROUPS)])
 
 
+def shared_most() -> F.Column:
+    """The most elements that two sets of :func:`shared_counts` can share."""
+    return sum((F.least(f"c{g}", f"c{g}_2") for g in range(1, GROUPS)), F.least("c0", "c0_2"))
+
+
+#: Words of 64 bits in a sketch.
+WORDS = 32
+
+
+def sketches(owned: DataFrame) -> DataFrame:
+    """(id, size, w0, w1, ..., bits): a set's size, a bit field in which each element sets one bit, and the number of bits set.
+
+    ``owned`` is as in :func:`shared_counts`. A set is one row, so it is folded
+    before the exchange.
+    """
+    bits = owned.select("id", F.explode("items").alias("s")).select("id", F.pmod("s", F.lit(WORDS)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 58) as int))").alias("bit"))
+    made = bits.groupBy("id").agg(F.count("*").alias("size"), *[F.coalesce(F.bit_or(F.when(F.col("w") == w, F.col("bit"))), F.lit(0)).cast("long").alias(f"w{w}") for w in range(WORDS)])
+    return made.withColumn("bits", F.expr(" + ".join(f"bit_count(w{w})" for w in range(WORDS))))
+
+
+def sketch_most() -> F.Column:
+    """The most elements that two sets of :func:`sketches` can share: a bit of one that the other lacks is an element of its own.
+
+    Close to the truth while sets are small against the number of bits, valid for all.
+    """
+    # one count of common bits a pair keeps the generated code of the join small
+    common = F.expr(" + ".join(f"bit_count(w{w} & w{w}_2)" for w in range(WORDS)))
+    return common + F.least(F.col("size") - F.col("bits"), F.col("size_2") - F.col("bits_2"))
+
+
 #: Ids up to this number are sent to all executors; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -159,7 +189,7 @@ def only_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join((F.broadcast(ids) if few else ids).withColumnRenamed("id", column), column, "left_semi")
 
 
-def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int, summary: Callable[[DataFrame], DataFrame] = shared_counts, most: Callable[[], F.Column] = shared_most) -> DataFrame:
     """Components of ids that share a bucket and pass ``verify``: (id, root), ids without a link left out.
 
     ``buckets`` has (key, id, weight), ids distinct within a key; ``fetch`` takes
@@ -171,11 +201,13 @@ def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     member and is pre-aggregated before the exchange. After the union-find only
     pairs of one bucket whose members are still in different components are
     left: pairs inside a component cannot change it. Most of those are settled
-    without being made: ``elements`` gives the sets of the ids left, and the
-    intersection of two sets is at most the sum, over hash groups, of the
-    smaller count of elements that occur in a further set. Pairs for which this
-    bound keeps the Jaccard index under ``percent`` are left out by the join;
-    all others are verified, so no link between components is lost.
+    without being made: ``elements`` gives the sets of the ids left, ``summary``
+    a short record of each, and ``most`` the largest intersection that two such
+    records (the second with suffix _2) allow. By default that is the sum, over
+    hash groups, of the smaller count of elements that occur in a further set.
+    Pairs for which this bound keeps the Jaccard index under ``percent`` are
+    left out by the join; all others are verified, so no link between
+    components is lost.
     """
     held: list[DataFrame] = []
 
@@ -192,11 +224,10 @@ def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify:
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     # the leader has met everyone; only other members can still be linked across components
     rest = stage(rooted.where("a <> b").join(mixed, "key").select("key", "b", "root"), "rest")
-    counts = stage(shared_counts(keep(elements(only_ids(texts, "id", keep(rest.select(F.col("b").alias("id")).distinct()))))), "counts")
+    counts = stage(summary(keep(elements(only_ids(texts, "id", keep(rest.select(F.col("b").alias("id")).distinct()))))), "counts")
     left = rest.join(counts.withColumnRenamed("id", "b"), "b")
     right = left.select("key", *[F.col(c).alias(f"{c}_2") for c in left.columns if c != "key"])
-    bound = sum((F.least(f"c{g}", f"c{g}_2") for g in range(1, GROUPS)), F.least("c0", "c0_2"))
-    across = left.join(right, "key").where((F.col("root") < F.col("root_2")) & ((100 + percent) * bound >= percent * (F.col("size") + F.col("size_2"))))
+    across = left.join(right, "key").where((F.col("root") < F.col("root_2")) & ((100 + percent) * most() >= percent * (F.col("size") + F.col("size_2"))))
     more = stage(verify(across.select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b")).distinct(), texts), "links")
     for df in held:
         df.unpersist()

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm._common import hold, linked, only_ids, stage
+from tallyweir.llm._common import hold, linked, only_ids, sketch_most, sketches, stage
 from tallyweir.llm.quality import WHITE, let
 
 #: Bands of three minimum hashes. At a similarity of 0.8 a pair shares no band with a chance of 0.3 %, at 0.9 of 3e-5.
@@ -88,7 +88,7 @@ def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80) -> DataF
     def elements(texts: DataFrame) -> DataFrame:
         return texts.select("id", _shingle_set(F.col("text"), shingle).alias("items"))
 
-    roots = linked(buckets, fetch, confirmed, elements, percent)
+    roots = linked(buckets, fetch, confirmed, elements, percent, sketches, sketch_most)
     named = firsts.join(roots.withColumnRenamed("id", "h1"), "h1", "left").withColumn("g", F.coalesce("root", "h1"))
     keepers = named.where("root is not null").groupBy("g").agg(F.min("at").alias("keep"))
     decided = named.where("n_at > 1 or root is not null").join(keepers, "g", "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("keep", "at").alias("keep"))
