@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tallyweir.llm import chat, langid, line_dedup, mixing, near_dedup, quality, queries, secrets, sentencepiece_codec, topk, toxicity
 
@@ -82,6 +83,21 @@ def test_quality(spark, odd, empty):
     assert quality.judge(empty).count() == 0 == quality.keep_good(empty).count()
 
 
+def test_quality_words(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names = ["aning", "ingor", "tionst", "ereth", "nthal", "blewo", "rontas", "shelim", "orvand", "elunt"]
+    bare = " ".join(f"{names[i % 10]}{names[i // 10 % 10]}{names[i * 7 % 9]}" for i in range(120))
+    piped = " ".join(f"{names[i % 10]}{names[i * 3 % 7]}{names[i // 11 % 10]} |" for i in range(90))
+    prose = {r.lang: r.text for r in docs.where("n_chars between 1500 and 2500 and lang in ('de', 'en', 'fr')").join(spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1"), "doc_id").orderBy(F.desc("doc_id")).collect()}
+    both = prose["de"][: len(prose["de"]) // 3] + "\n" + prose["en"]
+    rows = [(-1, bare, "en"), (-2, bare, "fr"), (-3, bare, None), (-4, piped, "en"), (-5, prose["en"], "en"), (-6, prose["de"], "de"), (-7, prose["de"], None), (-8, prose["fr"], "en"), (-9, both, "de"), (-10, bare, "fi")]
+    every = docs.union(spark.createDataFrame([(*r, "s", len(r[1])) for r in rows], DOCS))
+    got = {r.doc_id: r for r in quality.judge(every).where("doc_id < 0").collect()}
+    assert all(r.n_words >= quality.MIN_WORDS and not r.base_failed and r.class_distance < quality.CLASS_LIMIT for r in got.values())
+    assert {i: r.kept for i, r in got.items()} == {i: i < -4 for i in range(-10, 0)}
+    assert {r.doc_id for r in quality.keep_good(every).where("doc_id < 0").collect()} == set(range(-10, -4))
+
+
 def test_toxicity(spark, odd, empty):
     rows = [np.array(sorted({int(a), int(b), 50 + i % 7})) for i, (a, b) in enumerate(np.random.default_rng(0).integers(0, 2, (800, 2)) * [1, 2] + [10, 20])]
     labels = np.array([11 in r and 22 in r for r in rows], int)
