@@ -16,9 +16,10 @@ the pair, the top k of each pair at most; a window picks the k best of all.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components, or are not of the commonest length, or whose id is null, take no
-part; equal scores are ordered by smaller id; repeated rows count once, and a
-query leaves out all rows of its own id; an empty table gives an empty result;
-other columns are ignored.
+part; equal scores are ordered by smaller id; a query leaves out all rows of
+its own id; repeated rows are searched once and ranked separately, as in the
+SQL: each pair of a row of the query and a row of the neighbour takes a rank of
+its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -68,14 +69,15 @@ def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return left.astype(np.int64) @ right.astype(np.int64).T
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, reach: list[np.ndarray], cuts: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, rows: np.ndarray, ids: np.ndarray, times: np.ndarray, k: int, reach: list[np.ndarray], cuts: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per query the candidates of one group of annuli that may be among its k best.
 
-    ``cuts`` are the annuli's row ranges and ``reach[c]`` the highest score that
+    ``times`` says how often each row occurs, ``cuts`` are the annuli's row ranges and ``reach[c]`` the highest score that
     annulus c can hold for each query.
     """
     best_ids = [np.zeros(0, np.int64)] * len(queries)
     best = [np.zeros(0, np.int64)] * len(queries)
+    often = [np.zeros(0, np.int64)] * len(queries)
     floors = floors.copy()
     for c in sorted(range(len(cuts)), key=lambda c: -float(reach[c].max(initial=-np.inf))):
         active = np.flatnonzero(reach[c] >= floors)
@@ -89,16 +91,17 @@ def search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, rows:
                 continue
             found, who = np.append(best[q], scores[at][hit]), np.append(best_ids[q], ids[a:b][hit])
             order = np.lexsort((who, -found))[:k]
-            best[q], best_ids[q] = found[order], who[order]
+            best[q], best_ids[q], often[q] = found[order], who[order], np.append(often[q], times[a:b][hit])[order]
             if len(order) == k:
                 floors[q] = max(floors[q], found[order[-1]])
-    return [(np.full(len(best[q]), query_ids[q]), best_ids[q], best[q]) for q in range(len(queries))]
+    return [(np.full(len(best[q]), query_ids[q]), best_ids[q], best[q], often[q]) for q in range(len(queries))]
 
 
 def build_index(vectors: DataFrame, scale: int, pivots: int, block: int) -> tuple[DataFrame | None, np.ndarray, float, int]:
     """The index blocks as a staged table, the pivots, the largest squared norm and the number of components."""
-    every = stage(quantised(vectors, scale), "vectors")
-    sizes = every.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    # equal rows are one from here on: repeats would raise the thresholds and fill the k best
+    every = stage(quantised(vectors, scale).groupBy("vec_id", "v").agg(F.count("*").alias("times")), "vectors")
+    sizes = every.groupBy(F.size("v").alias("dim")).agg(F.sum("times").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
     if sizes is None:
         return None, np.zeros((0, 0)), 0.0, 0
     dim = int(sizes["dim"])
@@ -112,16 +115,16 @@ def build_index(vectors: DataFrame, scale: int, pivots: int, block: int) -> tupl
             lifted = _lifted(_matrix(batch.column(1), dim), top)
             away = _distances(lifted, chosen)
             near = away.argmin(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array(away[np.arange(len(near)), near])], names=["vec_id", "v", "pivot", "away"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(away[np.arange(len(near)), near])], names=["vec_id", "v", "times", "pivot", "away"])
 
-    rows = stage(arrow_map(good.select("vec_id", "v"), keyed, "vec_id bigint, v array<double>, pivot int, away double"), "keyed")
+    rows = stage(arrow_map(good.select("vec_id", "v", "times"), keyed, "vec_id bigint, v array<double>, times bigint, pivot int, away double"), "keyed")
     parts = max(1, -(-rows.count() // (16 * block)))
     ordered = rows.repartitionByRange(parts, "pivot", "away", "vec_id").sortWithinPartitions("pivot", "away", "vec_id")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, v = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
-            pivot, away = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            times, pivot, away = (batch.column(i).to_numpy() for i in (2, 3, 4))
             for a in range(0, len(ids), block):
                 b = min(a + block, len(ids))
                 edges = [a, *(a + 1 + np.flatnonzero(pivot[a + 1 : b] != pivot[a : b - 1])).tolist(), b]
@@ -130,15 +133,16 @@ def build_index(vectors: DataFrame, scale: int, pivots: int, block: int) -> tupl
                     [
                         pa.array([ids[a:b].astype("<i8").tobytes()], pa.binary()),
                         pa.array([v[a:b].astype("<f8").tobytes()], pa.binary()),
+                        pa.array([times[a:b].astype("<i8").tobytes()], pa.binary()),
                         pa.array([[x - a for x, _ in cuts] + [b - a]], pa.list_(pa.int32())),
                         pa.array([[int(pivot[x]) for x, _ in cuts]], pa.list_(pa.int32())),
                         pa.array([[float(away[x]) for x, _ in cuts]], pa.list_(pa.float64())),
                         pa.array([[float(away[y - 1]) for _, y in cuts]], pa.list_(pa.float64())),
                     ],
-                    names=["ids", "rows", "edges", "pivots", "near", "far"],
+                    names=["ids", "rows", "times", "edges", "pivots", "near", "far"],
                 )
 
-    blocks = arrow_map(ordered, packed, "ids binary, rows binary, edges array<int>, pivots array<int>, near array<double>, far array<double>")
+    blocks = arrow_map(ordered, packed, "ids binary, rows binary, times binary, edges array<int>, pivots array<int>, near array<double>, far array<double>")
     return stage(blocks, "blocks"), chosen, top, dim
 
 
@@ -159,16 +163,16 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, piv
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries in blocks, each with the k-th best score of its own index block."""
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
             parts = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["q_ids", "q_rows", "floors"])
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["q_ids", "q_rows", "q_times", "floors"])
 
         for batch in batches:
-            for ids, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<f8").reshape(-1, dim)
+            for ids, rows, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ids, rows, times = np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<f8").reshape(-1, dim), np.frombuffer(times, "<i8")
                 mine = np.flatnonzero(ids % every == 0)
                 if not len(mine):
                     continue
@@ -178,13 +182,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, piv
                     others = scores[at][ids != ids[m]]
                     if len(others) >= k:
                         floors[at] = np.partition(others, len(others) - k)[len(others) - k]
-                held.append((ids[mine], rows[mine].ravel(), floors))
+                held.append((ids[mine], rows[mine].ravel(), times[mine], floors))
                 if sum(len(h[0]) for h in held) >= QUERIES:
                     yield out()
         if held:
             yield out()
 
-    queries = stage(arrow_map(blocks.select("ids", "rows"), starts, "q_ids binary, q_rows binary, floors binary"), "queries")
+    queries = stage(arrow_map(blocks.select("ids", "rows", "times"), starts, "q_ids binary, q_rows binary, q_times binary, floors binary"), "queries")
     # a stated query set against all rows, block by block: each block of queries is dealt to every slice of the index
     slices = max(1, min(200, blocks.count()))
     index = blocks.withColumn("slice", F.pmod(F.xxhash64("ids"), F.lit(slices)))
@@ -202,11 +206,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, piv
                 for p, near, far in zip(row["pivots"], row["near"], row["far"], strict=True):
                     gap = np.maximum(0.0, np.maximum(to_pivots[:, p] - far, near - to_pivots[:, p]) - 1e-6 * (1 + far))
                     reach.append((norms + top - gap * gap) / 2 + 0.5)
-                found = search(q, q_ids, floors, rows, np.frombuffer(row["ids"], "<i8"), k, reach, list(zip(edges[:-1], edges[1:], strict=True)))
+                found = search(q, q_ids, floors, rows, np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["times"], "<i8"), k, reach, list(zip(edges[:-1], edges[1:], strict=True)))
+                found = [(*f[:3], np.minimum(k, f[3] * n)) for f, n in zip(found, np.frombuffer(row["q_times"], "<i8"), strict=True)]
                 parts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in parts], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in parts], names=["query_id", "vec_id", "score", "times"])
 
     pairs = asked.join(index, "slice").drop("slice")
-    scored = arrow_map(pairs, probe, "query_id bigint, vec_id bigint, score bigint")
+    scored = arrow_map(pairs, probe, "query_id bigint, vec_id bigint, score bigint, times bigint")
+    each = scored.select("query_id", "vec_id", "score", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
