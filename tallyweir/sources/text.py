@@ -1,4 +1,4 @@
-"""Delimited text: format, encoding and delimiter sniffing on the head, then a Spark CSV scan."""
+"""Delimited text: encoding over all bytes, format and delimiter sniffing on the head, then a Spark CSV scan."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEAD = 64 * 1024
+#: Characters of Windows-1252 by the Latin-1 character of the same byte, where they differ.
+WINDOWS = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
 def read_head(spark: SparkSession, path: str, size: int = HEAD) -> bytes:
@@ -22,21 +24,18 @@ def read_head(spark: SparkSession, path: str, size: int = HEAD) -> bytes:
         stream.close()
 
 
-def encoding_of(head: bytes) -> str:
-    """UTF-16 by its mark, else UTF-8, Windows-1252 or Latin-1, whichever decodes."""
+def encoding_of(spark: SparkSession, path: str, head: bytes) -> str:
+    """UTF-16 by its mark, else UTF-8, Windows-1252 or Latin-1, whichever decodes the whole file.
+
+    One pass over the file's lines as bytes; a line end is never part of a longer UTF-8 character.
+    """
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return "UTF-16"
-    try:
-        head.decode("utf-8")
+    undefined = F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike(r"[\x81\x8D\x8F\x90\x9D]")
+    found = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(undefined).alias("undefined")).first()
+    if found["utf8"] is not False:
         return "UTF-8"
-    except UnicodeDecodeError as error:
-        if error.start >= len(head) - 3:
-            return "UTF-8"
-    try:
-        head.decode("cp1252")
-        return "windows-1252"
-    except UnicodeDecodeError:
-        return "ISO-8859-1"
+    return "ISO-8859-1" if found["undefined"] else "windows-1252"
 
 
 def delimiter_of(text: str) -> str:
@@ -76,14 +75,18 @@ def slugs(names: list[str]) -> list[str]:
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, under clean names; short rows are padded, all-null rows and columns dropped."""
     head = read_head(spark, path)
-    encoding = encoding_of(head)
+    encoding = encoding_of(spark, path, head)
     text = head.decode({"windows-1252": "cp1252", "ISO-8859-1": "latin-1"}.get(encoding, encoding), "ignore").lstrip("﻿")
     check_table(head, text)
     sep = delimiter_of(text)
     header = next(csv.reader(text.splitlines(), delimiter=sep))
     if len(text.splitlines()) < 2:
         raise ValueError("the file has a header only")
-    df = spark.read.csv(path, sep=sep, encoding=encoding, header=True, multiLine=True, escape='"', enforceSchema=True)
+    # Spark's reader does not take Windows-1252: read as Latin-1, byte for byte, and translated
+    windows = encoding == "windows-1252"
+    df = spark.read.csv(path, sep=sep, encoding="ISO-8859-1" if windows else encoding, header=True, multiLine=True, escape='"', enforceSchema=True)
     df = df.toDF(*slugs(header)[: len(df.columns)]).na.drop(how="all")
+    if windows:
+        df = df.select(*[F.translate(f"`{c}`", "".join(WINDOWS), "".join(WINDOWS.values())).alias(c) for c in df.columns])
     filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
     return df.select(*[F.col(f"`{c}`") for c in df.columns if filled[c]])

@@ -77,3 +77,20 @@ def test_csv(spark, tmp_path):
     file.write_bytes(b"%PDF-1.4 x")
     with pytest.raises(ValueError):
         text.read_table(spark, f"file://{file}")
+
+
+@pytest.mark.parametrize(("late", "coding"), [("Café – €5", "cp1252"), ("Café – €5", "utf-8"), ("Caf\xe9 \x81", "latin-1")])
+def test_csv_encoding_after_head(spark, tmp_path, late, coding):
+    file = tmp_path / "late.csv"
+    rows = [*[f"{i},plain row" for i in range(8_000)], f"8000,{late}"]
+    file.write_bytes("\n".join(["id,name", *rows, ""]).encode(coding))
+    assert file.read_bytes()[: text.HEAD].isascii()
+    df = text.read_table(spark, f"file://{file}")
+    assert df.count() == 8_001 and [r.name for r in df.where("id = '8000'").collect()] == [late]
+
+
+def test_csv_encoding_across_head(spark, tmp_path):
+    file = tmp_path / "edge.csv"
+    start = "id,name\n1,"
+    file.write_bytes((start + "x" * (text.HEAD - len(start) - 1) + "é\n2,ü\n").encode())
+    assert [r.name[-1] for r in text.read_table(spark, f"file://{file}").collect()] == ["é", "ü"]
