@@ -48,7 +48,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", encode),
 ]
 
-#: SQL cannot train references, merge ranks or decode; the pipeline is tested against plain Python.
+#: SQL cannot train references, merge ranks or decode. The pipeline's rows are not compared with plain Python: its test
+#: looks at the columns, at whether each stage keeps rows and at the last stage's count.
 ORACLE_SQL = None
 
 
