@@ -57,6 +57,37 @@ def stage(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables staged for the steps of one operator, deleted together once its result is staged outside.
+
+    Nothing that is still to be computed may read from it: a lost executor's
+    share would be computed again from tables that are gone.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.held: list[DataFrame] = []
+
+    def stage(self, df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """``df`` kept by the executors for a few further reads; a lost executor's share is computed again from the tables below it."""
+        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.held[-1]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        for df in self.held:
+            df.unpersist()
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 
@@ -103,29 +134,32 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return arrow_map(df, run, schema)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, place: Scratch | None = None) -> DataFrame:
     """Connected components of ``edges`` (long columns src, dst): distributed union-find.
 
     Alternates the large-star and small-star contractions until no edge changes
     and returns (id, root) with ``root`` the smallest id of the component; ids
     without an edge do not appear. All state stays in tables of the shared
-    folder. Self-loops, repeated and null edges are ignored.
+    folder, of which only the result is left (in ``place``, if given).
+    Self-loops, repeated and null edges are ignored.
     """
-    now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    now, before = hold(now), None
-    for _ in range(rounds):
-        count, mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if (count, mark) == before or count == 0:
-            break
-        before = (count, mark)
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = stage(small.where("u <> v").distinct(), "edges", max(1, math.ceil(count / 500_000)))
-    roots = now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(roots)
+    with Scratch(edges.sparkSession, "union-find") as scratch:
+        now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+        now, before = scratch.stage(now, "edges"), None
+        while True:
+            count, mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+            if (count, mark) == before or count == 0:
+                break
+            before = (count, mark)
+            both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+            now = scratch.stage(small.where("u <> v").distinct(), "edges", max(1, math.ceil(count / 500_000)))
+        roots = now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
+        keep = place.stage if place else stage
+        return keep(now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(roots), "roots", max(1, math.ceil(count / 500_000)))
 
 
 #: Hash groups of elements by which an intersection is bounded.
@@ -178,59 +212,75 @@ def sketch_most() -> F.Column:
 BROADCAST_IDS = 1_000_000
 
 
-def hold(df: DataFrame) -> DataFrame:
-    """``df`` kept by the executors for a few further reads; a lost executor's share is computed again from the tables below it."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def only_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column`` is in ``ids`` (held, one column ``id``, distinct)."""
-    few = ids.count() <= BROADCAST_IDS
-    return df.join((F.broadcast(ids) if few else ids).withColumnRenamed("id", column), column, "left_semi")
-
-
-def linked(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], percent: int, summary: Callable[[DataFrame], DataFrame] = shared_counts, most: Callable[[], F.Column] = shared_most) -> DataFrame:
-    """Components of ids that share a bucket and pass ``verify``: (id, root), ids without a link left out.
-
-    ``buckets`` has (key, id, weight), ids distinct within a key; ``fetch`` takes
-    all ids that share a bucket and returns (id, text), the only time that texts
-    are looked up; ``verify`` takes pairs (a, b) and those texts and returns the
-    pairs that are truly linked. First every member is
-    held against its bucket's member of the largest weight (how often its text
-    occurs: an original rather than a changed copy), so a hot bucket costs one pair per
-    member and is pre-aggregated before the exchange. After the union-find only
-    pairs of one bucket whose members are still in different components are
-    left: pairs inside a component cannot change it. Most of those are settled
-    without being made: ``elements`` gives the sets of the ids left, ``summary``
-    a short record of each, and ``most`` the largest intersection that two such
-    records (the second with suffix _2) allow. By default that is the sum, over
-    hash groups, of the smaller count of elements that occur in a further set.
-    Pairs for which this bound keeps the Jaccard index under ``percent`` are
-    left out by the join; all others are verified, so no link between
-    components is lost.
+def if_few(rows: DataFrame) -> DataFrame:
+    """``rows`` (staged or held, a few short columns), marked for broadcast if a count shows that there are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+#: Members of a bucket that meet in one cell of its pairs.
+CELL = 512
+
+
+def linked(
+    sets: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame, DataFrame], DataFrame],
+    elements: Callable[[DataFrame], DataFrame],
+    percent: int,
+    summary: Callable[[DataFrame], DataFrame] = shared_counts,
+    most: Callable[[], F.Column] = shared_most,
+) -> DataFrame:
+    """Components of sets that share a band key and pass ``verify``: (id, root), staged, ids without a link left out.
+
+    ``sets`` is a staged table (id, weight, keys), ids unique, keys one per band;
+    ``fetch`` takes all ids that share a key and returns (id, text), the only
+    time that texts are looked up; ``verify`` takes pairs (a, b) and those texts
+    and returns the pairs that are truly linked. First every member is held
+    against its bucket's member of the largest weight (how often its text
+    occurs: an original rather than a changed copy), so a hot bucket costs one
+    pair per member and is pre-aggregated before the exchange. After the
+    union-find only pairs of one bucket whose members are still in different
+    components are left: pairs inside a component cannot change it. A bucket's
+    pairs are dealt to cells of at most about CELL by CELL members, each pair is
+    met in the first band that its members share, and most pairs are settled by
+    a bound alone: ``elements`` gives the sets of the ids left, ``summary`` a
+    short record of each, and ``most`` the largest intersection that two such
+    records (the second with suffix _2) allow. Pairs for which this keeps the
+    Jaccard index under ``percent`` are left out by the join; all others are
+    verified, so no link between components is lost. The links found then join
+    the components of before.
     """
-    held: list[DataFrame] = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        held.append(hold(df))
-        return held[-1]
-
-    leaders = buckets.groupBy("key").agg(F.max_by("id", "weight").alias("a"), F.min("id").alias("y"), F.max("id").alias("z")).where("y <> z").select("key", "a")
-    shared = stage(buckets.join(leaders, "key").select("key", "a", F.col("id").alias("b")), "buckets")
-    texts = keep(fetch(keep(shared.select(F.col("b").alias("id")).distinct())))
-    links = stage(verify(shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts), "links")
-    first = stage(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "roots")
-    rooted = shared.join(first.withColumnRenamed("id", "b"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    # the leader has met everyone; only other members can still be linked across components
-    rest = stage(rooted.where("a <> b").join(mixed, "key").select("key", "b", "root"), "rest")
-    counts = stage(summary(keep(elements(only_ids(texts, "id", keep(rest.select(F.col("b").alias("id")).distinct()))))), "counts")
-    left = rest.join(counts.withColumnRenamed("id", "b"), "b")
-    right = left.select("key", *[F.col(c).alias(f"{c}_2") for c in left.columns if c != "key"])
-    across = left.join(right, "key").where((F.col("root") < F.col("root_2")) & ((100 + percent) * most() >= percent * (F.col("size") + F.col("size_2"))))
-    more = stage(verify(across.select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b")).distinct(), texts), "links")
-    for df in held:
-        df.unpersist()
-    if more.isEmpty():
-        return first
-    return stage(components(links.union(more).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "roots")
+    with Scratch(sets.sparkSession, "linked") as scratch:
+        keyed = sets.select("id", "weight", F.posexplode("keys").alias("band", "key"))
+        leaders = keyed.groupBy("key").agg(F.max_by("id", "weight").alias("a"), F.min("id").alias("y"), F.max("id").alias("z")).where("y <> z").select("key", "a")
+        shared = scratch.stage(keyed.join(leaders, "key").select("key", "band", "a", F.col("id").alias("b")), "buckets")
+        texts = scratch.hold(fetch(scratch.hold(shared.select(F.col("b").alias("id")).distinct())))
+        pairs = shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = verify(pairs, texts)
+        first = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
+        rooted = shared.join(first.withColumnRenamed("id", "b"), "b", "left").select("key", "band", "a", "b", F.coalesce("root", "b").alias("root"))
+        # the leader has met everyone; only other members can still be linked across components
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.expr(f"(n + {CELL - 1}) div {CELL}").alias("cells"))
+        rest = scratch.stage(rooted.where("a <> b").join(mixed, "key").select("key", "band", "cells", "b", "root"), "rest")
+        ids = scratch.hold(rest.select(F.col("b").alias("id")).distinct())
+        few = if_few(ids)
+        records = summary(scratch.hold(elements(texts.join(few, "id", "left_semi"))))
+        counts = scratch.stage(records.join(sets.join(few, "id", "left_semi").select("id", "keys"), "id"), "counts")
+        each = rest.join(counts.withColumnRenamed("id", "b"), "b").withColumn("cell", F.pmod(F.xxhash64("b"), F.col("cells")))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+        left = each.withColumn("row", F.col("cell")).withColumn("column", other).drop("cell", "cells")
+        right = each.withColumn("column", F.col("cell")).withColumn("row", other).drop("cell", "cells", "band")
+        cell = ["key", "row", "column"]
+        right = right.select(*cell, *[F.col(c).alias(f"{c}_2") for c in right.columns if c not in cell])
+        # the lambda also keeps the join out of whole-stage code: the one method it would make is too long to be compiled
+        new = F.forall(F.sequence(F.lit(0), F.col("band")), lambda i: (i == F.col("band")) | (F.get("keys", i) != F.get("keys_2", i)))
+        bound = (100 + percent) * most() >= percent * (F.col("size") + F.col("size_2"))
+        across = left.join(right, cell).where((F.col("root") < F.col("root_2")) & bound & new)
+        across = across.select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b"), F.col("root").alias("x"), F.col("root_2").alias("y"))
+        across = scratch.stage(across, "across")
+        more = scratch.stage(verify(across.select("a", "b"), texts).join(across, ["a", "b"]).select(F.col("x").alias("src"), F.col("y").alias("dst")), "more")
+        if more.isEmpty():
+            return stage(first, "roots")
+        second = components(more, scratch)
+        moved = first.join(second.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+        return stage(moved.union(second).distinct(), "roots")

@@ -13,10 +13,11 @@ groups classes; see ``linked`` for how hot buckets stay linear.
 
 Defined results: null or empty texts have an empty set and are linked with
 nothing; a text shorter than a shingle is one shingle; repeated rows and copies
-share a class; texts of any length are read whole; an empty table stays empty;
-extra columns are ignored, whatever their names; a null doc_id takes part like
-any other row when another row shares its set, and never becomes a component's
-name unless alone.
+share a class, and so do different texts of one id only if their sets are equal;
+texts of any length are read whole; an empty table stays empty; extra columns
+are ignored, whatever their names (``keep_first`` carries them along and raises
+ValueError for t1 and t2, which it makes); rows with a null doc_id are linked
+like all others, but name a component only if no row of it has an id.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.llm._arrays import mix, word_shingles
-from tallyweir.llm._common import linked, map_arrow, only_ids, stage
+from tallyweir.llm._common import Scratch, if_few, linked, map_arrow, stage
 
 #: Bands and rows in each. At a similarity of 0.85 a pair shares no band with a chance of 4e-7, at 0.8 of 5e-5.
 BANDS, ROWS = 25, 5
@@ -76,18 +77,24 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, f1, f2, keys): set size, 128-bit set fingerprint and band keys; no keys for an empty set."""
+    """(doc_id, t1, t2, n, f1, f2, keys): text fingerprint, set size, set fingerprint and band keys (none for an empty set)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = word_shingles(batch.column(1), shingle)
+        sets = word_shingles(batch.column(3), shingle)
         sizes = np.array([len(s) for s in sets], np.int64)
         keys = band_keys(superminhash(sets, bands * rows), bands, rows)
         prints = [(int(mix(s).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(1))))) for s in sets]
         marks = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]), pa.int32()), pa.array(keys[sizes > 0].ravel(), pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), lists], names=["doc_id", "n", "f1", "f2", "keys"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), lists], names=["doc_id", "t1", "t2", "n", "f1", "f2", "keys"])
+
+    schema = "doc_id bigint, t1 bigint, t2 bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>"
+    return map_arrow(_printed(docs).select("doc_id", "t1", "t2", "text"), run, schema, "text", 1 << 19)
+
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>", "text", 1 << 19)
+def _printed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the 128-bit fingerprint (t1, t2) of the text."""
+    return docs.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), "text"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -117,25 +124,57 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return map_arrow(texts, run, "id bigint, items array<bigint>", "text", 1 << 20)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row: links are pairs with a Jaccard index of ``percent`` or more."""
-    marked = stage(signed(docs, shingle, bands, rows), "signed")
-    full = marked.where("n > 0 and doc_id is not null")
-    classes = stage(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight")), "classes")
-    lead = full.join(classes.select(F.col("rep").alias("doc_id"), "weight"), "doc_id").dropDuplicates(["doc_id"])
-    buckets = lead.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "weight")
+def _labelled(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, t1, t2, n, class, group, component) of every row, staged: its set's number, group number and the group's smallest doc_id."""
+    with Scratch(docs.sparkSession, "near-dedup") as scratch:
+        marked = scratch.stage(signed(docs, shingle, bands, rows), "signed")
+        # equal sets have equal keys; t1 and t2 are those of one text of the class
+        found = marked.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("t1").alias("t1"), F.min_by("t2", "t1").alias("t2"), F.min("doc_id").alias("rep"), F.count("*").alias("weight"), *[F.max(F.col("keys")[i]).alias(f"k{i}") for i in range(bands)])
+        classes = scratch.stage(found.select("f1", "f2", "n", "t1", "t2", "rep", "weight", F.array(*[f"k{i}" for i in range(bands)]).alias("keys")).withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    def fetch(ids: DataFrame) -> DataFrame:
-        return only_ids(docs.select("doc_id", "text"), "doc_id", ids).dropDuplicates(["doc_id"]).toDF("id", "text")
+        def fetch(ids: DataFrame) -> DataFrame:
+            wanted = scratch.stage(classes.join(if_few(ids), "id", "left_semi").select("id", "t1", "t2"), "wanted")
+            return _printed(docs.select("text")).join(if_few(wanted), ["t1", "t2"]).dropDuplicates(["id"]).select("id", "text")
 
-    roots = linked(buckets, fetch, lambda pairs, texts: confirmed(pairs, texts, shingle, percent), lambda texts: shingle_sets(texts, shingle), percent)
-    named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", F.col("n").alias("m"), F.coalesce("root", "rep").alias("component"))
-    joined = marked.alias("d").join(named.alias("c"), (F.col("d.f1") == F.col("c.f1")) & (F.col("d.f2") == F.col("c.f2")) & (F.col("d.n") == F.col("c.m")) & (F.col("d.n") > 0), "left")
-    component = F.when(F.col("d.n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("d.n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        roots = linked(classes.select("id", "weight", "keys"), fetch, lambda pairs, texts: confirmed(pairs, texts, shingle, percent), lambda texts: shingle_sets(texts, shingle), percent)
+        rooted = classes.join(if_few(roots), "id", "left").select("f1", "f2", F.col("n").alias("m"), "rep", "id", F.coalesce("root", "id").alias("group"))
+        groups = rooted.groupBy("group").agg(F.min("rep").alias("component"))
+        named = scratch.stage(rooted.join(groups, "group").drop("rep"), "named")
+        joined = marked.alias("d").join(named.alias("c"), (F.col("d.f1") == F.col("c.f1")) & (F.col("d.f2") == F.col("c.f2")) & (F.col("d.n") == F.col("c.m")) & (F.col("d.n") > 0), "left")
+        component = F.when(F.col("d.n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+        return stage(joined.select("doc_id", "t1", "t2", F.col("d.n").alias("n"), "group", component.alias("component")), "labelled")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row: links are pairs with a Jaccard index of ``percent`` or more."""
+    found = _labelled(docs, shingle, percent, bands, rows)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one whose id names the component."""
-    kept = near_duplicates(docs, shingle, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """``docs`` with one row of each group: the smallest doc_id, then the smallest text fingerprint; a null id comes last.
+
+    Rows with an empty set are in no group and stay. Of repeated rows of one id
+    and text one stays, whichever in columns other than those two.
+    """
+    clash = {"t1", "t2"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are made here")
+    key = ["doc_id", "t1", "t2"]
+    found = _labelled(docs, shingle, percent, BANDS, ROWS).where("n > 0")
+    rows = found.groupBy("group", *key).agg(F.count("*").alias("times"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), *key)
+    keepers = rows.groupBy("group").agg(F.min(order).alias("keep"))
+    judged = rows.join(keepers, "group").withColumn("kept", order.eqNullSafe(F.col("keep")))
+    # rows of one id and text share a set and so a group; every row of a kept key but one goes below
+    touched = stage(judged.where("not kept or times > 1").select(*[F.col(c).alias(f"{c}_x") for c in key], "kept"), "touched")
+
+    def matched(part: DataFrame, how: str) -> DataFrame:
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_x")) if c == "doc_id" else F.col(c) == F.col(f"{c}_x") for c in key]
+        return _printed(docs).join(if_few(part), same[0] & same[1] & same[2], how)
+
+    single = matched(touched, "left_anti").select(*docs.columns)
+    again = touched.where("kept")
+    if again.isEmpty():
+        return single
+    return single.union(matched(again, "left_semi").dropDuplicates(key).select(*docs.columns))
