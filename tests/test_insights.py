@@ -130,15 +130,58 @@ def test_forecast_coverage():
     assert np.mean(inside) >= 0.85
 
 
+def test_intervals_against_plain_loops():
+    rng = np.random.default_rng(3)
+    for folds, steps in ((1, 1), (2, 2), (2, 6), (5, 12), (4, 3)):
+        e = rng.normal(0, 1, (folds, steps)) * np.arange(1, steps + 1) ** 0.4
+
+        def law(e):
+            h = np.arange(1, e.shape[1] + 1)
+            b = fitted.GROWTH_PRIOR
+            if e.shape[1] >= 3 and len(e) >= 2:
+                b = fitted.GROWTH_WEIGHT * min(0.6, max(0.0, np.polyfit(np.log(h), np.log(np.sqrt((e**2).mean(0))), 1)[0])) + (1 - fitted.GROWTH_WEIGHT) * b
+            c = np.sqrt((e**2 / h ** (2 * b)).mean())
+            z = sorted(np.abs(e / (c * h**b)).ravel())
+            q = [z[min(len(z), int(np.ceil((len(z) + 1) * p))) - 1] for p in (0.8, 0.95)]
+            q[1], w = max(q[1], q[0] * fitted.Z95 / fitted.Z80), min(1, len(z) / 16)
+            return c, b, *((w * x + (1 - w) * z0) * (1 + fitted.WIDENING / len(e)) for x, z0 in zip(q, (fitted.Z80, fitted.Z95), strict=True))
+
+        assert np.allclose(fitted.spread_of(e), law(e))
+        if folds > 1:
+            h, hits = np.arange(1, steps + 1), []
+            for i in range(folds):
+                c, b, *qs = law(np.delete(e, i, 0))
+                hits.append([(np.abs(e[i]) <= q * c * h**b).mean() for q in qs])
+            assert np.allclose(fitted.coverage_of(e), np.mean(hits, 0))
+    assert fitted.coverage_of(np.ones((1, 3))) is None and fitted.spread_of(np.zeros((3, 4)))[0] == 0
+    assert fitted.fold_plan(60, 12, 12) == ([24, 30, 36, 42, 48], 12, 3) and fitted.fold_plan(9, 6, 12) == ([6], 3, 1)
+
+
+def test_mentions():
+    got = lambda text: [(m.value, m.percent) for m in answers.mentions(text)]
+    assert got("") == got(None) == got("A12 v7") == []
+    assert got("made 1,234.5, then -3%, −2 k and 4 lakhs") == [(1234.5, False), (-3.0, True), (-2000.0, False), (400000.0, False)]
+    assert got("10-5 of B7, 5 mice, +8") == [(10.0, False), (5.0, False), (5.0, False), (8.0, False)]
+    assert answers.mentions("2.50")[0].slack == pytest.approx(0.005, rel=1e-4)
+
+
 def test_answers(spark):
     data = spark.createDataFrame([("Hat", 10.0), ("Shoe", 30.0), ("Sock", 60.0)], "product string, amount double")
-    assert answers.fingerprint([(1, "a"), (2.0, "b")]) == answers.fingerprint([("b", 2), ("a", 1.0)])
-    allowed = answers.supported("top 2", [("Sock", 60.0), ("Shoe", 30.0)])
-    assert answers.unsupported_numbers("Sock made 60, twice 30; 66.7% of it", allowed) == [] and answers.unsupported_numbers("it made 77", allowed) == [77.0]
+    left = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "n int, t string")
+    assert answers.same_results(left, spark.createDataFrame([(None, 2.0), ("a", 1.0), (None, 2.0)], "x string, y double"))
+    assert not answers.same_results(left, spark.createDataFrame([(None, 2.0), ("a", 1.0)], "x string, y double"))
+    assert not answers.same_results(left, spark.createDataFrame([("1", "a"), ("2", None), ("2", None)], "x string, y string"))
+    known = answers.support("top 2", [("Sock", 60.0), ("Shoe 41", 30.0)])
+    assert answers.unsupported_numbers("Sock made 60, twice 30; 66.7% of it; 41 and 45", known) == [] and answers.unsupported_numbers("it made 77", known) == [77.0]
     assert answers.foreign_names(data, "Sock beats Hat", "best?", [("Sock", 60.0)]) == ["Hat"]
-    assert answers.describe(["n"], [(5,)]) == "The answer is 5." and answers.describe(["n"], []) == "The query returned no rows."
+    assert answers.describe(["n"], [(5,)]) == "n is 5." and answers.describe(["n"], []) == "No rows match."
+    course = answers.describe(["day", "v"], [(datetime.date(2024, 1, i), float(i * i % 5)) for i in range(1, 6)])
+    assert course == "v over 5 periods went from 1 at 2024-01-01 to 0 at 2024-01-05, between 0 (2024-01-05) and 4 (2024-01-02)."
+    assert answers.describe(["p", "v"], [("x", 1234.5), ("y", 2)]) == "2 rows by v, starting with x: 1,234, y: 2."
     plan = {"sql": "select product, amount from data order by amount desc limit 1", "check_sql": "select max_by(product, amount), max(amount) from data", "text": "Sock leads with 60."}
     got = answers.answer(spark, data, "Which is best?", lambda q, e: plan)
     assert got["status"] == "checked" and got["text"] == "Sock leads with 60."
     assert answers.answer(spark, data, "Which is best?", lambda q, e: {**plan, "text": "Hat leads with 99."})["status"] == "partly"
     assert answers.answer(spark, data, "Which is best?", lambda q, e: {**plan, "check_sql": "select 1"})["status"] == "disagree"
+    # a copy of the first query proves nothing
+    assert answers.answer(spark, data, "Which is best?", lambda q, e: {**plan, "check_sql": plan["sql"].upper().replace("SELECT", "select  /* again */")})["status"] == "partly"
