@@ -252,7 +252,7 @@ def linked(
     """
     with Scratch(sets.sparkSession, "linked") as scratch:
         keyed = sets.select("id", "weight", F.posexplode("keys").alias("band", "key"))
-        leaders = keyed.groupBy("key").agg(F.max_by("id", "weight").alias("a"), F.min("id").alias("y"), F.max("id").alias("z")).where("y <> z").select("key", "a")
+        leaders = keyed.groupBy("key").agg(F.max_by("id", "weight").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
         shared = scratch.stage(keyed.join(leaders, "key").select("key", "band", "a", F.col("id").alias("b")), "buckets")
         texts = scratch.hold(fetch(scratch.hold(shared.select(F.col("b").alias("id")).distinct())))
         pairs = shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
