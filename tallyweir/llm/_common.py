@@ -21,6 +21,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as make it no column of ``df`` (whatever the case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_of_id(doc_id: int | None) -> int:
     """crc32 of the id's decimal text; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
@@ -253,7 +264,7 @@ def linked(
     with Scratch(sets.sparkSession, "linked") as scratch:
         keyed = sets.select("id", "weight", F.posexplode("keys").alias("band", "key"))
         leaders = keyed.groupBy("key").agg(F.max_by("id", "weight").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-        shared = scratch.stage(keyed.join(leaders, "key").select("key", "band", "a", F.col("id").alias("b")), "buckets")
+        shared = scratch.stage(keyed.join(leaders.hint("shuffle_hash"), "key").select("key", "band", "a", F.col("id").alias("b")), "buckets")
         texts = scratch.hold(fetch(scratch.hold(shared.select(F.col("b").alias("id")).distinct())))
         pairs = shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = verify(pairs, texts)

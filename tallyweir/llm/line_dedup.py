@@ -12,8 +12,7 @@ lines; lines of white space only are never removed and take no part; a line
 shorter than a shingle is one shingle; repeated rows (same doc_id and text)
 count as one document and keep or lose the same lines; texts and lines of any
 length are read whole; an empty table gives an empty result; other columns are
-carried along by ``keep_first_lines``, where columns of the same name as those
-made here (row_key, removed) raise ValueError.
+carried along by ``keep_first_lines``, whatever their names.
 
 A line is known by two 64-bit hashes and a number of its own in the union-find.
 """
@@ -26,7 +25,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm._common import Scratch, if_few, linked, sketch_most, sketches, stage
+from tallyweir.llm._common import Scratch, if_few, linked, sketch_most, sketches, stage, unused
 from tallyweir.llm.quality import WHITE, let
 
 #: Characters are UTF-16 units, so that places in a line are places in its bytes.
@@ -143,13 +142,11 @@ def _others(lines: F.Column, places: F.Column) -> F.Column:
 
 def keep_first_lines(docs: DataFrame, shingle: int = 9, percent: int = 80) -> DataFrame:
     """``docs`` without the removed lines; a document that loses its last line with text goes too."""
-    clash = {"row_key", "removed"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made here")
-    gone = _by_document(removed_lines(docs, shingle, percent))
-    joined = _key(docs).join(gone, "row_key", "left")
-    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(_others(F.split("text", "\n"), F.col("removed")), "\n"))
-    new = joined.withColumn("text", kept).where(F.col("removed").isNull() | (F.btrim("text", F.lit(WHITE)) != ""))
+    key, gone = unused(docs, "row_key", "removed")
+    removed = _by_document(removed_lines(docs, shingle, percent)).toDF(key, gone)
+    joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(removed, key, "left")
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(_others(F.split("text", "\n"), F.col(gone)), "\n"))
+    new = joined.withColumn("text", kept).where(F.col(gone).isNull() | (F.btrim("text", F.lit(WHITE)) != ""))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        new = new.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return new.select(*docs.columns)

@@ -7,10 +7,12 @@ row's id, so it does not depend on partitioning and repeats exactly. Rows are
 exploded by their counts and shuffled by another hash of the copy.
 
 Defined results: a null source is a source of its own; repeated rows draw the
-same number (they are the same document); rows of a source with target weight 0
-go; a source without a weight in an explicit map keeps rate 1; an empty table
-stays empty; other columns are carried along, whatever their names, except that
-the added columns may not clash with columns of the same name (ValueError).
+same number (they are the same document); a row without an id draws by its text;
+rows of a source with target weight 0 go; a source without a weight in an
+explicit map keeps rate 1; null and empty texts, and texts of any length, count
+as rows like others; an empty table stays empty; other columns are carried
+along, whatever their names, but a column ``copy`` raises ValueError, because
+that is the column added. The order repeats as long as the input's files do.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm._common import stage
+from tallyweir.llm._common import stage, unused
 
-#: Sources up to this number are joined by broadcast; beyond it, by shuffle.
-BROADCAST_SOURCES = 50_000
+#: Sources and steps of their distributions up to this number (about 8 MB) are joined by broadcast; beyond it, by shuffle.
+BROADCAST_NUMBERS = 1_000_000
 
 
 def uniform(*parts: F.Column | str) -> F.Column:
@@ -74,17 +76,18 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperat
     The output is dealt to partitions by a hash of the copy and sorted by a
     second hash inside them, which is a uniform order in one exchange.
     """
-    clash = {"copy", "source_key", "tails", "shuffle_key"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made here")
-    rates = stage(source_rates(docs, weights, temperature).select("source_key", "tails"), "rates")
-    few = rates.count() <= BROADCAST_SOURCES
-    keyed = docs.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
-    joined = keyed.join(F.broadcast(rates) if few else rates, "source_key")
-    drawn = uniform(f"poisson-{seed}", F.col("doc_id"))
+    if "copy" in (c.lower() for c in docs.columns):
+        raise ValueError("docs has a column copy, which is made here")
+    key, tails, copies, place = unused(docs, "source_key", "tails", "copies", "shuffle_key")
+    rates = stage(source_rates(docs, weights, temperature).select("source_key", "tails").toDF(key, tails), "rates")
+    numbers = rates.agg(F.coalesce(F.sum(F.size(tails)), F.lit(0)) + F.count("*")).first()[0]
+    keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
+    joined = keyed.join(F.broadcast(rates) if numbers <= BROADCAST_NUMBERS else rates, key)
+    drawn = uniform(f"poisson-{seed}", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))))
     # the array around the number binds it once, or it would be hashed anew for each step of the distribution
-    count = F.transform(F.array(drawn), lambda u: F.size(F.filter("tails", lambda t: t < u)))[0]
-    counted = joined.withColumn("copies", count).where("copies > 0")
-    copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    dealt = copied.withColumn("shuffle_key", F.xxhash64(F.lit(seed), "doc_id", "copy", "text"))
-    return dealt.repartition("shuffle_key").sortWithinPartitions(F.xxhash64(F.lit(seed + 1), "shuffle_key"), "doc_id", "copy").select(*docs.columns, "copy")
+    count = F.transform(F.array(drawn), lambda u: F.size(F.filter(tails, lambda t: t < u)))[0]
+    counted = joined.withColumn(copies, count).where(F.col(copies) > 0)
+    copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(copies))))
+    # the running number keeps a row that is repeated many times from landing in one task
+    dealt = copied.withColumn(place, F.xxhash64(F.lit(seed), "doc_id", "copy", "text", F.monotonically_increasing_id()))
+    return dealt.repartition(place).sortWithinPartitions(F.xxhash64(F.lit(seed + 1), place), "doc_id", "copy").select(*docs.columns, "copy")

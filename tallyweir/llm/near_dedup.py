@@ -15,8 +15,7 @@ Defined results: null or empty texts have an empty set and are linked with
 nothing; a text shorter than a shingle is one shingle; repeated rows and copies
 share a class, and so do different texts of one id only if their sets are equal;
 texts of any length are read whole; an empty table stays empty; extra columns
-are ignored, whatever their names (``keep_first`` carries them along and raises
-ValueError for t1 and t2, which it makes); rows with a null doc_id are linked
+are ignored, whatever their names (``keep_first`` carries them along); rows with a null doc_id are linked
 like all others, but name a component only if no row of it has an id.
 """
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.llm._arrays import mix, word_shingles
-from tallyweir.llm._common import Scratch, if_few, linked, map_arrow, stage
+from tallyweir.llm._common import Scratch, if_few, linked, map_arrow, stage, unused
 
 #: Bands and rows in each. At a similarity of 0.85 a pair shares no band with a chance of 4e-7, at 0.8 of 5e-5.
 BANDS, ROWS = 25, 5
@@ -89,12 +88,12 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), lists], names=["doc_id", "t1", "t2", "n", "f1", "f2", "keys"])
 
     schema = "doc_id bigint, t1 bigint, t2 bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>"
-    return map_arrow(_printed(docs).select("doc_id", "t1", "t2", "text"), run, schema, "text", 1 << 19)
+    return map_arrow(_printed(docs.select("doc_id", "text")).select("doc_id", "t1", "t2", "text"), run, schema, "text", 1 << 19)
 
 
-def _printed(docs: DataFrame) -> DataFrame:
-    """``docs`` with the 128-bit fingerprint (t1, t2) of the text."""
-    return docs.withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(7), "text"))
+def _printed(docs: DataFrame, one: str = "t1", two: str = "t2") -> DataFrame:
+    """``docs`` with the 128-bit fingerprint of the text."""
+    return docs.withColumn(one, F.xxhash64("text")).withColumn(two, F.xxhash64(F.lit(7), "text"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -157,9 +156,6 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     Rows with an empty set are in no group and stay. Of repeated rows of one id
     and text one stays, whichever in columns other than those two.
     """
-    clash = {"t1", "t2"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are made here")
     key = ["doc_id", "t1", "t2"]
     found = _labelled(docs, shingle, percent, BANDS, ROWS).where("n > 0")
     rows = found.groupBy("group", *key).agg(F.count("*").alias("times"))
@@ -167,14 +163,16 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     keepers = rows.groupBy("group").agg(F.min(order).alias("keep"))
     judged = rows.join(keepers, "group").withColumn("kept", order.eqNullSafe(F.col("keep")))
     # rows of one id and text share a set and so a group; every row of a kept key but one goes below
-    touched = stage(judged.where("not kept or times > 1").select(*[F.col(c).alias(f"{c}_x") for c in key], "kept"), "touched")
+    names = unused(docs, "t1", "t2", "id_x", "t1_x", "t2_x", "kept_x")
+    own, there = ["doc_id", *names[:2]], names[2:5]
+    touched = stage(judged.where("not kept or times > 1").select(*key, "kept").toDF(*names[2:]), "touched")
 
     def matched(part: DataFrame, how: str) -> DataFrame:
-        same = [F.col(c).eqNullSafe(F.col(f"{c}_x")) if c == "doc_id" else F.col(c) == F.col(f"{c}_x") for c in key]
-        return _printed(docs).join(if_few(part), same[0] & same[1] & same[2], how)
+        same = F.col("doc_id").eqNullSafe(F.col(there[0])) & (F.col(own[1]) == F.col(there[1])) & (F.col(own[2]) == F.col(there[2]))
+        return _printed(docs, *names[:2]).join(if_few(part), same, how)
 
     single = matched(touched, "left_anti").select(*docs.columns)
-    again = touched.where("kept")
+    again = touched.where(F.col(names[5]))
     if again.isEmpty():
         return single
-    return single.union(matched(again, "left_semi").dropDuplicates(key).select(*docs.columns))
+    return single.union(matched(again, "left_semi").dropDuplicates(own).select(*docs.columns))

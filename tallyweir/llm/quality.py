@@ -14,7 +14,8 @@ stated language that has no reference: there it is left out.
 
 Defined results: null or empty text has no words and fails the base rule;
 without any reference nothing is rejected by the method; repeated rows are
-judged alike; texts of any length are read whole; extra columns are ignored.
+judged alike; texts of any length are read whole; extra columns are ignored, and
+``keep_good`` carries them along whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm._common import stage
+from tallyweir.llm._common import Scratch, if_few, stage, unused
 
 Column = F.Column
 Field = Callable[[str], Column]
@@ -195,12 +196,20 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the base rules or the method reject: a filter, without an exchange."""
-    histograms = docs.select("lang", let(F.coalesce("text", F.lit("")), lambda t: F.struct(F.size(words_of(t)).cast("long").alias("n_words"), *_histograms(t))).alias("m"))
-    refs = references(stage(histograms.select("lang", "m.*"), "quality"))
+    """``docs`` without the documents that the base rules or the method reject.
 
-    def verdict(m: Column) -> Column:
-        made = _verdict(lambda name: m[name], F.col("lang"), refs)
-        return ~made["base_failed"] & ~_odd(lambda name: m[name], F.col("lang"), refs, made["class_distance"], made["word_distance"])
-
-    return docs.where(let(measured(F.col("text")), verdict))
+    Every text is measured once. Verdicts depend on text and language alone, so
+    the rejected ones are known by a 128-bit fingerprint of both; they are sent
+    to all executors if a count shows that they are few, else joined by a shuffle.
+    """
+    # a hash passes over nulls, so it is told where they are
+    prints = [F.xxhash64(F.lit(seed), F.col("text").isNull(), "text", "lang") for seed in (1, 2)]
+    with Scratch(docs.sparkSession, "quality") as scratch:
+        found = scratch.stage(docs.select(prints[0].alias("t1"), prints[1].alias("t2"), "lang", measured(F.col("text")).alias("m")).select("t1", "t2", "lang", "m.*"), "measures")
+        refs = references(found)
+        made = _verdict(F.col, F.col("lang"), refs)
+        odd = _odd(F.col, F.col("lang"), refs, made["class_distance"], made["word_distance"])
+        out = stage(found.where(made["base_failed"] | odd).select("t1", "t2").distinct(), "rejected")
+    names = unused(docs, "t1", "t2")
+    marked = docs.withColumn(names[0], prints[0]).withColumn(names[1], prints[1])
+    return marked.join(if_few(out.toDF(*names)), names, "left_anti").select(*docs.columns)

@@ -107,7 +107,7 @@ ORACLE_SQL: dict[str, str] = {
         ), tails AS (
             SELECT source, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS tail FROM steps
         ), drawn AS (
-            SELECT *, (('0x' || substr(md5('poisson-1|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents
+            SELECT *, (('0x' || substr(md5('poisson-1|' || coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents
         ), counted AS (
             SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM tails t WHERE t.source IS NOT DISTINCT FROM d.source AND t.tail < d.u) AS copies FROM drawn d
         )

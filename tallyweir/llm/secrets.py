@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallyweir.llm._arrays import flat, runs
+from tallyweir.llm._arrays import bounds, flat, runs
 from tallyweir.llm._common import map_arrow
 
 KINDS = ("assign", "access", "hex", "random")
@@ -117,8 +117,11 @@ def scan(texts: pa.Array, models: CharacterModels | None = None, margin: float =
     raw = data.tobytes()
     out: list[list[tuple[int, int, str]]] = [[] for _ in range(len(texts))]
 
+    # code points before each byte: bytes 0x80 to 0xBF continue one
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+
     def points(row: int, at: int) -> int:
-        return len(raw[offsets[row] : at].decode())
+        return int(before[at] - before[offsets[row]])
 
     starts, ends, rows = runs(_IS_HEX[data], offsets)
     long = ends - starts >= 24
@@ -134,16 +137,26 @@ def scan(texts: pa.Array, models: CharacterModels | None = None, margin: float =
         if b"AKIA" in one:
             text = one.decode()
             out[row] += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+    for spans in out:
+        spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     starts, ends, rows = runs(_IS_TOKEN[data], offsets)
     long = ends - starts >= least
-    for a, b, row in zip(starts[long].tolist(), ends[long].tolist(), rows[long].tolist(), strict=True):
-        if models.per_character(raw[a:b]) > margin:
+    edge = bounds(rows[long], len(texts))
+    heads, tails = starts[long].tolist(), ends[long].tolist()
+    for row in np.flatnonzero(np.diff(edge)).tolist():
+        base, at, reach, found = out[row], 0, 0, []
+        # tokens and base spans are in order of their starts: one walk over both tells overlaps
+        for a, b in zip(heads[edge[row] : edge[row + 1]], tails[edge[row] : edge[row + 1]], strict=True):
             begin = points(row, a)
             end = begin + b - a
-            if all(end <= s or e <= begin for s, e, kind in out[row] if kind != "random"):
-                out[row].append((begin, end, "random"))
-    for spans in out:
-        spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
+            while at < len(base) and base[at][0] < end:
+                reach = max(reach, base[at][1])
+                at += 1
+            if reach <= begin and models.per_character(raw[a:b]) > margin:
+                found.append((begin, end, "random"))
+        if found:
+            base += found
+            base.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return out
 
 

@@ -227,8 +227,29 @@ def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = tmp_path / name
+        out, before = tmp_path / name, docs
         stage(spark, docs, DATA).write.parquet(str(out))
         docs = spark.read.parquet(str(out))
         assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars"} and docs.count()
+        if name == "quality_rules":
+            assert docs.count() == quality.judge(before).where("kept").count() < before.count()
+        if name == "near_dedup":
+            # one row of each group of five-word shingles with 0.8 in common, by plain Python
+            rows = sorted(before.collect(), key=lambda r: r.doc_id)
+            sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in ([re.sub('[A-Z]', lambda m: m[0].lower(), x) for x in _words(r.text)] for r in rows)]
+            assert {r.doc_id for r in docs.collect()} == {rows[i].doc_id for i, root in enumerate(_components(sets, 80)) if i == root}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == docs.count()
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    good = " ".join(f"word{i}" for i in range(60))
+    more = odd.union(spark.createDataFrame([(50, good, None, "s", 1), (50, good, None, "s", 1), (None, good + " x", "en", None, None)], DOCS)).withColumn("tails", F.lit(1)).withColumn("row_key", F.lit(2))
+    for docs, least in ((more, 0), (empty, 0)):
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, DATA)
+        assert docs.count() >= least
+    first = corpus_pipeline.STAGES[0][1](spark, more, DATA)
+    assert sorted(str(r.doc_id) for r in first.collect() if r.text.startswith("word0")) == ["50", "50", "None"]
+    second = corpus_pipeline.STAGES[2][1](spark, first.where("text like 'word0%'"), DATA)
+    assert [r.doc_id for r in second.collect()] == [50] and second.columns == more.columns
