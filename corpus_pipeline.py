@@ -1,7 +1,16 @@
 """A corpus pipeline of five of the operators: from raw documents to training tokens.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and
-read again as the next one's input. ``run`` does so in the shared folder.
+read again as the next one's input. ``run`` does so in the shared folder and
+deletes each table once the next is there.
+
+Defined results: rows with null or empty text fail the base rules and go with
+the first stage; a null id, language or source is a value of its own; of
+repeated rows, which are copies of each other, line_dedup takes the lines from
+none (they count as one document) and near_dedup keeps one; ties go to the
+smaller id; texts of any length are read whole; further columns are carried
+along up to the last stage, whatever their names, but for ``copy`` (ValueError,
+see mixing); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweir.llm import line_dedup, mixing, near_dedup, quality, sentencepiece_codec
-from tallyweir.llm._common import read_table, stage
+from tallyweir.llm._common import Scratch, read_table, stage
 from tallyweir.llm.queries import piece_model
 
 
@@ -56,6 +65,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    with Scratch(spark, "pipeline") as scratch:
+        for name, function in STAGES[:-1]:
+            docs = scratch.stage(function(spark, docs, sf_dir), name)
+        name, function = STAGES[-1]
+        return stage(function(spark, docs, sf_dir), f"pipeline-{name}")
