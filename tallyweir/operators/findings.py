@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweir.operators.periods import bin_of, period_series
@@ -90,6 +90,11 @@ def trend(df: DataFrame, date: str, metric: str, grain: str = "MS") -> DataFrame
     return made.withColumn("change", change).withColumn("found", F.coalesce(F.abs("change") >= 0.05, F.lit(False)))
 
 
+def _within(date: str, start: str, end: str) -> Column:
+    """A half-open range of days, on the bare column, so that the scan can use it."""
+    return (F.col(date) >= F.lit(start).cast("timestamp")) & (F.col(date) < F.lit(end).cast("timestamp"))
+
+
 def change_bridge(df: DataFrame, date: str, metric: str, dimensions: list[str], before: tuple[str, str], after: tuple[str, str]) -> DataFrame:
     """(dimension, label, before, after, delta): contributions that add up to the change exactly.
 
@@ -97,8 +102,7 @@ def change_bridge(df: DataFrame, date: str, metric: str, dimensions: list[str],
     scan as filters; blank keys keep a segment of their own, so that the sum
     holds for every dimension.
     """
-    d = F.to_date(date)
-    old, new = ((d >= F.lit(a).cast("date")) & (d < F.lit(b).cast("date")) for a, b in (before, after))
+    old, new = (_within(date, *ends) for ends in (before, after))
     items = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.coalesce(F.col(c).cast("string"), F.lit("(blank)")).alias("label")) for c in dimensions])).alias("s")
     rows = df.where(old | new).select(F.when(old, F.col(metric)).alias("o"), F.when(new, F.col(metric)).alias("n"), items)
     made = rows.groupBy("s.dimension", "s.label").agg(F.coalesce(F.sum("o"), F.lit(0.0)).alias("before"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("after"))
@@ -107,21 +111,42 @@ def change_bridge(df: DataFrame, date: str, metric: str, dimensions: list[str],
 
 def price_volume(df: DataFrame, date: str, quantity: str, revenue: str, segment: str, before: tuple[str, str], after: tuple[str, str]) -> DataFrame:
     """(label, volume, price, delta): delta = volume + price exactly; a new or gone segment is all volume."""
-    d = F.to_date(date)
-    old, new = ((d >= F.lit(a).cast("date")) & (d < F.lit(b).cast("date")) for a, b in (before, after))
+    old, new = (_within(date, *ends) for ends in (before, after))
     total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0.0))
     made = df.where(old | new).groupBy(F.coalesce(F.col(segment).cast("string"), F.lit("(blank)")).alias("label")).agg(total(quantity, old).alias("q0"), total(quantity, new).alias("q1"), total(revenue, old).alias("r0"), total(revenue, new).alias("r1"))
     price = F.when((F.col("q0") > 0) & (F.col("q1") > 0), (F.col("r1") / F.col("q1") - F.col("r0") / F.col("q0")) * F.col("q1")).otherwise(0.0)
     return made.select("label", (F.col("r1") - F.col("r0") - price).alias("volume"), price.alias("price"), (F.col("r1") - F.col("r0")).alias("delta"))
 
 
+def period_outliers(series: DataFrame, z: float = 3.5, most: int = 2) -> DataFrame:
+    """(period, y, score): the periods farthest from the median, by 0.6745 deviations in units of the median deviation.
+
+    ``series`` is (period, y), one row a period. A median deviation of 0 finds nothing.
+    """
+    centred = series.where("y is not null").crossJoin(F.broadcast(series.agg(F.median("y").alias("m")))).withColumn("off", F.col("y") - F.col("m"))
+    scored = centred.crossJoin(F.broadcast(centred.agg(F.median(F.abs("off")).alias("mad")))).withColumn("score", F.try_divide(0.6745 * F.col("off"), "mad"))
+    return scored.where(F.abs("score") > z).orderBy(F.abs("score").desc(), "period").limit(most).select("period", "y", "score")
+
+
+def ratio_pairs(df: DataFrame, columns: list[str], least: float = 0.95) -> DataFrame:
+    """(part, whole, n, share): ordered pairs where the part is within the whole in ``least`` of the rows that hold both, in one pass."""
+    pairs = [(a, b) for a in columns for b in columns if a != b]
+    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    counts = [F.struct(F.lit(a).alias("part"), F.lit(b).alias("whole"), F.count_if(both(a, b)).alias("n"), F.count_if(both(a, b) & (F.col(a) <= F.col(b))).alias("k")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+    made = df.agg(*counts).select(F.explode(F.array(*[f"p{i}" for i in range(len(pairs))])).alias("p")).select("p.*")
+    return made.where((F.col("n") > 0) & (F.col("k") >= least * F.col("n"))).select("part", "whole", "n", F.round(F.col("k") / F.col("n"), 6).alias("share"))
+
+
 def daily_anomalies(df: DataFrame, date: str, metric: str, z: float = 6.0, off: float = 0.4, most: int = 2) -> DataFrame:
     """(day, y, expected, score): days far from a centred 29-day median times their weekday's factor.
 
-    Needs 28 days over at least 27. Residuals are scaled by the root of the
-    expectation and by their own median deviation.
+    Needs 28 days, 20 of them with a positive sum and at most half of them zero.
+    Residuals are scaled by the root of the expectation and by their own median
+    deviation.
     """
     days = period_series(df, date, metric, "sum", "D")
+    gate = days.agg((F.count_if(F.col("y") > 0) >= 20) & (2 * F.count_if(F.col("y") == 0) <= F.count("*"))).first()[0]
+    days = days.where(F.lit(bool(gate)))
     w = Window.orderBy("period")
     centred = w.rowsBetween(-14, 14)
     base = days.withColumn("mid", F.when(F.count("y").over(centred) >= 15, F.percentile("y", F.lit(0.5)).over(centred))).withColumn("n", F.count("*").over(Window.partitionBy()))

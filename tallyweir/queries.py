@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyweir.functions import cleaning, inference
 from tallyweir.operators import findings, fitted, forecast, periods, recommend, roles
-from tallyweir.plans import sqlguard
+from tallyweir.plans import ingest, sqlguard
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,7 +198,8 @@ def price_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     r AS (SELECT *, (y - expected) / nullif(sqrt(expected), 0) AS res FROM e),
     c AS (SELECT *, res - (SELECT median(res) FROM r) AS off FROM r),
     z AS (SELECT *, 0.6745 * off / nullif((SELECT median(abs(off)) FROM c), 0) AS score FROM c)
-    SELECT d::VARCHAR AS "day", round(y, 4) AS y, round(expected, 4) AS expected, round(score, 4) AS score FROM z WHERE abs(score) > 6 AND abs(y - expected) >= 0.4 * expected ORDER BY abs(score) DESC, d LIMIT 2
+    SELECT d::VARCHAR AS "day", round(y, 4) AS y, round(expected, 4) AS expected, round(score, 4) AS score FROM z WHERE abs(score) > 6 AND abs(y - expected) >= 0.4 * expected
+        AND (SELECT count(*) FILTER (y > 0) >= 20 AND 2 * count(*) FILTER (y = 0) <= count(*) FROM days) ORDER BY abs(score) DESC, d LIMIT 2
 """)
 def daily_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(findings.daily_anomalies(table(spark, sf_dir, "events"), "ts", "value"), 4, "y", "expected", "score")
@@ -412,3 +414,97 @@ def forecast_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six months ahead for every order priority, all series in parallel."""
     months = table(spark, sf_dir, "orders").where("o_orderdate is not null").groupBy(F.coalesce("o_orderpriority", F.lit("(blank)")).alias("series"), periods.bin_of(F.col("o_orderdate"), "MS").alias("period")).agg(F.sum("o_totalprice").alias("y"))
     return fitted.forecasts(months, 6, "MS")
+
+_GUARDED = {
+    "guarded_window_share": ("orders", "SELECT o_orderkey, o_orderpriority, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderpriority), 9) AS share FROM {} WHERE o_totalprice > 300000 ORDER BY o_orderkey LIMIT 1000"),
+    "guarded_ranked_days": ("events", "SELECT * FROM (SELECT event_id, user_id, row_number() OVER w AS n, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM {} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) AS t WHERE n <= 2 ORDER BY event_id LIMIT 1000"),
+    "guarded_union_all": ("orders", "SELECT o_orderstatus AS label, count(*) AS n FROM {} GROUP BY o_orderstatus UNION ALL SELECT o_orderpriority, count(*) FROM {} GROUP BY o_orderpriority"),
+    "guarded_self_join": ("customer", "SELECT a.c_nationkey, count(*) AS pairs FROM {} a JOIN {} b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey GROUP BY a.c_nationkey"),
+    "guarded_cross_join": ("orders", "SELECT s.o_orderstatus, p.o_orderpriority FROM (SELECT DISTINCT o_orderstatus FROM {}) s CROSS JOIN (SELECT DISTINCT o_orderpriority FROM {}) p"),
+    "guarded_except": ("customer", "SELECT c_nationkey FROM {} EXCEPT SELECT c_nationkey FROM {} WHERE c_acctbal < 8000"),
+    "guarded_text": ("part", "SELECT p_partkey, upper(substring(p_name, 1, 5)) AS head, length(trim(p_name)) AS size, replace(p_brand, '#', '-') AS brand, CASE WHEN p_type ILIKE '%steel%' THEN 'steel' ELSE 'other' END AS kind FROM {} ORDER BY p_partkey LIMIT 1000"),
+    "guarded_months": ("orders", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(DISTINCT o_custkey) AS buyers, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS done FROM {} GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 1, 2 LIMIT 1000"),
+}
+
+
+def _guarded(name: str, source: str, sql: str) -> None:
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return sqlguard.limited(spark, sql.replace("{}", "data"), {"data": table(spark, sf_dir, source)})
+
+    made.__name__ = name
+    # counts of Spark are BIGINT, parts of a date INT
+    casts = {"guarded_text": "SELECT p_partkey, head, size::INT AS size, brand, kind FROM ({})", "guarded_months": "SELECT y::INT AS y, m::INT AS m, buyers, done::BIGINT AS done FROM ({})", "guarded_ranked_days": "SELECT event_id, user_id, n::INT AS n, near FROM ({})"}
+    query(casts.get(name, "{}").format(sql.replace("{}", source)))(made)
+
+
+for _name, (_source, _sql) in _GUARDED.items():
+    _guarded(_name, _source, _sql)
+
+
+@query("SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= '2000-01-01')")
+def customers_gone_quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = table(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp"))
+    found = table(spark, sf_dir, "customer").join(late, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return rounded(found.select("c_custkey", "c_acctbal"), 2, "c_acctbal")
+
+
+#: Daily order sums of 2,399 days with three of them raised, so that there is something to find.
+_SPIKED = "CASE WHEN o_orderdate::DATE IN ('1997-03-12', '1998-07-01', '1999-10-20') THEN 40 ELSE 1 END"
+
+
+@query(SQL["daily_anomalies"].replace("SELECT ts::DATE AS period, sum(value) AS v FROM events WHERE ts IS NOT NULL", f"SELECT o_orderdate::DATE AS period, sum(o_totalprice * {_SPIKED}) AS v FROM orders WHERE o_orderdate IS NOT NULL"))
+def spiked_day_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spiked = F.when(F.to_date("o_orderdate").cast("string").isin("1997-03-12", "1998-07-01", "1999-10-20"), 40).otherwise(1)
+    orders = table(spark, sf_dir, "orders").withColumn("o_totalprice", F.col("o_totalprice") * spiked)
+    return rounded(findings.daily_anomalies(orders, "o_orderdate", "o_totalprice"), 4, "y", "expected", "score")
+
+
+@query(f"""
+    WITH {_MONTHS}, s AS (SELECT period, CASE WHEN period IN ('1996-05-01', '2000-02-01') THEN y * 9 ELSE y END AS y FROM series),
+    c AS (SELECT *, y - (SELECT median(y) FROM s) AS o FROM s), z AS (SELECT *, 0.6745 * o / nullif((SELECT median(abs(o)) FROM c), 0) AS score FROM c)
+    SELECT period::VARCHAR AS period, round(y, 2) AS y, round(score, 4) AS score FROM z WHERE abs(score) > 3.5 ORDER BY abs(score) DESC, period LIMIT 2
+""")
+def month_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = periods.period_series(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice")
+    raised = series.withColumn("y", F.when(F.col("period").cast("string").isin("1996-05-01", "2000-02-01"), F.col("y") * 9).otherwise(F.col("y")))
+    return rounded(rounded(findings.period_outliers(raised), 2, "y"), 4, "score")
+
+
+_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS part, '{b}' AS whole, count(*) AS n, round(avg(({a} <= {b})::INT), 6) AS share FROM lineitem WHERE {a} IS NOT NULL AND {b} IS NOT NULL HAVING avg(({a} <= {b})::INT) >= 0.95" for a in _MEASURES for b in _MEASURES if a != b))
+def parts_of_wholes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.ratio_pairs(table(spark, sf_dir, "lineitem"), list(_MEASURES))
+
+
+def _dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a careless export: all text, with currency signs, brackets, day-first dates, spellings, tokens for nothing and a total line."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    money = F.format_number(price, 2)
+    amount = F.when(k % 7 == 0, F.concat(F.lit("("), money, F.lit(")"))).when(k % 7 == 1, F.concat(F.lit("$"), money)).when(k % 7 == 2, F.concat(money, F.lit("-"))).when(k % 7 == 3, F.lit(" n/a ")).otherwise(money)
+    status = F.when(k % 11 == 0, F.concat(F.lit("  "), F.upper("o_orderpriority"), F.lit(" "))).when(k % 11 == 1, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    rows = table(spark, sf_dir, "orders").select(amount.alias("amount"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("order_date"), status.alias("priority"), F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("no").alias("done"), F.when(k % 5 == 0, F.lit("-")).otherwise(F.concat(F.lit("0"), k.cast("string"))).alias("zip_code"))
+    return rows.union(spark.createDataFrame([("1.00", None, "Grand Total:", None, None)], "a string, b string, c string, d string, e string"))
+
+
+@query("""
+    WITH o AS (SELECT *, CASE WHEN o_orderkey % 7 IN (0, 2) THEN -round(o_totalprice, 2) WHEN o_orderkey % 7 = 3 THEN NULL ELSE round(o_totalprice, 2) END AS amount FROM orders)
+    SELECT date_trunc('month', o_orderdate)::DATE::VARCHAR AS month, o_orderpriority AS priority, o_orderstatus = 'F' AS done, count(*) AS n, count(amount) AS amounts,
+        round(coalesce(sum(amount), 0), 1) AS total, count(*) FILTER (o_orderkey % 5 <> 0) AS codes
+    FROM o GROUP BY 1, 2, 3
+""")
+def cleaned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, kinds = ingest.cleaned(_dirty_orders(spark, sf_dir))
+    if kinds != {"amount": "number", "order_date": "date", "priority": "text", "done": "boolean", "zip_code": "text"}:
+        raise ValueError(f"read as {kinds}")
+    made = df.groupBy(F.date_trunc("month", "order_date").cast("date").cast("string").alias("month"), "priority", "done")
+    return made.agg(F.count("*").alias("n"), F.count("amount").alias("amounts"), F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 1).alias("total"), F.count("zip_code").alias("codes"))
+
+
+@query("SELECT p_brand AS brand, count(*) AS n, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 10 <> 0) AS scores, round(avg(p_partkey % 5 + 1) FILTER (p_partkey % 9 <> 0 AND p_partkey % 10 <> 0), 6) AS mean FROM part GROUP BY 1")
+def cleared_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.when(F.col("p_partkey") % 9 == 0, 99.0).when(F.col("p_partkey") % 10 == 0, float("inf")).otherwise((F.col("p_partkey") % 5 + 1).cast("double"))
+    scores = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), cleaning.finite(score).alias("score"))
+    clear = inference.without_stray_codes(scores, "score")
+    return clear.groupBy("brand").agg(F.count("*").alias("n"), F.count("score").alias("scores"), F.round(F.avg("score"), 6).alias("mean"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import io
+import re
 import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,8 @@ def delimiter_of(text: str) -> str:
 def check_table(head: bytes, text: str) -> None:
     """Raises ValueError for PDFs, web pages, binary files and files without a line."""
     start = text[:4000]
+    if re.match(r"\s*<(!doctype\s+html|html|head|body|\?xml)\b", start, re.I):
+        raise ValueError("this is a web page, not a table")
     odd = sum(ord(c) < 32 and c not in "\t\r\n\f" for c in start)
     if head.startswith(b"%PDF") or odd > 0.02 * max(1, len(start)):
         raise ValueError("this is not a table")
@@ -79,7 +83,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     text = head.decode({"windows-1252": "cp1252", "ISO-8859-1": "latin-1"}.get(encoding, encoding), "ignore").lstrip("﻿")
     check_table(head, text)
     sep = delimiter_of(text)
-    header = next(csv.reader(text.splitlines(), delimiter=sep))
+    header = next(row for row in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if row)
     if len(text.splitlines()) < 2:
         raise ValueError("the file has a header only")
     # Spark's reader does not take Windows-1252: read as Latin-1, byte for byte, and translated

@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tallyweir import queries
 from tallyweir.functions import cleaning
+from tallyweir.plans import ingest
 from tallyweir.plans.sqlguard import QueryRefused, guard
 from tallyweir.sources import text
 
@@ -94,3 +95,31 @@ def test_csv_encoding_across_head(spark, tmp_path):
     start = "id,name\n1,"
     file.write_bytes((start + "x" * (text.HEAD - len(start) - 1) + "é\n2,ü\n").encode())
     assert [r.name[-1] for r in text.read_table(spark, f"file://{file}").collect()] == ["é", "ü"]
+
+
+def test_csv_refuses_web_pages_and_reads_quoted_breaks(spark, tmp_path):
+    page = tmp_path / "page.csv"
+    page.write_text("<!DOCTYPE html>\n<html><body>\n<p>a, b</p></body></html>\n")
+    with pytest.raises(ValueError):
+        text.read_table(spark, f"file://{page}")
+    file = tmp_path / "quoted.csv"
+    file.write_text('id,"net\nsales",note\n1,2.5,"a\nb"\n2,3,c\n')
+    df = text.read_table(spark, f"file://{file}")
+    assert df.columns == ["id", "net_sales", "note"] and df.count() == 2
+
+
+def test_prepared(spark):
+    rows = [(i, f"{i % 28 + 1:02d}/02/2024", ["North", "north ", "South"][i % 3], f"$1,{i % 10}00.50", "n/a" if i % 4 else "99" if i % 8 else "4", str(i)) for i in range(120)]
+    raw = spark.createDataFrame(rows, "row_id bigint, order_date string, region string, amount string, q1_quality string, unnamed_0 string")
+    got = ingest.prepared(raw, "row_id")
+    assert got.table.columns == ["order_date", "region", "amount", "q1_quality"] and got.table.count() == 120
+    assert {r[0] for r in got.table.select("region").distinct().collect()} in ({"North", "South"}, {"north", "South"})
+    assert got.roles["metric"] == "amount" and got.roles["date"] == "order_date"
+    empty = ingest.cleaned(spark.createDataFrame([], "a string, b string"))
+    assert empty[0].count() == 0 and empty[1] == {"a": "text", "b": "text"}
+
+
+def test_date_ranges_reach_the_scan(spark):
+    plan = queries.change_bridge(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in plan.split("\n") if "PushedFilters" in line and "o_orderdate" in line]
+    assert pushed and "GreaterThanOrEqual(o_orderdate" in pushed[0]
