@@ -11,8 +11,23 @@ Column = F.Column
 NULL_TOKENS = ("", "n/a", "na", "null", "none", "#n/a", "<na>", "-")
 #: Texts of yes and no; fixed lists.
 TRUE, FALSE = ("true", "yes", "y", "t"), ("false", "no", "n", "f")
-#: Date patterns that are tried in this order.
-DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "yyyy-MM-dd'T'HH:mm:ss[XXX][XX]", "yyyy-MM-dd HH:mm:ss", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "dd-MMM-yy", "MMM-yy", "MMMM-yy", "yyyy-MM")
+#: Date patterns that are tried in this order, each on texts of its shape only: a failed parse costs far more than a look at the shape.
+DATE_FORMATS = {
+    "yyyy-M-d": r"\d{4}-\d{1,2}-\d{1,2}",
+    "yyyy/M/d": r"\d{4}/\d{1,2}/\d{1,2}",
+    "yyyy-MM-dd'T'HH:mm:ss[XXX][XX]": r"\d{4}-\d{2}-\d{2}T.+",
+    "yyyy-MM-dd HH:mm:ss": r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}",
+    "d MMM yyyy": r"\d{1,2} [A-Za-z]{3} \d{4}",
+    "MMM d, yyyy": r"[A-Za-z]{3} \d{1,2}, \d{4}",
+    "MMMM d, yyyy": r"[A-Za-z]+ \d{1,2}, \d{4}",
+    "dd-MMM-yy": r"\d{2}-[A-Za-z]{3}-\d{2}",
+    "MMM-yy": r"[A-Za-z]{3}-\d{2}",
+    "MMMM-yy": r"[A-Za-z]+-\d{2}",
+    "yyyy-MM": r"\d{4}-\d{2}",
+}
+LONG_SHAPE, SHORT_SHAPE = r"\d{1,2}[-/.]\d{1,2}[-/.]\d{4}", r"\d{1,2}[-/]\d{1,2}[-/]\d{2}"
+DAY_FIRST = {"d[-][/][.]M[-][/][.]yyyy": LONG_SHAPE, "d[/][-]M[/][-]yy": SHORT_SHAPE}
+MONTH_FIRST = {"M[-][/][.]d[-][/][.]yyyy": LONG_SHAPE, "M[/][-]d[/][-]yy": SHORT_SHAPE}
 
 
 def cleaned_text(c: Column) -> Column:
@@ -39,8 +54,8 @@ def boolean_of(c: Column) -> Column:
 def date_of(c: Column, day_first: bool = True) -> Column:
     """A timestamp from the common written forms; impossible dates are null."""
     t = F.regexp_replace(cleaned_text(c), r"(?i)\bsept\b", "Sep")
-    short = ("d[-][/][.]M[-][/][.]yyyy", "d[/][-]M[/][-]yy") if day_first else ("M[-][/][.]d[-][/][.]yyyy", "M[/][-]d[/][-]yy")
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in (*DATE_FORMATS, *short)])
+    formats = DATE_FORMATS | (DAY_FIRST if day_first else MONTH_FIRST)
+    return F.coalesce(*[F.when(t.rlike(f"^{shape}$"), F.try_to_timestamp(t, F.lit(f))) for f, shape in formats.items()])
 
 
 def finite(c: Column) -> Column:

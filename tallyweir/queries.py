@@ -421,7 +421,7 @@ _GUARDED = {
     "guarded_union_all": ("orders", "SELECT o_orderstatus AS label, count(*) AS n FROM {} GROUP BY o_orderstatus UNION ALL SELECT o_orderpriority, count(*) FROM {} GROUP BY o_orderpriority"),
     "guarded_self_join": ("customer", "SELECT a.c_nationkey, count(*) AS pairs FROM {} a JOIN {} b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey GROUP BY a.c_nationkey"),
     "guarded_cross_join": ("orders", "SELECT s.o_orderstatus, p.o_orderpriority FROM (SELECT DISTINCT o_orderstatus FROM {}) s CROSS JOIN (SELECT DISTINCT o_orderpriority FROM {}) p"),
-    "guarded_except": ("customer", "SELECT c_nationkey FROM {} EXCEPT SELECT c_nationkey FROM {} WHERE c_acctbal < 8000"),
+    "guarded_except": ("customer", "SELECT c_nationkey FROM {} EXCEPT SELECT c_nationkey FROM {} WHERE c_acctbal > 9700"),
     "guarded_text": ("part", "SELECT p_partkey, upper(substring(p_name, 1, 5)) AS head, length(trim(p_name)) AS size, replace(p_brand, '#', '-') AS brand, CASE WHEN p_type ILIKE '%steel%' THEN 'steel' ELSE 'other' END AS kind FROM {} ORDER BY p_partkey LIMIT 1000"),
     "guarded_months": ("orders", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(DISTINCT o_custkey) AS buyers, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS done FROM {} GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY 1, 2 LIMIT 1000"),
 }
@@ -491,7 +491,7 @@ def _dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH o AS (SELECT *, CASE WHEN o_orderkey % 7 IN (0, 2) THEN -round(o_totalprice, 2) WHEN o_orderkey % 7 = 3 THEN NULL ELSE round(o_totalprice, 2) END AS amount FROM orders)
     SELECT date_trunc('month', o_orderdate)::DATE::VARCHAR AS month, o_orderpriority AS priority, o_orderstatus = 'F' AS done, count(*) AS n, count(amount) AS amounts,
-        round(coalesce(sum(amount), 0), 1) AS total, count(*) FILTER (o_orderkey % 5 <> 0) AS codes
+        round(coalesce(sum(amount), 0), 2) AS total, count(*) FILTER (o_orderkey % 5 <> 0) AS codes
     FROM o GROUP BY 1, 2, 3
 """)
 def cleaned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,7 +499,7 @@ def cleaned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     if kinds != {"amount": "number", "order_date": "date", "priority": "text", "done": "boolean", "zip_code": "text"}:
         raise ValueError(f"read as {kinds}")
     made = df.groupBy(F.date_trunc("month", "order_date").cast("date").cast("string").alias("month"), "priority", "done")
-    return made.agg(F.count("*").alias("n"), F.count("amount").alias("amounts"), F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 1).alias("total"), F.count("zip_code").alias("codes"))
+    return made.agg(F.count("*").alias("n"), F.count("amount").alias("amounts"), F.round(F.coalesce(F.sum("amount"), F.lit(0.0)), 2).alias("total"), F.count("zip_code").alias("codes"))
 
 
 @query("SELECT p_brand AS brand, count(*) AS n, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 10 <> 0) AS scores, round(avg(p_partkey % 5 + 1) FILTER (p_partkey % 9 <> 0 AND p_partkey % 10 <> 0), 6) AS mean FROM part GROUP BY 1")
