@@ -5,7 +5,7 @@ score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum v_if^2 x_i^
 Terms are lower-cased words, their leading stems and the pairs' interactions
 that the factors learn: an insult next to a group mention can weigh more than
 the two alone. The model is fitted on a bounded sample of labelled rows
-(``max_rows``, smallest crc32 first, so the sample does not depend on
+(``max_rows``, smallest xxhash64 first, so the sample does not depend on
 partitioning); scoring covers every whole text of every row.
 
 Defined results: a null or empty text has no terms and scores by the bias
@@ -114,7 +114,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = 18, rank: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bits: int = 18, max_rows: int = 12_000, **options: float) -> FactorizationMachine:
-    """Fits on at most ``max_rows`` labelled rows (smallest crc32 of the id first).
+    """Fits on at most ``max_rows`` labelled rows (smallest xxhash64 of the id first).
 
     Only rows whose crc32(id) mod 5 is not 0 are learnt from. Term lists are
     made on the executors; the driver receives the sample's term numbers only.

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyweir.llm import _common, line_dedup, mixing, near_dedup, quality, secrets
+from tallyweir.llm import _common, langid, line_dedup, mixing, near_dedup, quality, secrets, toxicity
 
 
 def _shingles(text, size):
@@ -163,3 +163,29 @@ def test_secret_scan_is_linear_in_a_text():
 
     took(2_000)
     assert took(32_000) < 12 * took(8_000)
+
+
+def test_factorization_machine_by_plain_sums():
+    rng = np.random.default_rng(2)
+    model = toxicity.FactorizationMachine(5, 0.3, rng.normal(0, 1, 32), rng.normal(0, 0.5, (32, 4)))
+    rows = [np.sort(rng.choice(32, n, replace=False)) for n in (0, 1, 2, 5, 12)]
+    for r, got in zip(rows, model.scores(rows), strict=True):
+        raw = model.bias + sum(model.weights[i] for i in r) + sum(sum(model.factors[a] * model.factors[b]) for k, a in enumerate(r) for b in r[:k])
+        assert got == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
+def test_language_distance_by_plain_loops():
+    def grams(text):
+        s = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        found = collections.Counter(s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1))
+        kept = [g for g in found if g.strip() and " " not in g[1:-1]]
+        return sorted(kept, key=lambda g: (-found[g], len(g), g))[:300]
+
+    texts = ["The cat and the dog, the hat.", "Über allen Gipfeln ist Ruh", "", "12 !", "el perro y la casa " * 20, "日本語 text"]
+    profiles = {"en": grams("the cat sat on the mat and the dog"), "es": grams("la casa y el perro de la calle"), "none": []}
+    got, sizes = langid.distances(texts, profiles)
+    for i, text in enumerate(texts):
+        own = grams(text)
+        assert sizes[i] == len(own)
+        for j, profile in enumerate(profiles.values()):
+            assert got[i, j] == sum(min(300, abs(k - profile.index(g))) if g in profile else 300 for k, g in enumerate(own))

@@ -107,6 +107,8 @@ def test_toxicity(spark, odd, empty):
     found = toxicity.score(docs.union(odd), toxicity.train(docs, marks)).join(marks, "doc_id").where("held_out").collect()
     right = [r.predicted == r.toxic for r in found if r.toxic == 0]
     assert sum(right) / len(right) > 0.97
+    caught = [r.predicted for r in found if r.toxic == 1]
+    assert caught and sum(caught) >= len(caught) / 2
     assert toxicity.score(empty, toxicity.train(empty, marks)).count() == 0
 
 
