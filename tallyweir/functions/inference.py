@@ -104,8 +104,11 @@ def typed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     clean = df.withColumns({c: cleaned_text(F.col(f"`{c}`")) for c in texts})
     if not texts:
         return clean, {}
-    got = clean.agg(*[F.struct(*[v.alias(k) for k, v in _text_stats(F.col(f"`{c}`")).items()]).alias(f"c{i}") for i, c in enumerate(texts)]).first()
-    found = {c: reading(c, got[f"c{i}"].asDict(), F.col(f"`{c}`")) for i, c in enumerate(texts)}
+    # columns become rows, so that the generated code stays that of one column
+    cells = clean.select(F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"`{c}`").alias("text")) for i, c in enumerate(texts)])).alias("cell"))
+    stats = cells.select("cell.*").groupBy("at").agg(*[v.alias(k) for k, v in _text_stats(F.col("text")).items()])
+    got = {row["at"]: row.asDict() for row in stats.collect()}
+    found = {c: reading(c, got.get(i, {"n": 0}), F.col(f"`{c}`")) for i, c in enumerate(texts)}
     return clean.withColumns({c: e for c, (_, e) in found.items()}), {c: kind for c, (kind, _) in found.items()}
 
 
