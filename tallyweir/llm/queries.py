@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweir.llm import chat, langid, line_dedup, mixing, near_dedup, quality, secrets, sentencepiece_codec, topk, toxicity
+from tallyweir.llm import chat, filter_audit, langid, line_dedup, mixing, near_dedup, quality, resampling, secrets, sentencepiece_codec, topk, toxicity
 from tallyweir.llm._common import read_table
 
 
@@ -59,11 +59,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", read_table(spark, sf_dir, "labels"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_toxicity, op4_top_k, op5_secrets, op6_chat, op7_mixing, op8_near_dedup, op9_line_dedup, op10_language)
+    f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_toxicity, op4_top_k, op5_secrets, op6_chat, op7_mixing, op8_near_dedup, op9_line_dedup, op10_language, op11_filter_audit, op12_resampling)
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
+_TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPE = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
 
@@ -134,4 +143,73 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, n.component_id, s.doc_id = n.component_id AS kept FROM sets s JOIN named n ON n.id = s.doc_id
     """,
+    "op11_filter_audit": f"""
+        WITH marks AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+        ), texts AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents
+        ), failed AS (
+            SELECT t.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+                (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+                + 4 * (100 * length(regexp_replace(t.t, '[^A-Z]+', '', 'g')) > 5 * length(t.t))::INT
+                + 8 * regexp_matches(t.t, '[#$%&*|]')::INT
+                + 16 * coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY t.t), false)::INT AS mask
+            FROM texts t LEFT JOIN marks m ON m.doc_id = t.doc_id
+        ), counted AS (
+            SELECT part, mask, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM failed GROUP BY ALL
+        ), letters AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+        ), orders AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+        ), steps AS (
+            SELECT filter_order, k::INTEGER AS step, 1 << (ascii(substr(filter_order, k, 1)) - 65) AS own,
+                list_sum(list_transform(range(1, k), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))) AS prior
+            FROM orders, (SELECT unnest(range(1, 6)) AS k)
+        ), facts AS (
+            SELECT part, filter_order, step, own, coalesce(prior, 0)::INT AS prior, mask, n, g, x FROM counted, steps
+        ), removals AS (
+            SELECT part, own, sum(n) AS shapley FROM facts WHERE mask & own <> 0 AND mask & prior = 0 GROUP BY ALL
+        )
+        SELECT f.part, filter_order, step,
+            coalesce(sum(n) FILTER (mask & (f.own | prior) = 0), 0)::BIGINT AS kept,
+            coalesce(sum(n) FILTER (mask & f.own <> 0 AND mask & prior = 0), 0)::BIGINT AS removed,
+            coalesce(sum(n) FILTER (mask & f.own <> 0 AND mask & prior <> 0), 0)::BIGINT AS redundant,
+            coalesce(sum(n) FILTER (mask = f.own), 0)::BIGINT AS unique_fails,
+            coalesce(sum(g) FILTER (mask & f.own <> 0 AND mask & prior = 0), 0)::BIGINT AS good_lost,
+            coalesce(sum(x) FILTER (mask & f.own <> 0 AND mask & prior = 0), 0)::BIGINT AS toxic_lost,
+            coalesce(any_value(r.shapley), 0)::BIGINT AS shapley
+        FROM facts f LEFT JOIN removals r ON r.part = f.part AND r.own = f.own GROUP BY f.part, filter_order, step
+    """,
+    "op12_resampling": f"""
+        WITH codes AS (
+            SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+            FROM (SELECT unnest(range(256)) AS i)
+        ), texts AS (
+            SELECT 's' AS side, doc_id, row_number() OVER () AS row_no, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}') AS w FROM documents
+            UNION ALL SELECT 't', NULL, row_number() OVER (), regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}') FROM benchmark
+        ), words AS (
+            SELECT side, row_no, unnest(w) AS word FROM texts
+        ), hexed AS (
+            SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM words)
+        ), hashed AS (
+            SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+            FROM hexed, codes
+        ), counts AS (
+            SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM words JOIN hashed USING (word) GROUP BY bucket
+        ), gains AS (
+            SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000))))::BIGINT AS gain FROM counts
+        ), sums AS (
+            SELECT row_no, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+            FROM words JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 's' GROUP BY row_no
+        ), scored AS (
+            SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM (SELECT * FROM texts WHERE side = 's') LEFT JOIN sums USING (row_no)
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored
+        )
+        SELECT doc_id, n_features::BIGINT AS n_features, weight, score, (CASE WHEN n_features >= 20 AND r <= able // 10 THEN r END)::BIGINT AS rank FROM placed
+    """,
 }
