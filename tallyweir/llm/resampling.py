@@ -133,7 +133,8 @@ def weighted(docs: DataFrame, lines: DataFrame, crossing: DataFrame | None, gain
     often = known.where(heavy).select("h1", "h2", *[F.col(c).alias(f"{c}_h") for c in ("words", "n", "gain")])
     marked = placed.join(F.broadcast(often), ["h1", "h2"], "left")
     easy = marked.where("n_h is not null").select("doc_id", "key", "pos", F.col("words_h").alias("words"), F.col("n_h").alias("n"), F.col("gain_h").alias("gain"))
-    rare = if_few(known.where(~heavy).drop("times"))
+    # Spark itself broadcasts these if they are small
+    rare = known.where(~heavy).drop("times")
     others = marked.where("n_h is null").join(rare, ["h1", "h2"]).select("doc_id", "key", "pos", "words", "n", "gain")
     parts = easy.union(others)
     if crossing is not None:
