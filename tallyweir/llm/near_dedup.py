@@ -88,10 +88,10 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), lists], names=["doc_id", "t1", "t2", "n", "f1", "f2", "keys"])
 
     schema = "doc_id bigint, t1 bigint, t2 bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>"
-    return map_arrow(_printed(docs.select("doc_id", "text")).select("doc_id", "t1", "t2", "text"), run, schema, "text", 1 << 19)
+    return map_arrow(printed(docs.select("doc_id", "text")).select("doc_id", "t1", "t2", "text"), run, schema, "text", 1 << 19)
 
 
-def _printed(docs: DataFrame, one: str = "t1", two: str = "t2") -> DataFrame:
+def printed(docs: DataFrame, one: str = "t1", two: str = "t2") -> DataFrame:
     """``docs`` with the 128-bit fingerprint of the text."""
     return docs.withColumn(one, F.xxhash64("text")).withColumn(two, F.xxhash64(F.lit(7), "text"))
 
@@ -133,9 +133,9 @@ def _labelled(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int
 
         def fetch(ids: DataFrame) -> DataFrame:
             wanted = scratch.stage(classes.join(if_few(ids), "id", "left_semi").select("id", "t1", "t2"), "wanted")
-            return _printed(docs.select("text")).join(if_few(wanted), ["t1", "t2"]).dropDuplicates(["id"]).select("id", "text")
+            return printed(docs.select("text")).join(if_few(wanted), ["t1", "t2"]).dropDuplicates(["id"]).select("id", "text")
 
-        roots = linked(classes.select("id", "weight", "keys"), fetch, lambda pairs, texts: confirmed(pairs, texts, shingle, percent), lambda texts: shingle_sets(texts, shingle), percent)
+        roots = linked(classes.select("id", "weight", "keys"), fetch, lambda pairs, texts: confirmed(pairs, texts, shingle, percent), lambda texts: shingle_sets(texts, shingle), percent, scratch)
         rooted = classes.join(if_few(roots), "id", "left").select("f1", "f2", F.col("n").alias("m"), "rep", "id", F.coalesce("root", "id").alias("group"))
         groups = rooted.groupBy("group").agg(F.min("rep").alias("component"))
         named = scratch.stage(rooted.join(groups, "group").drop("rep"), "named")
@@ -169,7 +169,7 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
 
     def matched(part: DataFrame, how: str) -> DataFrame:
         same = F.col("doc_id").eqNullSafe(F.col(there[0])) & (F.col(own[1]) == F.col(there[1])) & (F.col(own[2]) == F.col(there[2]))
-        return _printed(docs, *names[:2]).join(if_few(part), same, how)
+        return printed(docs, *names[:2]).join(if_few(part), same, how)
 
     single = matched(touched, "left_anti").select(*docs.columns)
     again = touched.where(F.col(names[5]))

@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweir.llm import chat, filter_audit, langid, line_dedup, mixing, near_dedup, quality, resampling, secrets, sentencepiece_codec, topk, toxicity
+from tallyweir.llm import chat, filter_audit, jaccard_join, langid, line_dedup, mixing, near_dedup, quality, resampling, secrets, sentencepiece_codec, topk, toxicity
 from tallyweir.llm._common import read_table
 
 
@@ -67,8 +67,12 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_toxicity, op4_top_k, op5_secrets, op6_chat, op7_mixing, op8_near_dedup, op9_line_dedup, op10_language, op11_filter_audit, op12_resampling)
+    f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_toxicity, op4_top_k, op5_secrets, op6_chat, op7_mixing, op8_near_dedup, op9_line_dedup, op10_language, op11_filter_audit, op12_resampling, op13_jaccard_join)
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -76,6 +80,34 @@ _TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPE = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
 
+_COMPONENTS = """
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all({lower}, '{words}') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) >= {size} THEN list_distinct(list_transform(range(1, len(w) - {size} + 2), lambda i: {runs}))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM worded
+        ), items AS (
+            SELECT doc_id, unnest(g) AS x FROM sets
+        ), common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM common JOIN sets s ON s.doc_id = a JOIN sets t ON t.doc_id = b WHERE 100 * k >= {percent} * (len(s.g) + len(t.g) - k)
+        ), reach AS (
+            SELECT doc_id AS id, doc_id AS other FROM sets
+            UNION
+            SELECT r.id, l.other FROM reach r JOIN (SELECT a AS x, b AS other FROM links UNION ALL SELECT b, a FROM links) l ON l.x = r.other
+        ), named AS (
+            SELECT id, min(other) AS component_id FROM reach GROUP BY id
+        )
+"""
+
+
+def _components(size: int, percent: int) -> str:
+    """CTEs ``sets`` and ``named`` (id, component_id): documents whose sets of ``size`` words in a row have a Jaccard index of ``percent``."""
+    runs = " || ' ' || ".join(f"w[i + {k}]" for k in range(size))
+    return _COMPONENTS.format(lower=_LOWER.format("coalesce(text, '')"), words=_WORDS, runs=runs, size=size, percent=percent)
+
+
 ORACLE_SQL: dict[str, str] = {
     "op4_top_k": """
         WITH good AS (
@@ -122,25 +154,7 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, text, lang, source, n_chars, unnest(range(1, copies + 1))::INTEGER AS copy FROM counted WHERE copies > 0
     """,
-    "op8_near_dedup": f"""
-        WITH RECURSIVE worded AS (
-            SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORDS}') AS w FROM documents
-        ), sets AS (
-            SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
-                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM worded
-        ), items AS (
-            SELECT doc_id, unnest(g) AS x FROM sets
-        ), common AS (
-            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
-        ), links AS (
-            SELECT a, b FROM common JOIN sets s ON s.doc_id = a JOIN sets t ON t.doc_id = b WHERE 100 * k >= 85 * (len(s.g) + len(t.g) - k)
-        ), reach AS (
-            SELECT doc_id AS id, doc_id AS other FROM sets
-            UNION
-            SELECT r.id, l.other FROM reach r JOIN (SELECT a AS x, b AS other FROM links UNION ALL SELECT b, a FROM links) l ON l.x = r.other
-        ), named AS (
-            SELECT id, min(other) AS component_id FROM reach GROUP BY id
-        )
+    "op8_near_dedup": _components(3, 85) + """
         SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, n.component_id, s.doc_id = n.component_id AS kept FROM sets s JOIN named n ON n.id = s.doc_id
     """,
     "op11_filter_audit": f"""
@@ -212,4 +226,7 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, n_features::BIGINT AS n_features, weight, score, (CASE WHEN n_features >= 20 AND r <= able // 10 THEN r END)::BIGINT AS rank FROM placed
     """,
+    "op13_jaccard_join": _components(5, 80) + """
+        SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, n.component_id FROM sets s JOIN named n ON n.id = s.doc_id
+    """,
 }
