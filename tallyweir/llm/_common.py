@@ -8,6 +8,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweir.llm._prefix import listed, meetings
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -173,52 +176,6 @@ def components(edges: DataFrame, place: Scratch | None = None) -> DataFrame:
         return keep(now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(roots), "roots", max(1, math.ceil(count / 500_000)))
 
 
-#: Hash groups of elements by which an intersection is bounded.
-GROUPS = 32
-
-
-def shared_counts(owned: DataFrame) -> DataFrame:
-    """(id, size, c0, c1, ...): a set's size and how many of its elements occur in another set too, by hash group.
-
-    ``owned`` is (id, items array<bigint>), items distinct.
-    """
-    rows = owned.select("id", F.explode("items").alias("s"))
-    lonely = rows.groupBy("s").agg(F.min("id").alias("id"), F.max("id").alias("z")).where("id = z").select("id", "s", F.lit(-1).alias("w"))
-    both = rows.withColumn("w", F.lit(1)).unionByName(lonely)
-    group = F.pmod("s", F.lit(GROUPS))
-    return both.groupBy("id").agg(F.count_if(F.col("w") > 0).alias("size"), *[F.sum(F.when(group == g, F.col("w")).otherwise(0)).alias(f"c{g}") for g in range(GROUPS)])
-
-
-def shared_most() -> F.Column:
-    """The most elements that two sets of :func:`shared_counts` can share."""
-    return sum((F.least(f"c{g}", f"c{g}_2") for g in range(1, GROUPS)), F.least("c0", "c0_2"))
-
-
-#: Words of 64 bits in a sketch.
-WORDS = 32
-
-
-def sketches(owned: DataFrame) -> DataFrame:
-    """(id, size, w0, w1, ..., bits): a set's size, a bit field in which each element sets one bit, and the number of bits set.
-
-    ``owned`` is as in :func:`shared_counts`. A set is one row, so it is folded
-    before the exchange.
-    """
-    bits = owned.select("id", F.explode("items").alias("s")).select("id", F.pmod("s", F.lit(WORDS)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 58) as int))").alias("bit"))
-    made = bits.groupBy("id").agg(F.count("*").alias("size"), *[F.coalesce(F.bit_or(F.when(F.col("w") == w, F.col("bit"))), F.lit(0)).cast("long").alias(f"w{w}") for w in range(WORDS)])
-    return made.withColumn("bits", F.expr(" + ".join(f"bit_count(w{w})" for w in range(WORDS))))
-
-
-def sketch_most() -> F.Column:
-    """The most elements that two sets of :func:`sketches` can share: a bit of one that the other lacks is an element of its own.
-
-    Close to the truth while sets are small against the number of bits, valid for all.
-    """
-    # one count of common bits a pair keeps the generated code of the join small
-    common = F.expr(" + ".join(f"bit_count(w{w} & w{w}_2)" for w in range(WORDS)))
-    return common + F.least(F.col("size") - F.col("bits"), F.col("size_2") - F.col("bits_2"))
-
-
 #: Ids up to this number are sent to all executors; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -228,8 +185,22 @@ def if_few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
-#: Members of a bucket that meet in one cell of its pairs.
-CELL = 512
+#: A side of a join may be held in a hash table where Spark finds that each of its partitions is smaller than this.
+HASHED = "64m"
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session with other settings (``__`` in names stands for a dot), for what is computed inside."""
+    names = {k: k.replace("__", ".") for k in values}
+    before = {k: spark.conf.get(name, None) for k, name in names.items()}
+    try:
+        for k, name in names.items():
+            spark.conf.set(name, values[k])
+        yield
+    finally:
+        for k, name in names.items():
+            spark.conf.set(name, before[k]) if before[k] is not None else spark.conf.unset(name)
 
 
 def linked(
@@ -238,10 +209,9 @@ def linked(
     verify: Callable[[DataFrame, DataFrame], DataFrame],
     elements: Callable[[DataFrame], DataFrame],
     percent: int,
-    summary: Callable[[DataFrame], DataFrame] = shared_counts,
-    most: Callable[[], F.Column] = shared_most,
+    place: Scratch,
 ) -> DataFrame:
-    """Components of sets that share a band key and pass ``verify``: (id, root), staged, ids without a link left out.
+    """Components of sets that share a band key and pass ``verify``: (id, root), staged in ``place``, ids without a link left out.
 
     ``sets`` is a staged table (id, weight, keys), ids unique, keys one per band;
     ``fetch`` takes all ids that share a key and returns (id, text), the only
@@ -250,48 +220,32 @@ def linked(
     against its bucket's member of the largest weight (how often its text
     occurs: an original rather than a changed copy), so a hot bucket costs one
     pair per member and is pre-aggregated before the exchange. After the
-    union-find only pairs of one bucket whose members are still in different
-    components are left: pairs inside a component cannot change it. A bucket's
-    pairs are dealt to cells of at most about CELL by CELL members, each pair is
-    met in the first band that its members share, and most pairs are settled by
-    a bound alone: ``elements`` gives the sets of the ids left, ``summary`` a
-    short record of each, and ``most`` the largest intersection that two such
-    records (the second with suffix _2) allow. Pairs for which this keeps the
-    Jaccard index under ``percent`` are left out by the join; all others are
-    verified, so no link between components is lost. The links found then join
-    the components of before.
+    union-find only buckets whose members are in different components are left:
+    pairs inside a component cannot change it. Their members do not meet by
+    bucket, which would take all pairs, but by the rare elements of their sets
+    (``elements`` of texts is (id, items), items distinct): see ``meetings``.
+    That is exact, so no link between members is lost, whatever they share a
+    bucket with. The links found then join the components of before.
     """
     with Scratch(sets.sparkSession, "linked") as scratch:
-        keyed = sets.select("id", "weight", F.posexplode("keys").alias("band", "key"))
+        keyed = sets.select("id", "weight", F.explode("keys").alias("key"))
         leaders = keyed.groupBy("key").agg(F.max_by("id", "weight").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-        shared = scratch.stage(keyed.join(leaders.hint("shuffle_hash"), "key").select("key", "band", "a", F.col("id").alias("b")), "buckets")
+        with settings(sets.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
+            shared = scratch.stage(keyed.join(leaders, "key").select("key", "a", F.col("id").alias("b")), "buckets")
         texts = scratch.hold(fetch(scratch.hold(shared.select(F.col("b").alias("id")).distinct())))
         pairs = shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = verify(pairs, texts)
         first = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
-        rooted = shared.join(first.withColumnRenamed("id", "b"), "b", "left").select("key", "band", "a", "b", F.coalesce("root", "b").alias("root"))
+        rooted = shared.join(first.withColumnRenamed("id", "b"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
         # the leader has met everyone; only other members can still be linked across components
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.expr(f"(n + {CELL - 1}) div {CELL}").alias("cells"))
-        rest = scratch.stage(rooted.where("a <> b").join(mixed, "key").select("key", "band", "cells", "b", "root"), "rest")
-        ids = scratch.hold(rest.select(F.col("b").alias("id")).distinct())
-        few = if_few(ids)
-        records = summary(scratch.hold(elements(texts.join(few, "id", "left_semi"))))
-        counts = scratch.stage(records.join(sets.join(few, "id", "left_semi").select("id", "keys"), "id"), "counts")
-        each = rest.join(counts.withColumnRenamed("id", "b"), "b").withColumn("cell", F.pmod(F.xxhash64("b"), F.col("cells")))
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
-        left = each.withColumn("row", F.col("cell")).withColumn("column", other).drop("cell", "cells")
-        right = each.withColumn("column", F.col("cell")).withColumn("row", other).drop("cell", "cells", "band")
-        cell = ["key", "row", "column"]
-        right = right.select(*cell, *[F.col(c).alias(f"{c}_2") for c in right.columns if c not in cell])
-        # the lambda also keeps the join out of whole-stage code: the one method it would make is too long to be compiled
-        new = F.forall(F.sequence(F.lit(0), F.col("band")), lambda i: (i == F.col("band")) | (F.get("keys", i) != F.get("keys_2", i)))
-        bound = (100 + percent) * most() >= percent * (F.col("size") + F.col("size_2"))
-        across = left.join(right, cell).where((F.col("root") < F.col("root_2")) & bound & new)
-        across = across.select(F.least("b", "b_2").alias("a"), F.greatest("b", "b_2").alias("b"), F.col("root").alias("x"), F.col("root_2").alias("y"))
-        across = scratch.stage(across, "across")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
+        rest = scratch.stage(rooted.join(mixed, "key").where("a <> b").select(F.col("b").alias("id"), "root").distinct(), "rest")
+        items = elements(texts.join(if_few(rest.select("id")), "id", "left_semi"))
+        entries = listed(items.select("id", F.size("items").cast("long").alias("n"), "items"), percent)
+        across = scratch.stage(meetings(entries.join(rest, "id"), percent, scratch), "across")
         more = scratch.stage(verify(across.select("a", "b"), texts).join(across, ["a", "b"]).select(F.col("x").alias("src"), F.col("y").alias("dst")), "more")
         if more.isEmpty():
-            return stage(first, "roots")
+            return place.stage(first, "roots")
         second = components(more, scratch)
         moved = first.join(second.select(F.col("id").alias("root"), F.col("root").alias("to")), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-        return stage(moved.union(second).distinct(), "roots")
+        return place.stage(moved.union(second).distinct(), "roots")

@@ -25,7 +25,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm._common import Scratch, if_few, linked, sketch_most, sketches, stage, unused
+from tallyweir.llm._common import Scratch, if_few, linked, stage, unused
 from tallyweir.llm.quality import WHITE, let
 
 #: Characters are UTF-16 units, so that places in a line are places in its bytes.
@@ -112,7 +112,7 @@ def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80) -> DataF
         def elements(texts: DataFrame) -> DataFrame:
             return texts.select("id", F.array_distinct(_shingles(F.col("text"), shingle)).alias("items"))
 
-        roots = linked(signed.select("id", "weight", "keys"), fetch, confirmed, elements, percent, sketches, sketch_most)
+        roots = linked(signed.select("id", "weight", "keys"), fetch, confirmed, elements, percent, scratch)
         # lines that occur once and are linked with none stay, and take no further part
         groups = signed.select("id", "h1", "h2", "weight").join(if_few(roots), "id", "left").where("weight > 1 or root is not null")
         named = scratch.stage(groups.select("h1", "h2", F.coalesce("root", "id").alias("g")), "groups")
