@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm._common import stage, unused
+from tallyweir.llm._common import Scratch, stage, unused
 
 #: Sources and steps of their distributions up to this number (about 8 MB) are joined by broadcast; beyond it, by shuffle.
 BROADCAST_NUMBERS = 1_000_000
@@ -34,7 +34,7 @@ def uniform(*parts: F.Column | str) -> F.Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5) -> DataFrame:
+def source_rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float, scratch: Scratch) -> DataFrame:
     """(source_key, rate, tails) of each source, one row per source.
 
     Target shares are ``weights`` (normalised over the sources they name), or
@@ -48,7 +48,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
     else:
         pairs = [F.lit(x) for k, v in weights.items() for x in (f"s{k}", float(v))]
         counts = counts.withColumn("w", F.try_element_at(F.create_map(*pairs), F.col("source_key")) if pairs else F.lit(None).cast("double"))
-    counts = stage(counts, "sources")
+    counts = scratch.stage(counts, "sources")
     total = counts.where("w is not null").agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
     rated = counts.crossJoin(F.broadcast(total)).withColumn("rate", F.coalesce(F.try_divide(F.col("all_n") * F.col("w"), F.col("all_w") * F.col("n")), F.lit(1.0)))
     last = (F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
@@ -78,16 +78,20 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, temperat
     """
     if "copy" in (c.lower() for c in docs.columns):
         raise ValueError("docs has a column copy, which is made here")
-    key, tails, copies, place = unused(docs, "source_key", "tails", "copies", "shuffle_key")
-    rates = stage(source_rates(docs, weights, temperature).select("source_key", "tails").toDF(key, tails), "rates")
-    numbers = rates.agg(F.coalesce(F.sum(F.size(tails)), F.lit(0)) + F.count("*")).first()[0]
-    keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")))
-    joined = keyed.join(F.broadcast(rates) if numbers <= BROADCAST_NUMBERS else rates, key)
+    key, tails, copies, place, number = unused(docs, "source_key", "tails", "copies", "shuffle_key", "row_number")
+    with Scratch(docs.sparkSession, "mixing") as scratch:
+        rates = scratch.stage(source_rates(docs, weights, temperature, scratch).select("source_key", "tails").toDF(key, tails), "rates")
+        numbers = rates.agg(F.coalesce(F.sum(F.size(tails)), F.lit(0)) + F.count("*")).first()[0]
+        few = numbers <= BROADCAST_NUMBERS
+        rates = F.broadcast(docs.sparkSession.createDataFrame(rates.collect(), rates.schema)) if few else stage(rates, "rates")
+    # numbered before any exchange: a row keeps its number when a lost executor's share is computed again
+    keyed = docs.withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))).withColumn(number, F.monotonically_increasing_id())
+    joined = keyed.join(rates, key)
     drawn = uniform(f"poisson-{seed}", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))))
     # the array around the number binds it once, or it would be hashed anew for each step of the distribution
     count = F.transform(F.array(drawn), lambda u: F.size(F.filter(tails, lambda t: t < u)))[0]
     counted = joined.withColumn(copies, count).where(F.col(copies) > 0)
     copied = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(copies))))
     # the running number keeps a row that is repeated many times from landing in one task
-    dealt = copied.withColumn(place, F.xxhash64(F.lit(seed), "doc_id", "copy", "text", F.monotonically_increasing_id()))
+    dealt = copied.withColumn(place, F.xxhash64(F.lit(seed), "doc_id", "copy", "text", number))
     return dealt.repartition(place).sortWithinPartitions(F.xxhash64(F.lit(seed + 1), place), "doc_id", "copy").select(*docs.columns, "copy")
