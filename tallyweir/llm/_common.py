@@ -87,6 +87,13 @@ class Scratch:
         (df.coalesce(partitions) if partitions else df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table of this folder before the others; tables read from elsewhere stay."""
+        for file in df.inputFiles()[:1]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if str(path.getParent().toString()).rstrip("/").endswith(self.root.rsplit("/", 1)[-1]):
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def hold(self, df: DataFrame) -> DataFrame:
         """``df`` kept by the executors for a few further reads; a lost executor's share is computed again from the tables below it."""
         self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))

@@ -18,6 +18,8 @@ if TYPE_CHECKING:
 
 #: Members of a list that are met in one group; larger lists are dealt to several.
 CELL = 2048
+#: Long lists up to this number are known to all executors; beyond it they are joined by a shuffle.
+LONG_LISTS = 100_000
 
 
 def needed_sql(a: str, b: str, percent: int) -> str:
@@ -67,10 +69,12 @@ def meetings(rooted: DataFrame, percent: int, scratch: Scratch, boundary: int =
     band = F.floor(F.ln("n") / math.log(100 / percent) + 1e-9) if percent < 100 else F.col("n")
     rest = scratch.stage(rooted.join(mixed, "e").withColumn("band", band.cast("long")), "lists")
     short = F.expr(f"pos + {needed_sql('n', 'n', percent)} <= n")
-    cells = rest.where(short).groupBy("e", "band").agg(F.expr(f"(count(*) + {CELL - 1}) div {CELL}").alias("cells"))
-    small = rest.where(short).join(cells, ["e", "band"]).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))).drop("cells")
+    # only long lists are dealt out: at most one for each CELL entries
+    cells = scratch.stage(rest.where(short).groupBy("e", "band").agg(F.expr(f"(count(*) + {CELL - 1}) div {CELL}").alias("cells")).where("cells > 1"), "cells")
+    cells = F.broadcast(cells) if cells.count() <= LONG_LISTS else cells
+    small = rest.where(short).join(cells, ["e", "band"], "left").withColumn("cell", F.pmod(F.xxhash64("id"), F.coalesce("cells", F.lit(1).cast("long")))).drop("cells")
     large = rest.where(F.col("n") >= boundary).withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    large = large.join(cells, ["e", "band"]).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).drop("cells")
+    large = large.join(cells, ["e", "band"], "left").withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("cells", F.lit(1).cast("long")) - 1))).drop("cells")
     key = ["e", "band", "cell"]
     large = large.select(*key, *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "pos", "root")])
     order = (F.col("n") < F.col("n_2")) | (F.col("n") == F.col("n_2")) & (F.col("id") < F.col("id_2"))

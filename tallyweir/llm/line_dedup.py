@@ -19,6 +19,7 @@ A line is known by two 64-bit hashes and a number of its own in the union-find.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -92,8 +93,28 @@ def _shingles(line: F.Column, shingle: int) -> F.Column:
     return let(F.encode(line, UNITS), made)
 
 
-def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80) -> DataFrame:
-    """(doc_id, row_key, pos), staged, of every line that is not the first of its component."""
+def _copies(gone: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(row_key, keeper): rows that would be near copies of another as a whole, if they kept the lines that it keeps.
+
+    ``gone`` is (row_key, keeper, chars), a row for each line lost. What both
+    would hold is measured in characters of lines, after all other lines are cut.
+    """
+    lost = gone.groupBy("row_key").agg(F.sum("chars").alias("lost"))
+    shared = gone.where("row_key <> keeper").groupBy("row_key", "keeper").agg(F.sum("chars").alias("own"))
+    best = shared.groupBy("row_key").agg(F.max_by(F.struct("keeper", "own"), F.struct("own", "keeper")).alias("x")).select("row_key", "x.*")
+    sizes = _key(docs.select("doc_id", "text")).groupBy("row_key").agg(F.max(F.length("text")).alias("size"))
+    kept = sizes.join(lost, "row_key", "left").select("row_key", (F.col("size") - F.coalesce("lost", F.lit(0))).alias("kept"))
+    both = best.join(kept, "row_key").join(kept.toDF("keeper", "kept_2"), "keeper")
+    return both.where(100 * F.col("own") >= percent * (F.col("kept") + F.col("kept_2"))).select("row_key", "keeper")
+
+
+def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, whole_copies: bool = False) -> DataFrame:
+    """(doc_id, row_key, pos), staged, of every line that is not the first of its component.
+
+    With ``whole_copies``, a row that shares ``percent`` of its text with a
+    single other one once all other lines are cut keeps the lines that the other
+    keeps: it is a near copy of a document, which is for a later stage to see.
+    """
     lines = lines_of(docs)
     with Scratch(docs.sparkSession, "line-dedup") as scratch:
         # distinct lines are numbered: no two share an id
@@ -116,9 +137,17 @@ def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80) -> DataF
         # lines that occur once and are linked with none stay, and take no further part
         groups = signed.select("id", "h1", "h2", "weight").join(if_few(roots), "id", "left").where("weight > 1 or root is not null")
         named = scratch.stage(groups.select("h1", "h2", F.coalesce("root", "id").alias("g")), "groups")
-        places = scratch.stage(lines.select("doc_id", "row_key", "pos", "h1", "h2").join(if_few(named), ["h1", "h2"]).select("g", F.struct("doc_id", "row_key", "pos").alias("at")), "places")
+        found = lines.select("doc_id", "row_key", "pos", "h1", "h2", F.length("line").alias("chars")).join(if_few(named), ["h1", "h2"])
+        places = scratch.stage(found.select("g", F.struct("doc_id", "row_key", "pos").alias("at"), "chars"), "places")
         keepers = scratch.stage(places.groupBy("g").agg(F.min("at").alias("keep")), "keepers")
-        gone = places.join(if_few(keepers), "g").where(~F.col("at").eqNullSafe(F.col("keep"))).select("at.*").distinct()
+        gone = places.join(if_few(keepers), "g").where(~F.col("at").eqNullSafe(F.col("keep"))).select("at.*", "g", "chars", F.col("keep.row_key").alias("keeper"))
+        if whole_copies:
+            gone = scratch.stage(gone, "gone")
+            copies = scratch.stage(_copies(gone, docs, percent), "copies")
+            # of lines that are near-equal inside a row, the first is spared
+            spared = gone.join(if_few(copies), ["row_key", "keeper"]).groupBy("row_key", "g").agg(F.min("pos").alias("pos"))
+            gone = gone.join(if_few(scratch.stage(spared.select("row_key", "pos"), "spared")), ["row_key", "pos"], "left_anti")
+        gone = gone.select("doc_id", "row_key", "pos").distinct()
         return stage(gone, "removed")
 
 
@@ -140,13 +169,18 @@ def _others(lines: F.Column, places: F.Column) -> F.Column:
     return let(lines, lambda a: F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), places), lambda i: a[i]))
 
 
-def keep_first_lines(docs: DataFrame, shingle: int = 9, percent: int = 80) -> DataFrame:
-    """``docs`` without the removed lines; a document that loses its last line with text goes too."""
+def keep_first_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, whole_copies: bool = False, still: Callable[[F.Column], F.Column] | None = None) -> DataFrame:
+    """``docs`` without the removed lines; a document that loses its last line with text goes too.
+
+    ``whole_copies`` as in :func:`removed_lines`; with ``still``, a document that lost
+    lines also goes unless its new text passes.
+    """
     key, gone = unused(docs, "row_key", "removed")
-    removed = _by_document(removed_lines(docs, shingle, percent)).toDF(key, gone)
+    removed = _by_document(removed_lines(docs, shingle, percent, whole_copies)).toDF(key, gone)
     joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(removed, key, "left")
     kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(_others(F.split("text", "\n"), F.col(gone)), "\n"))
-    new = joined.withColumn("text", kept).where(F.col(gone).isNull() | (F.btrim("text", F.lit(WHITE)) != ""))
+    good = F.btrim("text", F.lit(WHITE)) != ""
+    new = joined.withColumn("text", kept).where(F.col(gone).isNull() | (good & still(F.col("text")) if still else good))
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return new.select(*docs.columns)

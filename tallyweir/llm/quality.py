@@ -185,6 +185,11 @@ def _odd(m: Field, lang: Column, refs: dict[str, tuple[list[float], list[float]]
     return odd | (listed & (m("n_words") >= MIN_WORDS) & (words > WORD_LIMIT) & (mixed_distance(m, refs) > WORD_LIMIT))
 
 
+def passes_base(text: Column) -> Column:
+    """Whether a text has 50 words or more, at most half of them in 3-word windows that repeat."""
+    return let(words_of(F.coalesce(text, F.lit(""))), lambda w: (F.size(w) >= 50) & (100 * _repeat_words(w) <= 50 * F.size(w)))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """One row per document: base measures, both distances, ``base_failed`` and ``kept``."""
     found = stage(measures(docs), "quality")
