@@ -30,8 +30,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def fuzzy_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-equal lines the first stays; emptied documents go."""
-    return line_dedup.keep_first_lines(docs)
+    """Of each group of near-equal lines the first stays; documents that no longer pass the base rules without the others go.
+
+    Near copies of a whole document keep the lines that it keeps, so that the
+    next stage finds both.
+    """
+    return line_dedup.keep_first_lines(docs, whole_copies=True, still=quality.passes_base)
 
 
 def near_dup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +71,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     with Scratch(spark, "pipeline") as scratch:
         for name, function in STAGES[:-1]:
-            docs = scratch.stage(function(spark, docs, sf_dir), name)
+            before, docs = docs, scratch.stage(function(spark, docs, sf_dir), name)
+            scratch.drop(before)
         name, function = STAGES[-1]
         return stage(function(spark, docs, sf_dir), f"pipeline-{name}")
