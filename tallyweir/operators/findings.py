@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweir.operators.periods import bin_of, period_series
+from tallyweir.operators.quantiles import exact_quantiles
 
 
 def top_groups(df: DataFrame, dimension: str, metric: str, how: str = "sum", k: int = 8) -> DataFrame:
@@ -30,10 +31,14 @@ def histogram(df: DataFrame, column: str, bins: int = 12) -> DataFrame:
     Fewer than 20 values or 5 distinct ones give no rows.
     """
     x = F.col(column).cast("double")
-    stats = df.where(x.isNotNull()).agg(F.min(x).alias("mn"), F.max(x).alias("mx"), F.expr(f"percentile(cast(`{column}` as double), array(0.01, 0.5, 0.99))").alias("p"), F.count("*").alias("n"), F.approx_count_distinct(x, 0.01).alias("d")).where("n >= 20 and d >= 5")
-    logs = (F.col("mn") > 0) & (F.col("mx") > 20 * F.col("p")[1])
-    lo, hi = F.when(F.col("mn") < 0, F.col("p")[0]).otherwise(F.col("mn")), F.when(F.col("mn") < 0, F.col("p")[2]).otherwise(F.col("mx"))
-    edges = stats.select(logs.alias("logs"), lo.alias("lo"), hi.alias("hi")).where("hi > lo")
+    spread = exact_quantiles(df, [column], [0.01, 0.5, 0.99])[column]
+    distinct = df.agg(F.approx_count_distinct(x, 0.01)).first()[0] if spread.n >= 20 else 0
+    if distinct < 5:
+        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n bigint")
+    p01, median, p99 = spread.quantiles
+    lo, hi = (p01, p99) if spread.least < 0 else (spread.least, spread.most)
+    rows = [(spread.least > 0 and spread.most > 20 * median, lo, hi)] if hi > lo else []
+    edges = df.sparkSession.createDataFrame(rows, "logs boolean, lo double, hi double")
     low, high = F.when(F.col("logs"), F.ln("lo")).otherwise(F.col("lo")), F.when(F.col("logs"), F.ln("hi")).otherwise(F.col("hi"))
     held = edges.select("logs", low.alias("a"), high.alias("b"))
     value = F.when(F.col("logs"), F.ln("x")).otherwise(F.col("x"))
@@ -138,24 +143,32 @@ def ratio_pairs(df: DataFrame, columns: list[str], least: float = 0.95) -> DataF
 
 
 def daily_anomalies(df: DataFrame, date: str, metric: str, z: float = 6.0, off: float = 0.4, most: int = 2) -> DataFrame:
-    """(day, y, expected, score): days far from a centred 29-day median times their weekday's factor.
+    """(day, y, expected, score): days far from a centred 29-day median times their weekday's factor; see :func:`anomalies_of`."""
+    days = settled(period_series(df, date, metric, "sum", "D"))
+    near = Window.orderBy("period").rowsBetween(-14, 14)
+    return anomalies_of(days.withColumn("mid", F.when(F.count("y").over(near) >= 15, F.percentile("y", F.lit(0.5)).over(near))), z, off, most)
+
+
+def settled(days: DataFrame) -> DataFrame:
+    """``days``, a few columns with one row for each period of a calendar, computed once: what follows reads no input again."""
+    return days.sparkSession.createDataFrame(days.collect(), days.schema)
+
+
+def anomalies_of(days: DataFrame, z: float = 6.0, off: float = 0.4, most: int = 2) -> DataFrame:
+    """(day, y, expected, score) of the most unusual days of (period, y, mid), ``mid`` the median around a day.
 
     Needs 28 days, 20 of them with a positive sum and at most half of them zero.
     Residuals are scaled by the root of the expectation and by their own median
-    deviation.
+    deviation. All medians are of one row a day.
     """
-    days = period_series(df, date, metric, "sum", "D")
-    gate = days.agg((F.count_if(F.col("y") > 0) >= 20) & (2 * F.count_if(F.col("y") == 0) <= F.count("*"))).first()[0]
-    days = days.where(F.lit(bool(gate)))
-    w = Window.orderBy("period")
-    centred = w.rowsBetween(-14, 14)
-    base = days.withColumn("mid", F.when(F.count("y").over(centred) >= 15, F.percentile("y", F.lit(0.5)).over(centred))).withColumn("n", F.count("*").over(Window.partitionBy()))
-    ratio = base.withColumn("wd", F.weekday("period")).withColumn("r", F.when(F.col("mid") > 0, F.col("y") / F.col("mid")))
+    days = settled(days)
+    gate = days.agg((F.count_if(F.col("y") > 0) >= 20) & (2 * F.count_if(F.col("y") == 0) <= F.count("*")) & (F.count("*") >= 28)).first()[0]
+    ratio = days.where(F.lit(bool(gate))).withColumn("wd", F.weekday("period")).withColumn("r", F.when(F.col("mid") > 0, F.col("y") / F.col("mid")))
     factors = ratio.groupBy("wd").agg(F.median("r").alias("f"))
     scaled = factors.crossJoin(factors.agg(F.avg("f").alias("m"))).select("wd", F.coalesce(F.try_divide("f", "m"), F.lit(1.0)).alias("f"))
     floor = days.where("y > 0").agg((0.1 * F.median("y")).alias("floor"))
-    expected = ratio.join(F.broadcast(scaled), "wd").crossJoin(F.broadcast(floor)).where("mid is not null and n >= 28").withColumn("expected", F.greatest(F.col("mid") * F.col("f"), F.col("floor")))
-    res = expected.withColumn("res", F.try_divide(F.col("y") - F.col("expected"), F.sqrt("expected")))
+    expected = ratio.join(F.broadcast(scaled), "wd").crossJoin(F.broadcast(floor)).where("mid is not null").withColumn("expected", F.greatest(F.col("mid") * F.col("f"), F.col("floor")))
+    res = settled(expected.select("period", "y", "expected", F.try_divide(F.col("y") - F.col("expected"), F.sqrt("expected")).alias("res")))
     centre = res.agg(F.median("res").alias("c"))
     spread = res.crossJoin(F.broadcast(centre)).withColumn("dev", F.abs(F.col("res") - F.col("c")))
     mad = spread.agg(F.median("dev").alias("mad"))
@@ -196,24 +209,22 @@ def profile_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     Outliers lie more than three interquartile ranges outside the quartiles, on
     a log scale where min > 0 and p99 / median > 8.
     """
-    first = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        first.append(F.struct(F.lit(c).alias("name"), (100.0 * (F.count("*") - F.count(x)) / F.greatest(F.count("*"), F.lit(1))).alias("missing_pct"), F.count_distinct(F.col(c)).alias("uniques"), F.min(x).alias("mn"), F.median(x).alias("median"), F.max(x).alias("mx"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75), F.lit(0.99))).alias("p")).alias(f"c{i}"))
-    stats = df.agg(*first).first()
-    second = []
+    spreads = exact_quantiles(df, columns, [0.25, 0.5, 0.75, 0.99])
+    aggs, kept = [F.count("*").alias("n")], {}
     for i, c in enumerate(columns):
-        s, x, found = stats[f"c{i}"], F.col(c).cast("double"), F.lit(0)
-        if s["p"]:
-            low, high, scale = *s["p"][:2], (lambda v: v)
-            if s["mn"] > 0 and s["median"] > 0 and s["p"][2] / s["median"] > 8:
+        s, x, found = spreads[c], F.col(f"`{c}`").cast("double"), F.lit(0)
+        if s.n:
+            low, median, high, p99 = s.quantiles
+            scale = lambda v: v
+            if s.least > 0 and median > 0 and p99 / median > 8:
                 low, high, scale = math.log10(low), math.log10(high), F.log10
             if high > low:
                 gap = 3 * (high - low)
                 found = F.count_if((scale(x) < low - gap) | (scale(x) > high + gap))
-        second.append(found.alias(f"c{i}"))
-    counts = df.agg(*second).first()
-    rows = [(c, *(stats[f"c{i}"][k] for k in ("missing_pct", "uniques", "mn", "median", "mx")), counts[f"c{i}"]) for i, c in enumerate(columns)]
+        kept[c] = s
+        aggs.append(F.struct(F.count(x).alias("held"), F.count_distinct(F.col(f"`{c}`")).alias("uniques"), found.cast("bigint").alias("outliers")).alias(f"c{i}"))
+    made = df.agg(*aggs).first()
+    rows = [(c, 100.0 * (made["n"] - made[f"c{i}"]["held"]) / max(made["n"], 1), made[f"c{i}"]["uniques"], kept[c].least, kept[c].quantiles[1], kept[c].most, made[f"c{i}"]["outliers"]) for i, c in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, "name string, missing_pct double, uniques bigint, mn double, median double, mx double, outliers bigint")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyweir.functions.inference import CODE_NAME
 from tallyweir.operators.findings import duplicate_rows, profile_numbers
+from tallyweir.operators.quantiles import exact_quantiles
 
 # Fixed patterns of column names.
 METRIC = r"amount|sales|revenue|total|donat|expens|cost|profit|qty|quantity|units|price|balance|spend|value|volume|score|rate"
@@ -186,7 +187,8 @@ def spelling_groups(df: DataFrame, column: str, k: int = 12) -> DataFrame:
 def outlier_examples(df: DataFrame, column: str, k: int = 3) -> DataFrame:
     """(value, share): the k largest values by size outside three interquartile ranges, and the share all outliers hold."""
     x = F.col(f"`{column}`").cast("double")
-    q1, q3, p99, mid, least, total = df.agg(F.percentile(x, F.lit(0.25)), F.percentile(x, F.lit(0.75)), F.percentile(x, F.lit(0.99)), F.median(x), F.min(x), F.sum(x)).first()
+    spread = exact_quantiles(df, [column], [0.25, 0.5, 0.75, 0.99])[column]
+    (q1, mid, q3, p99), least = spread.quantiles, spread.least
     none = df.select(x.alias("value"), F.lit(None).cast("double").alias("share")).limit(0)
     if q1 is None:
         return none
@@ -195,7 +197,7 @@ def outlier_examples(df: DataFrame, column: str, k: int = 3) -> DataFrame:
     if high <= low:
         return none
     out = df.where((scaled < low - 3 * (high - low)) | (scaled > high + 3 * (high - low))).select(x.alias("value"))
-    held = out.agg(F.sum("value").alias("s")).first()["s"]
+    held, total = df.agg(F.sum(F.when((scaled < low - 3 * (high - low)) | (scaled > high + 3 * (high - low)), x)), F.sum(x)).first()
     share = held / total if held is not None and least >= 0 and total > 0 else None
     return out.orderBy(F.abs("value").desc(), "value").limit(k).withColumn("share", F.lit(share).cast("double"))
 

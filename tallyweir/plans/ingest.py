@@ -31,14 +31,11 @@ def cleaned(raw: DataFrame, row_id: str | None = None) -> tuple[DataFrame, dict[
     """
     kept = inference.without_index_columns(raw, row_id) if row_id else raw
     kept = inference.without_total_lines(kept)
-    df, kinds = inference.typed(kept)
+    df, kinds = inference.typed(kept, spellings=True)
     if row_id:
         df = inference.without_sum_row(df, row_id)
     numbers = [c for c, kind in df.dtypes if kind in ("double", "float")]
     df = df.withColumns({c: cleaning.finite(F.col(f"`{c}`")) for c in numbers})
-    for name, kind in kinds.items():
-        if kind == "text":
-            df = cleaning.merge_spellings(df, name)
     return df, kinds
 
 

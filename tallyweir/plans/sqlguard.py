@@ -4,7 +4,10 @@ The first gate walks the parsed statement: plan nodes, table names and function
 names. The second walks the analysed plan, where nothing is hidden any more:
 every leaf must lie in one of the given tables, and no expression may be one of
 Spark's miscellaneous functions, however it was written (``current_user`` needs
-no brackets). Tables are registered under names of their own and dropped again,
+no brackets), and no expression without children may be anything but a column
+of those tables, a constant, a part of a window or a function that may be called
+(a session variable is none of these). Functions of chance and of the clock are
+allowed: they say nothing about other callers. Tables are registered under names of their own and dropped again,
 so callers of one session do not see each other's.
 """
 
@@ -33,6 +36,9 @@ DENIED = frozenset("reflect java_method try_reflect input_file_name input_file_b
 #: Leaves of an analysed plan besides the given tables.
 LEAVES = frozenset(["OneRowRelation", "CTERelationRef"])
 
+#: Expressions without children besides functions: columns, constants, lambda variables and the bounds of windows.
+TIPS = frozenset("AttributeReference OuterReference Literal NamedLambdaVariable UnspecifiedFrame$ CurrentRow$ UnboundedPreceding$ UnboundedFollowing$ ScalarSubquery Exists ListQuery LateralSubquery".split())
+
 
 class QueryRefused(ValueError):
     """The query is not a read-only SELECT over the allowed tables."""
@@ -47,8 +53,8 @@ def _values(mapping: JavaObject) -> list[JavaObject]:
 
 
 @functools.cache
-def _function_classes(application: str) -> tuple[dict[str, str], frozenset[str]]:
-    """Group by name of the built-in functions, and the classes that no analysed plan may hold; the same in every session."""
+def _function_classes(application: str) -> tuple[dict[str, str], frozenset[str], frozenset[str]]:
+    """Group by name of the built-in functions, the classes that no analysed plan may hold and those it may; the same in every session."""
     spark = SparkSession.active()
     registry = spark._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
     groups, classes, allowed = {}, set(), set()
@@ -59,7 +65,7 @@ def _function_classes(application: str) -> tuple[dict[str, str], frozenset[str]]
         simple = info.getClassName().rsplit(".", 1)[-1]
         refused = plain in DENIED or info.getGroup() in REFUSED_GROUPS and plain not in HARMLESS
         (classes if refused else allowed).add(simple)
-    return groups, frozenset(classes - allowed)
+    return groups, frozenset(classes - allowed), frozenset(allowed)
 
 
 def _may_call(spark: SparkSession, name: str) -> bool:
@@ -132,12 +138,13 @@ def _check_analysed(spark: SparkSession, plan: JavaObject, views: frozenset[str]
 
 
 def _check_expression(spark: SparkSession, expression: JavaObject, views: frozenset[str]) -> None:
-    kind = expression.getClass().getSimpleName()
-    if kind in _function_classes(spark.sparkContext.applicationId)[1] or kind in ("ScalaUDF", "PythonUDF", "CallMethodViaReflection"):
+    kind, children = expression.getClass().getSimpleName(), _items(expression.children())
+    _, refused, allowed = _function_classes(spark.sparkContext.applicationId)
+    if kind in refused or kind in ("ScalaUDF", "PythonUDF", "CallMethodViaReflection") or not children and kind not in TIPS and kind not in allowed:
         raise QueryRefused(f"{kind} is not allowed")
     if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
         _check_analysed(spark, expression.plan(), views)
-    for child in _items(expression.children()):
+    for child in children:
         _check_expression(spark, child, views)
 
 

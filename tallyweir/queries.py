@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweir.functions import cleaning, inference
-from tallyweir.operators import findings, fitted, forecast, periods, recommend, roles
+from tallyweir.operators import findings, fitted, forecast, frequency, pairs, periods, quantiles, recommend, roles, segments
 from tallyweir.plans import ingest, sqlguard
+from tallyweir.sources.shared import Folder, followed
+from tallyweir.streaming import levels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -508,3 +510,182 @@ def cleared_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), cleaning.finite(score).alias("score"))
     clear = inference.without_stray_codes(scores, "score")
     return clear.groupBy("brand").agg(F.count("*").alias("n"), F.count("score").alias("scores"), F.round(F.avg("score"), 6).alias("mean"))
+
+
+_SHARES = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS n, " + ", ".join(f"round(quantile_cont({c}, {p}), 6) AS p{round(100 * p):02d}" for p in _SHARES) + " FROM lineitem" for c in _MEASURES))
+def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quantiles.exact_quantiles(table(spark, sf_dir, "lineitem"), list(_MEASURES), list(_SHARES))
+    rows = [(c, s.n, *(round(q, 6) for q in s.quantiles)) for c, s in found.items()]
+    return spark.createDataFrame(rows, "name string, n bigint, " + ", ".join(f"p{round(100 * p):02d} double" for p in _SHARES))
+
+
+_WEIGHED = "SELECT l_quantity AS amount, l_quantity + 20 * (l_partkey % 3) AS handling, 2 * l_quantity + 1 AS twice, l_quantity + 10 * (l_partkey % 4) AS packing_total, l_extendedprice AS price, CASE WHEN l_suppkey % 10 > 0 THEN -l_quantity + 9 * (l_orderkey % 4) END AS slack FROM lineitem"
+
+
+@query(f"""
+    WITH t AS ({_WEIGHED}), r AS (
+        {" UNION ALL ".join(f"SELECT '{c}' AS other, count(amount + {c}) AS n, corr(amount, {c}) AS r FROM t" for c in ("handling", "twice", "price", "slack"))}
+    )
+    SELECT other, n, round(r, 6) AS r FROM r WHERE abs(r) > 0.5 AND abs(r) < 0.95 AND (SELECT count(*) FROM t) >= 50 ORDER BY abs(r) DESC, other LIMIT 1
+""")
+def moves_with_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, key = F.col("l_quantity"), lambda c, n: (F.col(c) % n).cast("double")
+    weighed = table(spark, sf_dir, "lineitem").select(q.alias("amount"), (q + 20 * key("l_partkey", 3)).alias("handling"), (2 * q + 1).alias("twice"), (q + 10 * key("l_partkey", 4)).alias("packing_total"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_suppkey") % 10 > 0, -q + 9 * key("l_orderkey", 4)).alias("slack"))
+    return rounded(pairs.moves_with(weighed, "amount", ["handling", "twice", "packing_total", "price", "slack"]), 6, "r")
+
+
+_PAID = "SELECT l_returnflag AS flag, l_linestatus AS status, l_extendedprice AS charged, l_extendedprice * CASE WHEN l_returnflag = 'R' THEN 0.25 WHEN l_linestatus = 'O' THEN 0.75 ELSE 0.5 END AS paid, CASE WHEN l_orderkey % 50 > 0 THEN l_quantity END AS pieces FROM lineitem"
+
+
+@query(f"""
+    WITH t AS ({_PAID}), c AS (
+        {" UNION ALL ".join(f"SELECT '{a}' AS part, '{b}' AS whole, {d} AS label, '{d}' AS dimension, {a} AS a, {b} AS b FROM t" for a in ("charged", "paid", "pieces") for b in ("charged", "paid", "pieces") if a != b for d in ("flag", "status"))}
+    ), p AS (
+        SELECT part, whole, sum(a) FILTER (b > 0) / sum(b) FILTER (b > 0 AND a IS NOT NULL) AS overall, sum(b) FILTER (b > 0 AND a IS NOT NULL) AS total FROM c WHERE dimension = 'flag' GROUP BY 1, 2
+        HAVING count(a + b) >= 0.9 * count(*) AND count(*) FILTER (b > 0 AND a IS NOT NULL) >= 40 AND avg((a <= b + 1e-9)::INT) FILTER (b > 0) >= 0.95
+            AND count(*) FILTER (b > 0 AND a < 0) = 0 AND sum(a) FILTER (b > 0) > 0 AND sum(a) FILTER (b > 0) / sum(b) FILTER (b > 0 AND a IS NOT NULL) < 0.999
+    ), g AS (
+        SELECT part, whole, dimension, label, count(*) AS n, sum(a) / sum(b) AS ratio, sum(b) AS pb FROM c WHERE b > 0 AND a IS NOT NULL AND label IS NOT NULL GROUP BY ALL
+    ), o AS (
+        SELECT part, whole, dimension, label, n, ratio, overall, pb / total AS share, abs(ratio - overall) AS gap FROM g JOIN p USING (part, whole)
+        WHERE n >= 20 AND pb / total >= 0.05 AND abs(ratio - overall) >= greatest(0.10, 0.25 * overall)
+    )
+    SELECT part, whole, dimension, label, n, round(ratio, 6) AS ratio, round(overall, 6) AS overall, round(share, 6) AS share, round(gap, 6) AS gap,
+        row_number() OVER (ORDER BY gap * share DESC, part, whole, dimension, label)::INT AS rank FROM o
+""")
+def ratio_gap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price, flag = F.col("l_extendedprice"), F.col("l_returnflag")
+    rate = F.when(flag == "R", 0.25).when(F.col("l_linestatus") == "O", 0.75).otherwise(0.5)
+    paid = table(spark, sf_dir, "lineitem").select(flag.alias("flag"), F.col("l_linestatus").alias("status"), price.alias("charged"), (price * rate).alias("paid"), F.when(F.col("l_orderkey") % 50 > 0, F.col("l_quantity")).alias("pieces"))
+    return rounded(pairs.ratio_gaps(paid, ["charged", "paid", "pieces"], ["flag", "status"]), 6, "ratio", "overall", "share", "gap")
+
+
+_SHIFTED = """SELECT o_orderdate::DATE AS d, o_orderpriority AS priority, o_orderstatus AS status,
+    o_totalprice * CASE WHEN o_orderdate >= TIMESTAMP '2001-05-01' AND o_orderpriority = '1-URGENT' THEN 0.4 WHEN o_orderdate >= TIMESTAMP '2001-05-01' AND o_orderstatus = 'P' THEN 1.9 ELSE 1 END AS v FROM orders WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL"""
+
+
+@query(f"""
+    WITH t AS ({_SHIFTED}), ends AS (
+        SELECT date_trunc('month', min(d))::DATE AS a, date_trunc('month', max(d))::DATE AS b, min(d) AS lo, max(d) AS hi, sum(v) AS total FROM t
+    ), span AS (
+        SELECT CASE WHEN lo - a > 2 THEN (a + INTERVAL 1 MONTH)::DATE ELSE a END AS first, CASE WHEN last_day(b) - hi > 2 THEN (b - INTERVAL 1 MONTH)::DATE ELSE b END AS last, total FROM ends
+    ), c AS (
+        SELECT dimension, label, date_trunc('month', d)::DATE AS period, sum(v) AS v, count(*) AS n FROM (
+            SELECT '' AS dimension, '' AS label, d, v FROM t UNION ALL SELECT 'priority', priority, d, v FROM t UNION ALL SELECT 'status', status, d, v FROM t
+        ) WHERE label IS NOT NULL GROUP BY ALL
+    ), dense AS (
+        SELECT g.dimension, g.label, age, coalesce(c.v, 0) AS v FROM (SELECT DISTINCT dimension, label FROM c) g, (SELECT unnest(range(9)) AS age), span
+        LEFT JOIN c ON c.dimension = g.dimension AND c.label = g.label AND c.period = (span.last - to_months(age::INT))::DATE
+    ), s AS (
+        SELECT dimension, label, avg(v) FILTER (age >= 3) AS before, avg(v) FILTER (age < 3) AS recent, stddev_samp(v) FILTER (age >= 3) AS sd FROM dense GROUP BY ALL
+    ), f AS (
+        SELECT s.*, n, sv / total AS share, total, CASE WHEN before > 0 THEN (recent - before) / before * 100 END AS change, 2.5 * sd * sqrt(1 / 6.0::DOUBLE + 1 / 3.0::DOUBLE) AS noise
+        FROM s JOIN (SELECT dimension, label, sum(n) AS n, sum(v) AS sv FROM c GROUP BY ALL) USING (dimension, label), span WHERE date_diff('month', first, last) >= 8
+    ), j AS (
+        SELECT f.*, o.change AS overall, coalesce(total > 0 AND share >= 0.05 AND n >= 15 AND abs(f.change) >= 25 AND abs(f.change - o.change) >= 20 AND abs(recent - before) >= noise, false) AS found
+        FROM f, (SELECT change FROM f WHERE dimension = '' AND change IS NOT NULL) o WHERE dimension <> ''
+    )
+    SELECT dimension, label, n::BIGINT AS n, round(share, 6) AS share, round(before, 2) AS before, round(recent, 2) AS recent, round(change, 6) AS change, round(overall, 6) AS overall, round(noise, 2) AS noise, found,
+        CASE WHEN found THEN row_number() OVER (PARTITION BY found ORDER BY abs(recent - before) DESC, dimension, label) END::INT AS rank FROM j
+""")
+def moved_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = F.col("o_orderdate") >= F.lit("2001-05-01").cast("timestamp")
+    factor = F.when(late & (F.col("o_orderpriority") == "1-URGENT"), 0.4).when(late & (F.col("o_orderstatus") == "P"), 1.9).otherwise(1.0)
+    shifted = table(spark, sf_dir, "orders").select("o_orderdate", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") * factor).alias("v"))
+    return rounded(rounded(segments.segment_shifts(shifted, "o_orderdate", "v", ["priority", "status"]), 6, "share", "change", "overall"), 2, "before", "recent", "noise")
+
+
+#: Name of a series, its times from an order's day d, and which orders it takes.
+_SERIES = {
+    "days": ("d", "true"),
+    "working days": ("d", "isodow(d) <= 5"),
+    "weeks": ("date_trunc('week', d)", "true"),
+    "weeks with holes": ("date_trunc('week', d)", "week(d) % 5 <> 0"),
+    "months": ("date_trunc('month', d)", "true"),
+    "month ends": ("last_day(d)", "true"),
+    "quarters": ("date_trunc('quarter', d)", "true"),
+    "years": ("date_trunc('year', d)", "true"),
+    "twice a month": ("d", "day(d) IN (3, 17)"),
+    "once": ("d", "d = DATE '1999-01-04'"),
+}
+
+
+@query(f"""
+    WITH o AS (SELECT o_orderdate::DATE AS d FROM orders WHERE o_orderdate IS NOT NULL), t AS (
+        {" UNION ".join(f"SELECT '{name}' AS series, ({at})::DATE AS t FROM o WHERE {which}" for name, (at, which) in _SERIES.items())}
+    ), p AS (
+        SELECT series, t, lag(t) OVER (PARTITION BY series ORDER BY t) AS p FROM t
+    ), g AS (
+        SELECT series, count(*) AS n, median(t - p) AS gap, min(t - p) AS least, max(t - p) AS most, min(date_diff('month', p, t)) AS m1, max(date_diff('month', p, t)) AS m2, count(DISTINCT month(t)) AS months,
+            bool_and(day(t) = 1) AS starts, bool_and(t = last_day(t)) AS ends, bool_and(isodow(t) <= 5) AS working, bool_and(p IS NULL OR t - p = CASE WHEN isodow(p) = 5 THEN 3 ELSE 1 END) AS next_working
+        FROM p GROUP BY series
+    )
+    SELECT series, n, round(gap, 6) AS gap, coalesce(
+        CASE WHEN n < 3 THEN NULL WHEN least = most AND least = 1 THEN 'D' WHEN working AND next_working THEN 'B' WHEN least = most AND least = 7 THEN 'W'
+            WHEN starts AND m1 = m2 AND m1 = 12 AND months = 1 THEN 'YS' WHEN ends AND m1 = m2 AND m1 = 12 AND months = 1 THEN 'YE' WHEN starts AND m1 = m2 AND m1 = 3 THEN 'QS' WHEN ends AND m1 = m2 AND m1 = 3 THEN 'QE'
+            WHEN starts AND m1 = m2 AND m1 = 1 THEN 'MS' WHEN ends AND m1 = m2 AND m1 = 1 THEN 'ME' END,
+        CASE WHEN n < 2 THEN NULL WHEN gap < 0.2 THEN 'h' WHEN gap <= 1.5 THEN 'D' WHEN gap BETWEEN 5 AND 9 THEN 'W' WHEN gap BETWEEN 26 AND 33 THEN 'MS' WHEN gap BETWEEN 85 AND 95 THEN 'QS' END) AS frequency
+    FROM g
+""")
+def series_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("d")
+    day = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d"))
+    trunc = lambda unit: F.trunc(d, unit)
+    times = {
+        "days": d,
+        "working days": F.when(F.weekday(d) < 5, d),
+        "weeks": trunc("week"),
+        "weeks with holes": F.when(F.weekofyear(d) % 5 != 0, trunc("week")),
+        "months": trunc("month"),
+        "month ends": F.last_day(d),
+        "quarters": trunc("quarter"),
+        "years": trunc("year"),
+        "twice a month": F.when(F.dayofmonth(d).isin(3, 17), d),
+        "once": F.when(d == F.lit("1999-01-04").cast("date"), d),
+    }
+    rows = day.select(F.explode(F.array(*[F.struct(F.lit(name).alias("series"), t.alias("t")) for name, t in times.items()])).alias("x")).select("x.*")
+    return rounded(frequency.frequencies(rows, "series", "t"), 6, "gap")
+
+
+@query("""
+    WITH o AS (SELECT o_orderdate::DATE AS d, o_totalprice AS v, o_orderpriority AS priority, o_orderstatus AS status FROM orders WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL), e AS (
+        SELECT date_trunc('month', min(d))::DATE AS a, date_trunc('month', max(d))::DATE AS b, max(d) AS hi, count(DISTINCT d) / count(DISTINCT date_trunc('month', d)) AS per_month, count(DISTINCT d) >= 20 * count(DISTINCT date_trunc('month', d)) AS daily FROM o
+    ), w AS (
+        SELECT a, daily, CASE WHEN last_day(hi) - hi > 2 AND per_month > 4 THEN b ELSE (b + INTERVAL 1 MONTH)::DATE END AS c1 FROM e
+    ), s AS (
+        SELECT a, daily, (c1 - INTERVAL 2 MONTH)::DATE AS p0, (c1 - INTERVAL 1 MONTH)::DATE AS c0, c1 FROM w WHERE (c1 - INTERVAL 2 MONTH)::DATE >= a
+    ), r AS (
+        SELECT o.*, s.* FROM o, s WHERE d >= p0 AND d < c1
+    ), u AS (
+        SELECT sum(v) FILTER (d < c0) AS old, sum(v) FILTER (d >= c0) AS new,
+            CASE WHEN any_value(daily) THEN any_value(c1 - c0) ELSE count(DISTINCT d) FILTER (d >= c0) END / CASE WHEN any_value(daily) THEN any_value(c0 - p0) ELSE count(DISTINCT d) FILTER (d < c0) END AS s, any_value(daily) AS daily FROM r
+    ), k AS (
+        SELECT CASE WHEN abs(s - 1) >= 0.03 THEN s ELSE 1.0 END AS scale, CASE WHEN abs(s - 1) >= 0.03 THEN CASE WHEN daily THEN 'day' ELSE 'reporting date' END END AS unit FROM u
+        WHERE abs(new - old * CASE WHEN abs(s - 1) >= 0.03 THEN s ELSE 1.0 END) >= 0.03 * abs(old * CASE WHEN abs(s - 1) >= 0.03 THEN s ELSE 1.0 END)
+    ), g AS (
+        SELECT dimension, coalesce(label, '(blank)') AS label, scale, unit, coalesce(sum(v) FILTER (d < c0), 0) * scale AS before, coalesce(sum(v) FILTER (d >= c0), 0) AS after
+        FROM (SELECT 'priority' AS dimension, priority AS label, d, v, c0 FROM r UNION ALL SELECT 'status', status, d, v, c0 FROM r), k GROUP BY ALL
+    ), f AS (
+        SELECT dimension, CASE WHEN count(*) >= 2 THEN max(abs(after - before)) / sum(abs(after - before)) END AS focus FROM g GROUP BY 1
+    )
+    SELECT dimension, label, round(before, 2) AS before, round(after, 2) AS after, round(after - before, 2) AS delta, round(scale, 6) AS scale, unit, round(focus, 6) AS focus,
+        focus IS NOT NULL AND dimension = (SELECT dimension FROM f ORDER BY focus DESC NULLS LAST, dimension DESC LIMIT 1) AS lead FROM g JOIN f USING (dimension)
+""")
+def latest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderdate", "o_totalprice", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    return rounded(rounded(frequency.last_change(orders, "o_orderdate", "o_totalprice", ["priority", "status"]), 2, "before", "after", "delta"), 6, "scale", "focus")
+
+
+@query(SQL["spiked_day_anomalies"])
+def streamed_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same days, from daily levels that a stream keeps up; the table is in no order of time, so the delay covers its span."""
+    path = f"{sf_dir}/orders.parquet"
+    spiked = F.when(F.to_date("o_orderdate").cast("string").isin("1997-03-12", "1998-07-01", "1999-10-20"), 40).otherwise(1)
+    rows = followed(spark, path).withColumn("o_totalprice", F.col("o_totalprice") * spiked)
+    with Folder(spark, "levels") as place:
+        levels.advance(spark, rows, place, "o_orderkey", "o_orderdate", "o_totalprice", delay_days=36_500)
+        found = rounded(levels.anomalies(spark, place), 4, "y", "expected", "score")
+        return findings.settled(found)

@@ -60,12 +60,16 @@ ALLOWED = [
     "select a from data intersect select b from data",
     "select a from data except select b from data",
     "select a from data x where not exists (select 1 from data y where y.b = x.a)",
-    "select a, row_number() over w from data window w as (partition by a order by b rows between 1 preceding and current row)",
+    "select a, sum(b) over w from data window w as (partition by a order by b rows between 1 preceding and current row)",
     "select case when a > 1 then 'x' else 'y' end as k, avg(b) from data group by 1 having count(*) > 0 order by k",
     "select date_trunc('month', date'2024-01-05'), upper('a'), coalesce(a, b), current_date from data",
     "select explode(array(1, 2)) from data -- a comment",
     "select * from data, lateral (select a + b as s)",
     "select typeof(a) from data;",
+    "select transform(array(a, b), x -> x + 1), rand(), current_timestamp(), pi() from data",
+    "select a, lag(b) over (order by a), dense_rank() over (order by b desc) from data",
+    "select count(distinct a), sum(b) filter (where a > 1), percentile(b, 0.5) from data",
+    "select date'2024-01-01' + interval 3 days, cast(a as decimal(9, 2)), array(1, 2)[0], named_struct('x', a).x from data",
 ]
 
 
@@ -93,6 +97,14 @@ def test_allowed(spark, data, sql):
     assert limited(spark, sql, {"data": data}).collect() is not None
 
 
+@pytest.mark.parametrize("sql", ["select secretvar from data", "select session.secretvar from data", "select system.session.secretvar from data", "select a from data where b < secretvar", "select (select max(b) + secretvar from data) from data"])
+def test_session_variables_are_refused(spark, data, sql):
+    spark.sql("declare or replace variable secretvar int default 42")
+    with pytest.raises((QueryRefused, AnalysisException)):
+        limited(spark, sql, {"data": data})
+    spark.sql("drop temporary variable secretvar")
+
+
 def test_user_functions_are_refused(spark, data):
     spark.udf.register("own_plus", lambda x: x + 1, "int")
     with pytest.raises(QueryRefused):
