@@ -1,11 +1,13 @@
 """Filter interaction audit by a retracting stream: what each filter removes under every order of five filters.
 
 All files of the documents' table are processed as available-now micro-batches.
-A stateful operator keyed by the text (its SHA-256) remembers the smallest
-doc_id seen with that text and where its rows were counted. The row with the
+A stateful operator remembers for every text (by its SHA-256) the smallest
+doc_id seen and where the rows of that id were counted. The row with the
 smallest id does not fail E; when a smaller id arrives, the counters of the
 rows that held that place are taken back and they are counted again with E in
-their mask. What the stream adds up is, for each part, how many documents
+their mask. Texts share a state in buckets of a few hundred by hash, so that a
+micro-batch is worked through in arrays; a bucket's state holds one row for
+each of its texts. What the stream adds up is, for each part, how many documents
 failed which set of filters; everything that the report asks of 120 orders
 follows from those at most 32 x 4 counters a part.
 
@@ -30,6 +32,7 @@ import itertools
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,17 +46,21 @@ FILTERS = "ABCDE"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Micro-batches that the files of one call are dealt to, about.
 BATCHES = 4
-#: Settings of the stream: state on local disk and in the checkpoint, small commits, bounded memory.
+#: Settings of the stream: state on local disk and in the checkpoint, small commits, bounded memory, no disk taken ahead of need.
 STREAM = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 _LAST = 2**63 - 1
-_STATE = "least bigint, mask int, parts array<string>, good array<int>, toxic array<int>, times array<bigint>"
+_STATE = "held binary"
+#: Bytes of the table for each bucket of texts: some hundred documents.
+BUCKET_BYTES = 1 << 20
 _CHANGE = "part string, mask int, good int, toxic int, n bigint"
-_ROW = "print binary, named boolean, id bigint, part string, mask int, good int, toxic int, n bigint"
+_HELD, _COUNTED = ["print", "id", "part", "mask", "good", "toxic", "n"], ["part", "mask", "good", "toxic", "n"]
+_ROW = "bucket bigint, print binary, named boolean, id bigint, part string, mask int, good int, toxic int, n bigint"
 
 
 def masks(text: F.Column) -> F.Column:
@@ -74,57 +81,39 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = rows["id"].where(rows["named"], _LAST).groupby(rows["print"]).transform("min")
         later = rows["named"] & (rows["id"] > least)
         rows.loc[later, "id"] = least[later] + 1
-        made = rows.groupby(["print", "named", "id", "part", "mask", "good", "toxic"], sort=False)["n"].sum().reset_index()
+        made = rows.groupby(["bucket", *_HELD[:1], "named", *_HELD[1:-1]], sort=False)["n"].sum().reset_index()
         yield pa.RecordBatch.from_pandas(made, batch.schema, preserve_index=False)
 
 
-_FRAMES: dict[tuple, pd.DataFrame] = {}
-
-
-def _changes(made: dict[tuple, int]) -> Iterator[pd.DataFrame]:
-    """A frame of (part, mask, good, toxic, n); single changes, the usual ones, are made once."""
-    made = {k: n for k, n in made.items() if n}
-    key = tuple(sorted(made.items()))
-    if key not in _FRAMES:
-        if len(_FRAMES) > 4096:
-            _FRAMES.clear()
-        _FRAMES[key] = pd.DataFrame([(*k, n) for k, n in made.items()], columns=["part", "mask", "good", "toxic", "n"])
-    if made:
-        yield _FRAMES[key]
-
-
 def _seen(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The changes of the counters that a text's new rows bring about."""
-    least, mask, place = None, 0, {}
-    if state.exists:
-        least, mask, *held = state.get
-        place = dict(zip(zip(*held[:3], strict=True), held[3], strict=True))
-    made: dict[tuple, int] = {}
-
-    def count(part: str, mask: int, good: int, toxic: int, n: int) -> None:
-        made[part, mask, good, toxic] = made.get((part, mask, good, toxic), 0) + n
-
-    changed = False
-    for frame in frames:
-        for named, doc_id, part, mask, good, toxic, n in zip(*[frame[c].tolist() for c in ("named", "id", "part", "mask", "good", "toxic", "n")], strict=True):
-            label = (part, good, toxic)
-            if not named:
-                count(part, mask, good, toxic, n)
-            elif least is None or doc_id < least:
-                for (p, g, t), times in place.items():
-                    count(p, mask, g, t, -times)
-                    count(p, mask | 16, g, t, times)
-                least, place, changed = doc_id, {label: n}, True
-                count(part, mask, good, toxic, n)
-            elif doc_id == least:
-                place[label] = place.get(label, 0) + n
-                changed = True
-                count(part, mask, good, toxic, n)
-            else:
-                count(part, mask | 16, good, toxic, n)
-    if changed:
-        state.update((least, mask, [k[0] for k in place], [k[1] for k in place], [k[2] for k in place], list(place.values())))
-    yield from _changes(made)
+    """The changes of the counters that a bucket's new rows bring about.
+
+    The state is a table of the rows that hold the smallest id of their text,
+    equal ones counted.
+    """
+    new = pd.concat(list(frames), ignore_index=True)
+    old = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else new.iloc[:0][_HELD]
+    named = new[new["named"]][_HELD]
+    rows = pd.concat([old, named], ignore_index=True) if len(old) else named.reset_index(drop=True)
+    arrived = np.arange(len(rows)) >= len(old)
+    first = (rows["id"] == rows.groupby("print")["id"].transform("min")).to_numpy()
+    late = rows["mask"] | 16
+    back = rows[~arrived & ~first]
+    changes = [
+        rows[arrived & first],
+        rows.assign(mask=late)[~first],
+        back.assign(n=-back["n"]),
+        new[~new["named"]],
+    ]
+    counted = pd.concat([c[_COUNTED] for c in changes], ignore_index=True).groupby(_COUNTED[:-1], sort=False)["n"].sum().reset_index()
+    if arrived.any():
+        held = rows[first].groupby(_HELD[:-1], sort=False)["n"].sum().reset_index()
+        table = pa.Table.from_pandas(held, pa.schema([("print", pa.binary()), ("id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("good", pa.int32()), ("toxic", pa.int32()), ("n", pa.int64())]), preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        state.update((sink.getvalue().to_pybytes(),))
+    yield counted[counted["n"] != 0]
 
 
 def _followed(spark: SparkSession, path: str) -> str:
@@ -134,6 +123,15 @@ def _followed(spark: SparkSession, path: str) -> str:
     return f"{path[:-1]}[{path[-1]}]" if single else path
 
 
+def _buckets(spark: SparkSession, place: str, wanted: int) -> int:
+    """The number of buckets of the counters in ``place``: ``wanted`` the first time, then what it was."""
+    at = f"{place}/buckets"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        spark.range(wanted, wanted + 1).coalesce(1).write.parquet(at)
+    return spark.read.schema("id bigint").parquet(at).first()["id"]
+
+
 def marked_labels(labels: DataFrame) -> DataFrame:
     """(label_id, good, toxic): one row of each id that has a mark."""
     one = lambda c: F.coalesce(F.max((F.col(c) == 1).cast("int")), F.lit(0))
@@ -149,15 +147,15 @@ def advance(spark: SparkSession, path: str, labels: DataFrame, place: str, bytes
     not depend on it, nor on the order of files.
     """
     table = spark.read.parquet(path)
-    if not bytes_per_batch:
-        size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        bytes_per_batch = max(32 << 20, math.ceil(size / BATCHES))
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    bytes_per_batch = bytes_per_batch or max(32 << 20, math.ceil(size / BATCHES))
+    buckets = _buckets(spark, place, max(1, size // BUCKET_BYTES))
     source = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(_followed(spark, path))
     text = F.coalesce("text", F.lit(""))
     rows = source.select("doc_id", F.sha2(text.cast("binary"), 256).alias("print"), F.coalesce("source", F.lit("")).alias("part"), masks(text).alias("mask"))
     rows = rows.join(if_few(labels), F.col("doc_id") == F.col("label_id"), "left")
-    rows = rows.select(F.unhex("print").alias("print"), F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"), F.lit(1).cast("long").alias("n"))
-    changes = arrow_map(rows, _together, _ROW).groupBy("print").applyInPandasWithState(_seen, _CHANGE, _STATE, "update", GroupStateTimeout.NoTimeout)
+    rows = rows.select(F.pmod(F.xxhash64("print"), F.lit(buckets)).alias("bucket"), F.unhex("print").alias("print"), F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"), F.lit(1).cast("long").alias("n"))
+    changes = arrow_map(rows, _together, _ROW).groupBy("bucket").applyInPandasWithState(_seen, _CHANGE, _STATE, "update", GroupStateTimeout.NoTimeout)
 
     def write(batch: DataFrame, number: int) -> None:
         summed = batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
