@@ -1,20 +1,22 @@
 """Recommendations: rules over a table's roles, scored by impact and weight.
 
-Every rule aggregates in Spark and brings back a bounded answer: top-k rows,
-one row per segment of a dimension with at most 30 values, or per month.
+All rules read one cube of totals: sums and counts by day, and by dimension,
+label and month. The table itself is read three times: for the cube, for the two
+largest records and for the entities. Stock and repeated records, where a table
+has them, take a pass of their own.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.operators import findings, periods
-from tallyweir.operators.roles import COST, has, quality_notes, spelling_groups
+from tallyweir.operators.roles import COST, has, repeated_rows
 
 # Patterns of names and statuses, weights of kinds, most items of a kind.
 STATUS_NAME = r"status|state|stage|paid|payment_status"
@@ -22,7 +24,8 @@ BAD = r"overdue|unpaid|pending|outstanding|due|failed|declin|cancel|refund|retur
 OWED = r"overdue|unpaid|pending|outstanding|due|late|default"
 STOCK = r"stock|on_hand|inventory|in_hand|balance_qty|closing_qty"
 FLOW = r"ship|sold|sales_qty|units|qty|quantity|dispatch|issued|consum|distribut"
-NOT_ADDITIVE = r"rating|stars?|score|grade|marks|margin|percent|pct|rate$|_rate|ratio|satisf|age$|temperature|height|balance|stock|on_hand"
+NOT_ADDITIVE = r"rating|stars?|score|grade|marks|margin|percent|pct|rate$|_rate|ratio|satisf|age$|temperature|height|balance"
+LEVEL = r"stock|balance|on_hand"
 WEIGHTS = {"entity": 1.0, "change": 1.0, "trend": 0.7, "season": 0.6, "stock": 1.3, "segment": 0.5, "status": 0.9, "refund": 0.7, "costline": 0.8, "anomaly": 0.5, "quality": 0.35}
 MOST = {"quality": 2, "segment": 1, "anomaly": 1}
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -42,21 +45,6 @@ class Advice:
         return self.impact * WEIGHTS[self.kind]
 
 
-def mega_record(df: DataFrame, metric: str) -> float | None:
-    """The value of a single record that holds 10 % of the total and 5 times the next, given 10 records."""
-    top = df.where(F.col(metric).isNotNull()).orderBy(F.desc(metric)).select(metric).limit(2).collect()
-    n, total = df.agg(F.count(metric), F.sum(metric)).first()
-    if n < 10 or total <= 0:
-        return None
-    return top[0][0] if top[0][0] >= 0.1 * total and top[0][0] >= 5 * top[1][0] else None
-
-
-def without_mega(df: DataFrame, metric: str) -> DataFrame:
-    """The rows without a mega record, which is the only row of its value."""
-    value = mega_record(df, metric)
-    return df if value is None else df.where(F.col(metric).isNull() | (F.col(metric) != value))
-
-
 def month_run(months: set[int]) -> list[int] | None:
     """The months in calendar order if they follow each other, also across the year's end."""
     for start in sorted(months):
@@ -140,14 +128,42 @@ def windows_of(series: list[float], grain: str) -> tuple[float, float, bool] | N
     return (sum(pair[0]), sum(pair[1]), alike) if sum(pair[1]) else None
 
 
+#: Cells of a cube that rules may hold: labels of dimensions (50 at most each) by months, and days.
+MOST_CELLS = 1_000_000
+
+
+def totals_cube(df: DataFrame, metric: str, date: str | None, dimensions: list[str]) -> DataFrame:
+    """(dimension, label, period, v, n, rows, lost, lost_n): sums of ``metric`` by group and month, in one pass.
+
+    Dimension '' is the whole table, by day. ``n`` counts values, ``rows`` rows,
+    ``lost`` and ``lost_n`` are the sum and the number of values under 0. Rows
+    without a date have a null period, and without a label a null label.
+    """
+    day = F.to_date(F.col(f"`{date}`")) if date else F.lit(None).cast("date")
+    x = F.col(f"`{metric}`").cast("double")
+    item = lambda d, label, at: F.struct(F.lit(d).alias("dimension"), label.cast("string").alias("label"), at.alias("period"))
+    month = F.trunc(day, "month")
+    items = F.array(item("", F.lit(""), day), *[item(d, F.col(f"`{d}`"), month) for d in dimensions])
+    cells = df.select(x.alias("x"), F.explode(items).alias("s")).groupBy("s.dimension", "s.label", "s.period")
+    under = F.when(F.col("x") < 0, F.col("x"))
+    return cells.agg(F.sum("x").alias("v"), F.count("x").alias("n"), F.count("*").alias("rows"), F.sum(under).alias("lost"), F.count(under).alias("lost_n"))
+
+
 @dataclass
 class Table:
-    """A table with its roles; ``series`` holds its (period, y) rows, a calendar."""
+    """A table with its roles and its cube; ``series`` holds its (period, y) rows, a calendar.
+
+    ``daily`` is (day, v) of the whole table. ``mega`` is the record that all
+    trends are looked at without as well: its value, day and labels.
+    """
 
     df: DataFrame
     found: dict
-    grain: str | None
-    series: list
+    cells: pd.DataFrame
+    daily: DataFrame
+    grain: str | None = None
+    series: list = field(default_factory=list)
+    mega: dict | None = None
 
     @property
     def metric(self) -> str:
@@ -161,41 +177,104 @@ class Table:
         unique = {s["name"]: s["unique"] for s in self.found["columns"]}
         return [c for c in self.found["dims"] if 3 <= unique[c] <= 30 and not has(STATUS_NAME, c) and unique[c] < 0.5 * self.found["rows"]]
 
-    def sums(self, dim: str, df: DataFrame | None = None) -> list[tuple[str, float]]:
+    def of(self, dim: str, mega: bool = True) -> pd.DataFrame:
+        """(label, period, v) of a dimension, labelled rows only; without the mega record if it is not wanted."""
+        own = self.cells[(self.cells["dimension"] == dim) & self.cells["label"].notna()].copy()
+        own["v"] = own["v"].fillna(0.0)
+        if not mega and self.mega:
+            at = (own["label"] == self.mega["labels"].get(dim)) & ((own["period"] == self.mega["month"]) | (own["period"].isna() & (self.mega["month"] is None)))
+            own.loc[at, "v"] -= self.mega["value"]
+        return own
+
+    def sums(self, dim: str, mega: bool = True) -> list[tuple[str, float]]:
         """Sums by a dimension of at most 50 values, largest first."""
-        own = (self.df if df is None else df).where(F.col(dim).isNotNull()).groupBy(F.col(dim).cast("string")).agg(F.coalesce(F.sum(self.metric), F.lit(0.0)).cast("double"))
-        return sorted(((r[0], r[1]) for r in own.collect()), key=lambda r: (-r[1], r[0]))
+        own = self.of(dim, mega).groupby("label")["v"].sum()
+        return sorted(((k, float(v)) for k, v in own.items()), key=lambda r: (-r[1], r[0]))
+
+    def days(self, mega: bool = True) -> DataFrame:
+        """(day, v) with or without the mega record."""
+        if mega or not self.mega or self.mega["day"] is None:
+            return self.daily
+        return self.daily.withColumn("v", F.when(F.col("day") == F.lit(self.mega["day"]), F.col("v") - self.mega["value"]).otherwise(F.col("v")))
+
+
+def table_of(df: DataFrame, found: dict) -> Table:
+    """The cube of a table by its roles, the calendar series, and the record that holds 10 % of the total and 5 times the next."""
+    metric, date, dims = found["metric"], found["date"], found["dims"]
+    cells = totals_cube(df, metric, date, dims).limit(MOST_CELLS + 1).toPandas()
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} groups by month")
+    whole = cells[(cells["dimension"] == "") & cells["period"].notna()]
+    daily = df.sparkSession.createDataFrame([(r.period, None if pd.isna(r.v) else float(r.v)) for r in whole.itertuples()], "day date, v double")
+    table = Table(df, found, cells, daily)
+    if date and len(whole):
+        table.grain = periods.grain_of(daily, "day")
+        table.series = periods.trimmed(daily, "day", "v", "sum", table.grain).orderBy("period").collect()
+    all_rows = cells[cells["dimension"] == ""]
+    n, total = int(all_rows["n"].sum()), float(all_rows["v"].sum())
+    if n >= 10 and total > 0:
+        day = F.to_date(F.col(f"`{date}`")) if date else F.lit(None).cast("date")
+        own = df.where(F.col(f"`{metric}`").isNotNull()).select(F.col(f"`{metric}`").cast("double").alias("x"), day.alias("day"), *[F.col(f"`{d}`").cast("string").alias(f"d{i}") for i, d in enumerate(dims)])
+        first, second = own.orderBy(F.desc("x")).limit(2).collect()
+        if first["x"] >= 0.1 * total and first["x"] >= 5 * second["x"]:
+            table.mega = {"value": first["x"], "day": first["day"], "month": first["day"] and first["day"].replace(day=1), "labels": {d: first[f"d{i}"] for i, d in enumerate(dims)}}
+    return table
 
 
 def _percent(x: float) -> str:
     return f"{100 * x:.0f} %"
 
 
-def r_entity(t: Table) -> list[Advice]:
-    if not t.found["entity"]:
-        return []
-    top = entity_shares(t.df, t.found["entity"], t.metric).orderBy(F.desc("value"), "label").collect()
-    if len(top) < 5 or top[0]["total"] <= 0:
-        return []
-    first, five = top[0]["value"] / top[0]["total"], sum(r["value"] for r in top) / top[0]["total"]
-    if first >= 0.08 and top[0]["value"] >= 3 * top[1]["value"]:
-        return [Advice("entity", ("entity", str(top[0]["label"])), first, f"Secure {top[0]['label']}: {_percent(first)} of all {t.metric}", f"{top[0]['value']:,.0f} of {top[0]['total']:,.0f}; the next holds {top[1]['value']:,.0f}.")]
-    if five >= 0.25 and top[0]["entities"] >= 15:
-        return [Advice("entity", ("entity", "top5"), 0.7 * five, f"Look after the five largest: {_percent(five)} of {t.metric}", f"Five of {top[0]['entities']} entities.")]
-    return []
+@dataclass(frozen=True)
+class Entities:
+    """The five largest entities, the sum of the positive ones, the least sum, how many there are, and those that went quiet."""
 
+    top: list
+    total: float
+    least: float
+    count: int
+    quiet: int
+    quiet_value: float
 
-def r_lapsed(t: Table) -> list[Advice]:
-    if not t.found["entity"]:
-        return []
-    gone = lapsed(t.df, t.found["entity"], t.date, t.metric)
-    n, value = gone.agg(F.count("*"), F.coalesce(F.sum("value"), F.lit(0.0))).first()
-    d = F.to_date(t.date)
-    end = t.df.agg(F.max(d)).first()[0]
-    year = t.df.where(d >= F.date_sub(F.lit(end), 365)).agg(F.coalesce(F.sum(t.metric), F.lit(0.0))).first()[0]
-    if n < 3 or year <= 0 or value < 0.03 * year:
+
+def entities_of(t: Table) -> Entities | None:
+    """One row per entity from one pass, held while it is read twice."""
+    entity = t.found["entity"]
+    if not entity:
+        return None
+    end = max((r for r in t.cells.loc[t.cells["dimension"] == "", "period"] if r is not None and not pd.isna(r)), default=None)
+    x, day = F.col(f"`{t.metric}`").cast("double"), F.to_date(F.col(f"`{t.date}`")) if t.date else F.lit(None).cast("date")
+    cut = F.date_sub(F.lit(end).cast("date"), 180)
+    before = (day >= F.date_sub(cut, 365)) & (day < cut)
+    own = t.df.where(F.col(f"`{entity}`").isNotNull()).groupBy(F.col(f"`{entity}`").alias("label"))
+    sums = own.agg(F.coalesce(F.sum(x), F.lit(0.0)).alias("value"), F.max(day).alias("last"), F.count("*").alias("n"), F.count_if(before).alias("b"), F.coalesce(F.sum(F.when(before, x)), F.lit(0.0)).alias("before")).persist()
+    try:
+        gone = (F.col("last") < cut) & (F.col("n") >= 2) & (F.col("b") > 0)
+        total, least, count, quiet, value = sums.agg(F.sum(F.greatest("value", F.lit(0.0))), F.min("value"), F.count("*"), F.count_if(gone), F.coalesce(F.sum(F.when(gone, F.col("before"))), F.lit(0.0))).first()
+        top = sums.orderBy(F.desc("value"), "label").limit(5).select("label", "value").collect()
+    finally:
+        sums.unpersist()
+    return Entities(top, total or 0.0, least or 0.0, count, quiet, value)
+
+
+def r_entity(t: Table) -> list[Advice]:
+    e = entities_of(t)
+    if e is None:
         return []
-    return [Advice("entity", ("entity", "lapsed"), value / year, f"Win back {n} that went quiet", f"They brought {value:,.0f} in the year before and nothing for 180 days.")]
+    out = []
+    if len(e.top) == 5 and e.total > 0:
+        first, five = e.top[0]["value"] / e.total, sum(r["value"] for r in e.top) / e.total
+        if first >= 0.08 and e.top[0]["value"] >= 3 * e.top[1]["value"]:
+            out = [Advice("entity", ("entity", str(e.top[0]["label"])), first, f"Secure {e.top[0]['label']}: {_percent(first)} of all {t.metric}", f"{e.top[0]['value']:,.0f} of {e.total:,.0f}; the next holds {e.top[1]['value']:,.0f}.")]
+        elif five >= 0.25 and e.count >= 15:
+            out = [Advice("entity", ("entity", "top5"), 0.7 * five, f"Look after the five largest: {_percent(five)} of {t.metric}", f"Five of {e.count} entities.")]
+    whole = t.cells[(t.cells["dimension"] == "") & t.cells["period"].notna()]
+    if len(whole):
+        end = max(whole["period"])
+        year = float(whole.loc[[(end - p).days <= 365 for p in whole["period"]], "v"].sum())
+        if e.quiet >= 3 and year > 0 and e.quiet_value >= 0.03 * year:
+            out.append(Advice("entity", ("entity", "lapsed"), e.quiet_value / year, f"Win back {e.quiet} that went quiet", f"They brought {e.quiet_value:,.0f} in the year before and nothing for 180 days."))
+    return out
 
 
 def r_change(t: Table) -> list[Advice]:
@@ -204,18 +283,24 @@ def r_change(t: Table) -> list[Advice]:
         return []
     y = [r["y"] for r in t.series]
     old, new = (str(r["period"]) for r in t.series[-2:])
-    end = str(t.df.select(F.add_months(F.lit(new).cast("date"), 1)).first()[0])
-    rates = [r["rate"] for r in periods.month_rate(t.df, t.date, t.metric).where(F.col("period").isin(old, new)).orderBy("period").collect()]
+    rates = [r["rate"] for r in periods.month_rate(t.daily, "day", "v").where(F.col("period").isin(old, new)).orderBy("period").collect()]
     if len(rates) < 2 or not rates[0] or not y[-2]:
         return []
     raw, alike = y[-1] / y[-2] - 1, rates[1] / rates[0] - 1
     if abs(alike) < 0.03 or raw * alike <= 0 or abs(alike) < 0.5 * abs(raw):
         return []
     season = len(y) >= 14 and y[-14] and (y[-13] / y[-14] - 1) * raw > 0 and abs(y[-13] / y[-14] - 1) >= 0.6 * abs(raw)
-    made = findings.change_bridge(t.df, t.date, t.metric, t.dims()[:3], (old, new), (new, end)).orderBy("dimension", F.abs("delta").desc(), "label").collect()
     spread: dict[str, list] = {}
-    for r in made:
-        spread.setdefault(r["dimension"], []).append(r)
+    for d in t.dims()[:3]:
+        own = t.cells[(t.cells["dimension"] == d) & t.cells["period"].notna()]
+        by = lambda at, own=own: own[[str(p) == at for p in own["period"]]].assign(label=lambda x: x["label"].fillna("(blank)")).set_index("label")["v"].fillna(0.0)
+        before, after = by(old), by(new)
+        rows = [{"label": k, "before": float(before.get(k, 0.0)), "after": float(after.get(k, 0.0))} for k in {*before.index, *after.index}]
+        rows = [r | {"delta": r["after"] - r["before"]} for r in rows]
+        if rows:
+            spread[d] = sorted(rows, key=lambda r: (-abs(r["delta"]), r["label"]))
+    if not spread:
+        return []
     share = lambda rows: abs(rows[0]["delta"]) / (sum(abs(r["delta"]) for r in rows) or 1)
     dim = max(spread, key=lambda d: share(spread[d]))
     lead, word = spread[dim][0], "rise" if y[-1] > y[-2] else "fall"
@@ -225,8 +310,7 @@ def r_change(t: Table) -> list[Advice]:
 
 
 def r_trend(t: Table) -> list[Advice]:
-    df = without_mega(t.df, t.metric)
-    series = t.series if df is t.df else periods.trimmed(df, t.date, t.metric, "sum", t.grain).orderBy("period").collect()
+    series = periods.trimmed(t.days(mega=False), "day", "v", "sum", t.grain).orderBy("period").collect() if t.mega else t.series
     got = windows_of([r["y"] for r in series], t.grain)
     if not got or abs(got[0] / got[1] - 1) < 0.05:
         return []
@@ -241,8 +325,7 @@ def r_trend(t: Table) -> list[Advice]:
 def r_season(t: Table) -> list[Advice]:
     if t.grain != "MS" or len(t.series) < 18:
         return []
-    df = without_mega(t.df, t.metric)
-    index = {r["month"]: r["index"] for r in season_index(df, t.date, t.metric).where("index is not null").collect()}
+    index = {r["month"]: r["index"] for r in season_index(t.days(mega=False), "day", "v").where("index is not null").collect()}
     peak, out = {m for m, x in index.items() if x >= 1.3}, []
     run = month_run(peak) if peak else None
     if run:
@@ -251,12 +334,13 @@ def r_season(t: Table) -> list[Advice]:
         out.append(Advice("season", ("season", "overall"), 1.5 * (share - len(peak) / 12), f"Plan around the busy season {name}", f"It brings {_percent(share)} of a typical year."))
     best = None
     for dim in t.dims():
-        sums = t.sums(dim, df)
+        sums = t.sums(dim, mega=False)
         total = sum(v for _, v in sums)
-        # one aggregation gives all segments' months
-        rates = df.where(F.col(dim).isNotNull()).groupBy(F.col(dim).cast("string").alias("s"), F.month(t.date).alias("m")).agg(F.sum(t.metric).alias("v")).collect()
+        rates = t.of(dim, mega=False)
+        rates = rates[rates["period"].notna()]
+        by_month = rates.groupby(["label", [p.month for p in rates["period"]]])["v"].sum()
         for label, value in sums:
-            own = {r["m"]: r["v"] for r in rates if r["s"] == label and r["m"] and r["v"] is not None}
+            own = {m: float(v) for m, v in by_month.get(label, {}).items()}
             mean = sum(own.values()) / 12
             if total <= 0 or value < 0.1 * total or mean <= 0:
                 continue
@@ -303,21 +387,25 @@ def r_status(t: Table) -> list[Advice]:
     for c in t.found["dims"]:
         if not has(STATUS_NAME, c):
             continue
-        rows = status_shares(t.df, c, t.metric).collect()
+        sums = t.sums(c)
+        total = sum(v for _, v in sums)
+        kinds = {k: "owed" if has(OWED, k) else "lost" if has(BAD, k) else "" for k, _ in sums}
         for kind, title in (("owed", "Collect what is not settled"), ("lost", "Find out why this is lost")):
-            part = [r for r in rows if r["kind"] == kind]
-            share = sum(r["value"] for r in part) / part[0]["total"] if part and part[0]["total"] > 0 else 0
+            part = [(k, v) for k, v in sums if kinds[k] == kind]
+            share = sum(v for _, v in part) / total if part and total > 0 else 0
             if share >= 0.03:
-                names = ", ".join(sorted(r["label"] for r in part))
+                names = ", ".join(sorted(k for k, _ in part))
                 out.append(Advice("status", ("status", c, kind), share, f"{title}: {_percent(share)} is {names}", f"By {c}."))
     return out
 
 
 def r_refund(t: Table) -> list[Advice]:
-    r = refunds(t.df, t.metric).first()
-    if r["n"] < 3 or r["gross"] <= 0 or r["share"] < 0.03:
+    own = t.cells[t.cells["dimension"] == ""]
+    n, lost = int(own["lost_n"].sum()), float(own["lost"].sum())
+    gross = float(own["v"].sum()) - lost
+    if n < 3 or gross <= 0 or -lost / gross < 0.03:
         return []
-    return [Advice("refund", ("refund",), r["share"], f"Cut refunds: {_percent(r['share'])} of gross {t.metric} goes back", f"{r['n']} records, {r['refunds']:,.0f}.")]
+    return [Advice("refund", ("refund",), -lost / gross, f"Cut refunds: {_percent(-lost / gross)} of gross {t.metric} goes back", f"{n} records, {lost:,.0f}.")]
 
 
 def r_costline(t: Table) -> list[Advice]:
@@ -334,7 +422,7 @@ def r_costline(t: Table) -> list[Advice]:
 
 
 def r_dow(t: Table) -> list[Advice]:
-    rows = weekday_index(t.df, t.date, t.metric).collect()
+    rows = weekday_index(t.daily, "day", "v").collect()
     if not rows or rows[0]["days"] < 56 or rows[0]["active"] < 0.5:
         return []
     high = sorted((r for r in rows if r["index"] is not None and r["index"] >= 1.15 and r["above"] >= 0.7), key=lambda r: r["weekday"])
@@ -344,10 +432,10 @@ def r_dow(t: Table) -> list[Advice]:
 
 
 def r_segment(t: Table) -> list[Advice]:
-    out, df = [], without_mega(t.df, t.metric)
+    out = []
     for dim in t.dims():
-        for own in (t.df,) if df is t.df else (t.df, df):
-            sums = t.sums(dim, own)
+        for mega in (True, False) if t.mega else (True,):
+            sums = t.sums(dim, mega)
             total = sum(v for _, v in sums)
             if not sums or sums[-1][1] < 0 or total <= 0 or sums[0][1] / total <= max(0.5, 2.5 / len(sums)):
                 break
@@ -357,8 +445,8 @@ def r_segment(t: Table) -> list[Advice]:
 
 
 def r_anomaly(t: Table) -> list[Advice]:
-    total = t.df.agg(F.sum(t.metric)).first()[0] or 0
-    days = [r for r in findings.daily_anomalies(t.df, t.date, t.metric).collect() if abs(r["y"] - r["expected"]) >= 0.01 * total and r["expected"] >= 0.02 * r["y"]]
+    total = sum(v for v in t.cells.loc[t.cells["dimension"] == "", "v"] if not pd.isna(v))
+    days = [r for r in findings.daily_anomalies(t.daily, "day", "v").collect() if abs(r["y"] - r["expected"]) >= 0.01 * total and r["expected"] >= 0.02 * r["y"]]
     return [Advice("anomaly", ("anomaly",), 0.05 * len(days), f"Confirm {len(days)} unusual days", "; ".join(f"{r['day']}: {r['y']:,.0f}, expected {r['expected']:,.0f}" for r in days))] if days else []
 
 
@@ -366,15 +454,20 @@ def r_quality(t: Table) -> list[Advice]:
     out = [Advice("quality", ("quality", s["name"]), 0.8 * s["missing_pct"] / 100, f"Fill in {s['name']}: blank in {s['missing_pct']} %", "Comparisons leave these rows out.") for s in t.found["columns"] if s["name"] in t.found["dims"] and 5 <= s["missing_pct"] < 100]
     for s in t.found["columns"]:
         if s["name"] in t.found["dims"] and s["type"] == "string":
-            first = spelling_groups(t.df, s["name"], 1).collect()
-            if first:
-                out.append(Advice("quality", ("quality", s["name"], "labels"), 0.05, f"Use one spelling in {s['name']}", " / ".join(first[0]["spellings"])))
-    return out + [Advice("quality", ("quality", "dups"), 0.01, note, "Totals count them twice.") for note in quality_notes(t.df, t.found) if "duplicates" in note]
+            own = t.of(s["name"]).groupby("label")["rows"].sum()
+            groups: dict[str, list[tuple[int, str]]] = {}
+            for raw, n in own.items():
+                groups.setdefault(raw.strip(" ").lower(), []).append((-int(n), raw))
+            several = sorted((sum(n for n, _ in g), key, g) for key, g in groups.items() if len(g) > 1)
+            if several:
+                out.append(Advice("quality", ("quality", s["name"], "labels"), 0.05, f"Use one spelling in {s['name']}", " / ".join(sorted(raw for _, raw in sorted(several[0][2])[:3]))))
+    repeated = repeated_rows(t.df, t.found)
+    return [*out, Advice("quality", ("quality", "dups"), 0.01, f"{repeated} rows are exact duplicates", "Totals count them twice.")] if repeated else out
 
 
 RULES: tuple[tuple[Callable[[Table], list[Advice]], bool, bool], ...] = (
     # rule, needs a date, needs 30 rows
-    (r_entity, False, False), (r_lapsed, True, False), (r_change, True, True), (r_trend, True, True), (r_season, True, True), (r_stock, True, True), (r_status, False, False),
+    (r_entity, False, False), (r_change, True, True), (r_trend, True, True), (r_season, True, True), (r_stock, True, True), (r_status, False, False),
     (r_refund, False, False), (r_costline, False, False), (r_dow, True, True), (r_segment, False, True), (r_anomaly, True, True), (r_quality, False, False),
 )
 
@@ -398,10 +491,8 @@ def recommend(df: DataFrame, found: dict) -> list[Advice]:
     metric = found["metric"]
     if not metric or metric in found["means"]:
         return []
-    if re.search(NOT_ADDITIVE, metric, re.I):
+    if has(NOT_ADDITIVE, metric) or has(LEVEL, metric):
         return [Advice("quality", ("metric",), 1.0, f"Choose another measure: totals of {metric} mean nothing", "It is a score, rate or balance by its name.")]
-    grain = periods.grain_of(df, found["date"]) if found["date"] else None
-    series = periods.trimmed(df, found["date"], metric, "sum", grain).orderBy("period").collect() if grain else []
-    table = Table(df, found, grain, series)
-    items = [x for rule, dated, large in RULES if (grain or not dated) and (found["rows"] >= 30 or not large) for x in rule(table)]
+    table = table_of(df, found)
+    items = [x for rule, dated, large in RULES if (table.grain or not dated) and (found["rows"] >= 30 or not large) for x in rule(table)]
     return ranked(items)

@@ -31,7 +31,7 @@ DATE_HINT = r"date|time|day|month|period|timestamp|dt"
 DATE_AVOID = r"birth|dob|born|expir|delet|cancel|valid_until"
 RECORD_ID = r"(^|_)(id|invoice|order|receipt|ref|reference|transaction|txn|ticket|booking)(_|$)"
 COST = r"cost|expens|spend|refund|loss|churn|debt|complaint|defect|return|waste|cancel|overdue|debit|payable|outstanding|unpaid|pending|absent|dropout|no_?show|late"
-#: Words in a name whose measure is averaged, not summed.
+# Fixed value: words in a name whose measure is averaged, not summed.
 MEAN_WORDS = frozenset({"price", "rate", "score", "age", "temp", "temperature", "ratio", "avg", "average", "pct", "percent", "percentage", "unit"})
 
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -235,14 +235,19 @@ def questions(found: dict) -> list[str]:
     return out
 
 
+def repeated_rows(df: DataFrame, found: dict) -> int:
+    """Exact duplicates, where a record number makes them suspect: 2 or more, and half a percent of the rows; else 0."""
+    numbered = any(has(RECORD_ID, s["name"]) and s["kind"] != "date" and s["n"] and s["unique"] >= 0.9 * s["n"] for s in found["columns"])
+    n = duplicate_rows(df).first()["n"] if numbered else 0
+    return n if n >= 2 and n >= 0.005 * found["rows"] else 0
+
+
 def quality_notes(df: DataFrame, found: dict) -> list[str]:
     """Notes on blank key columns, repeated rows where a record number exists, unusual values and spellings."""
     notes = [f"{s['name']} is blank in {s['missing_pct']} % of the rows" for s in found["columns"] if s["missing_pct"] > 20 and s["name"] in {found["metric"], found["date"], *found["dims"]}]
-    numbered = any(has(RECORD_ID, s["name"]) and s["n"] and s["unique"] >= 0.9 * s["n"] for s in found["columns"])
-    if numbered:
-        n = duplicate_rows(df).first()["n"]
-        if n >= 2 and n >= 0.005 * found["rows"]:
-            notes.append(f"{n} rows are exact duplicates")
+    repeated = repeated_rows(df, found)
+    if repeated:
+        notes.append(f"{repeated} rows are exact duplicates")
     if found["metric"] and found["metric"] in df.columns:
         n = profile_numbers(df, [found["metric"]]).first()["outliers"]
         if n:

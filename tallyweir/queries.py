@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweir.functions import cleaning, inference
-from tallyweir.operators import findings, fitted, forecast, frequency, pairs, periods, quantiles, recommend, roles, segments
+from tallyweir.operators import findings, fitted, forecast, frequency, insights, pairs, periods, prepare, quantiles, recommend, roles, segments
 from tallyweir.plans import ingest, sqlguard
 from tallyweir.sources.shared import Folder, followed
 from tallyweir.streaming import levels
@@ -588,14 +588,14 @@ _SHIFTED = """SELECT o_orderdate::DATE AS d, o_orderpriority AS priority, o_orde
         SELECT f.*, o.change AS overall, coalesce(total > 0 AND share >= 0.05 AND n >= 15 AND abs(f.change) >= 25 AND abs(f.change - o.change) >= 20 AND abs(recent - before) >= noise, false) AS found
         FROM f, (SELECT change FROM f WHERE dimension = '' AND change IS NOT NULL) o WHERE dimension <> ''
     )
-    SELECT dimension, label, n::BIGINT AS n, round(share, 6) AS share, round(before, 2) AS before, round(recent, 2) AS recent, round(change, 6) AS change, round(overall, 6) AS overall, round(noise, 2) AS noise, found,
+    SELECT dimension, label, n::BIGINT AS n, round(share, 6) AS share, round(before, 1) AS before, round(recent, 1) AS recent, round(change, 4) AS change, round(overall, 4) AS overall, round(noise, 1) AS noise, found,
         CASE WHEN found THEN row_number() OVER (PARTITION BY found ORDER BY abs(recent - before) DESC, dimension, label) END::INT AS rank FROM j
 """)
 def moved_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("o_orderdate") >= F.lit("2001-05-01").cast("timestamp")
     factor = F.when(late & (F.col("o_orderpriority") == "1-URGENT"), 0.4).when(late & (F.col("o_orderstatus") == "P"), 1.9).otherwise(1.0)
     shifted = table(spark, sf_dir, "orders").select("o_orderdate", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") * factor).alias("v"))
-    return rounded(rounded(segments.segment_shifts(shifted, "o_orderdate", "v", ["priority", "status"]), 6, "share", "change", "overall"), 2, "before", "recent", "noise")
+    return rounded(rounded(rounded(segments.segment_shifts(shifted, "o_orderdate", "v", ["priority", "status"]), 6, "share"), 4, "change", "overall"), 1, "before", "recent", "noise")
 
 
 #: Name of a series, its times from an order's day d, and which orders it takes.
@@ -660,8 +660,8 @@ def series_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ), r AS (
         SELECT o.*, s.* FROM o, s WHERE d >= p0 AND d < c1
     ), u AS (
-        SELECT sum(v) FILTER (d < c0) AS old, sum(v) FILTER (d >= c0) AS new,
-            CASE WHEN any_value(daily) THEN any_value(c1 - c0) ELSE count(DISTINCT d) FILTER (d >= c0) END / CASE WHEN any_value(daily) THEN any_value(c0 - p0) ELSE count(DISTINCT d) FILTER (d < c0) END AS s, any_value(daily) AS daily FROM r
+        SELECT old, new, CASE WHEN daily THEN d1 ELSE n1 END / CASE WHEN daily THEN d0 ELSE n0 END AS s, daily FROM (
+            SELECT sum(v) FILTER (d < c0) AS old, sum(v) FILTER (d >= c0) AS new, count(DISTINCT d) FILTER (d < c0) AS n0, count(DISTINCT d) FILTER (d >= c0) AS n1, min(c1 - c0) AS d1, min(c0 - p0) AS d0, bool_and(daily) AS daily FROM r)
     ), k AS (
         SELECT CASE WHEN abs(s - 1) >= 0.03 THEN s ELSE 1.0 END AS scale, CASE WHEN abs(s - 1) >= 0.03 THEN CASE WHEN daily THEN 'day' ELSE 'reporting date' END END AS unit FROM u
         WHERE abs(new - old * CASE WHEN abs(s - 1) >= 0.03 THEN s ELSE 1.0 END) >= 0.03 * abs(old * CASE WHEN abs(s - 1) >= 0.03 THEN s ELSE 1.0 END)
@@ -689,3 +689,110 @@ def streamed_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
         levels.advance(spark, rows, place, "o_orderkey", "o_orderdate", "o_totalprice", delay_days=36_500)
         found = rounded(levels.anomalies(spark, place), 4, "y", "expected", "score")
         return findings.settled(found)
+
+
+#: Orders with three raised days, a group that falls in the last months, and some returns.
+_PLANTED = f"""SELECT o_orderdate, o_orderpriority, o_orderstatus,
+    o_totalprice * {_SPIKED} * CASE WHEN o_orderdate >= TIMESTAMP '2001-05-01' AND o_orderpriority = '1-URGENT' THEN 0.4 ELSE 1 END * CASE WHEN o_orderkey % 500 = 0 THEN -1 ELSE 1 END AS o_totalprice FROM orders"""
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.to_date("o_orderdate").cast("string")
+    factor = F.when(day.isin("1997-03-12", "1998-07-01", "1999-10-20"), 40.0).otherwise(1.0) * F.when((F.col("o_orderdate") >= F.lit("2001-05-01").cast("timestamp")) & (F.col("o_orderpriority") == "1-URGENT"), 0.4).otherwise(1.0)
+    sign = F.when(F.col("o_orderkey") % 500 == 0, -1.0).otherwise(1.0)
+    return table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("order_date"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), (F.col("o_totalprice") * factor * sign).alias("amount"))
+
+
+@query(f"""
+    SELECT '' AS dimension, '' AS label, o_orderdate::DATE::VARCHAR AS period, round(sum(o_totalprice), 2) AS v, count(o_totalprice) AS n, count(*) AS rows, round(sum(o_totalprice) FILTER (o_totalprice < 0), 2) AS lost, count(*) FILTER (o_totalprice < 0) AS lost_n FROM ({_PLANTED}) GROUP BY ALL
+    UNION ALL SELECT 'priority', o_orderpriority, date_trunc('month', o_orderdate)::DATE::VARCHAR, round(sum(o_totalprice), 2), count(o_totalprice), count(*), round(sum(o_totalprice) FILTER (o_totalprice < 0), 2), count(*) FILTER (o_totalprice < 0) FROM ({_PLANTED}) GROUP BY ALL
+    UNION ALL SELECT 'status', o_orderstatus, date_trunc('month', o_orderdate)::DATE::VARCHAR, round(sum(o_totalprice), 2), count(o_totalprice), count(*), round(sum(o_totalprice) FILTER (o_totalprice < 0), 2), count(*) FILTER (o_totalprice < 0) FROM ({_PLANTED}) GROUP BY ALL
+""")
+def totals_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(recommend.totals_cube(_planted(spark, sf_dir), "amount", "order_date", ["priority", "status"]), 2, "v", "lost")
+
+
+_MOVED = SQL["moved_segments"].replace(_SHIFTED, "SELECT o_orderdate::DATE AS d, o_orderpriority AS priority, o_orderstatus AS status, o_totalprice AS v FROM planted WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL")
+
+
+@query(f"""
+    WITH planted AS ({_PLANTED}),
+    whole AS (SELECT *, CASE WHEN mn > 0 AND p99 / p50 > 8 THEN NULL ELSE 3 * (q3 - q1) END AS gap FROM (SELECT count(*) AS n, sum(o_totalprice) AS total, min(o_totalprice) AS mn, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.75) AS q3, quantile_cont(o_totalprice, 0.99) AS p99 FROM planted)),
+    odd AS (SELECT count(*) AS n, sum(o_totalprice) AS held FROM planted, whole WHERE gap > 0 AND (o_totalprice < q1 - gap OR o_totalprice > q3 + gap)),
+    moved AS ({SQL["latest_change"].replace("FROM orders", "FROM planted")}),
+    leading AS (SELECT dimension, label, delta, sum(delta) OVER () AS total, sum(before) OVER () AS base FROM moved WHERE lead ORDER BY abs(delta) DESC, label DESC LIMIT 1),
+    days AS ({SQL["spiked_day_anomalies"].replace("sum(o_totalprice * " + _SPIKED + ") AS v FROM orders", "sum(o_totalprice) AS v FROM planted")}),
+    months AS (SELECT period, y, row_number() OVER (ORDER BY period) AS i, count(*) OVER () AS n FROM (
+        SELECT date_trunc('month', o_orderdate)::DATE AS period, sum(o_totalprice) AS y FROM planted GROUP BY 1) WHERE period < (SELECT CASE WHEN last_day(max(o_orderdate)::DATE) - max(o_orderdate)::DATE > 2 THEN date_trunc('month', max(o_orderdate)) ELSE max(o_orderdate) END FROM planted)),
+    trend AS (SELECT 100 * (avg(y) FILTER (i > n - greatest(2, n // 3)) - avg(y) FILTER (i <= greatest(2, n // 3))) / abs(avg(y) FILTER (i <= greatest(2, n // 3))) AS c FROM months HAVING count(*) >= 6),
+    groups AS (SELECT 'priority' AS dimension, o_orderpriority AS label, sum(o_totalprice) AS v FROM planted GROUP BY ALL UNION ALL SELECT 'status', o_orderstatus, sum(o_totalprice) FROM planted GROUP BY ALL),
+    found AS (
+        SELECT 1 AS place, 'quality' AS kind, CASE WHEN mn >= 0 AND held / total >= 0.2 THEN 'warn' ELSE 'info' END AS severity, 'amount' AS subject FROM odd o, whole WHERE o.n > 0
+        UNION ALL SELECT 2, 'quality', 'info', 'negative' FROM planted WHERE o_totalprice < 0 HAVING count(*) >= 3
+        UNION ALL SELECT 3, 'change', CASE WHEN total > 0 AND (abs(delta / total) < 0.25 OR delta > 0) THEN 'good' ELSE 'warn' END, dimension FROM leading
+        UNION ALL SELECT 4 + row_number() OVER (ORDER BY abs(score) DESC, "day") / 10.0, 'anomaly', 'warn', "day" FROM days
+        UNION ALL SELECT 5, 'trend', CASE WHEN c > 0 THEN 'good' ELSE 'warn' END, 'amount' FROM trend WHERE abs(c) >= 5
+        UNION ALL SELECT 7 + CASE dimension WHEN 'priority' THEN 0.1 ELSE 0.2 END, 'driver', 'info', dimension FROM groups GROUP BY dimension HAVING count(*) >= 3 AND min(v) >= 0 AND max(v) / sum(v) > greatest(0.35, 1.5 / count(*))
+        UNION ALL SELECT 8 + rank / 10.0, 'driver', CASE WHEN change > 0 THEN 'good' ELSE 'warn' END, dimension FROM ({_MOVED}) WHERE rank <= 2
+    )
+    SELECT row_number() OVER (ORDER BY kind = 'quality', CASE severity WHEN 'warn' THEN 0 WHEN 'good' THEN 1 ELSE 2 END, kind <> 'change', place)::INT AS rank, kind, severity, subject FROM found
+    QUALIFY rank <= 8
+""")
+def findings_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = _planted(spark, sf_dir)
+    return insights.insights(planted, roles.roles(planted)).select("rank", "kind", "severity", "subject")
+
+
+#: Series with holes and several values a period: name, time, orders taken, frequency, number of a period, and its first day.
+_RAGGED = {
+    "days": ("d", "day(d) NOT IN (10, 11)", "D", "d - DATE '1970-01-05'", "DATE '1970-01-05' + i::INT"),
+    "months": ("date_trunc('month', d)::DATE", "month(d) <> 4", "MS", "12 * (year(t) - 1970) + month(t) - 1", "(DATE '1970-01-01' + to_months(i::INT))::DATE"),
+    "quarters": ("date_trunc('quarter', d)::DATE", "true", "QS", "4 * (year(t) - 1970) + quarter(t) - 1", "(DATE '1970-01-01' + to_months((3 * i)::INT))::DATE"),
+    "year starts": ("d", "month(d) = 1 AND day(d) = 1 AND d < DATE '2000-01-01'", "YS", "year(t) - 1970", "(DATE '1970-01-01' + to_years(i::INT))::DATE"),
+}
+_RAGGED_SQL = f"""
+    o AS (SELECT o_orderdate::DATE AS d, CASE WHEN o_orderkey % 41 = 0 THEN 'nan'::DOUBLE WHEN o_orderkey % 43 > 0 THEN o_totalprice END AS v FROM orders WHERE o_orderdate IS NOT NULL),
+    t AS ({" UNION ALL ".join(f"SELECT '{k}' AS series, d, {at} AS t, v FROM o WHERE {which}" for k, (at, which, *_) in _RAGGED.items())}),
+    n AS (SELECT series, CASE series {" ".join(f"WHEN '{k}' THEN {i.replace('d -', 't -')}" for k, (_, _, _, i, _) in _RAGGED.items())} END AS i, v FROM t),
+    p AS (SELECT series, i, sum(v) FILTER (NOT isnan(v)) AS y, count(v) FILTER (NOT isnan(v)) AS n, count(v) FILTER (isnan(v)) AS odd FROM n GROUP BY ALL),
+    e AS (SELECT series, min(i) FILTER (n > 0) AS a, max(i) FILTER (n > 0) AS b, max(i) AS z, count(*) FILTER (n > 0) AS observed, sum(greatest(n - 1, 0)) AS merged, sum(odd) AS odd FROM p GROUP BY ALL)
+"""
+
+
+def _ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("d")
+    key = F.col("o_orderkey")
+    v = F.when(key % 41 == 0, float("nan")).when(key % 43 > 0, F.col("o_totalprice"))
+    day = table(spark, sf_dir, "orders").where("o_orderdate is not null").select(F.to_date("o_orderdate").alias("d"), v.alias("v"))
+    first = (F.month(d) == 1) & (F.dayofmonth(d) == 1) & (d < F.lit("2000-01-01").cast("date"))
+    times = {"days": F.when(~F.dayofmonth(d).isin(10, 11), d), "months": F.when(F.month(d) != 4, F.trunc(d, "month")), "quarters": F.trunc(d, "quarter"), "year starts": F.when(first, d)}
+    return day.select("v", F.explode(F.array(*[F.struct(F.lit(k).alias("series"), t.alias("t")) for k, t in times.items()])).alias("x")).select("x.*", "v").where("t is not null")
+
+
+@query(f"""
+    WITH {_RAGGED_SQL},
+    spine AS (SELECT series, unnest(range(a, b + 1)) AS i FROM e WHERE observed >= 8),
+    dense AS (SELECT s.series, s.i, y, row_number() OVER (PARTITION BY s.series ORDER BY s.i) - 1 AS k FROM spine s LEFT JOIN p ON p.series = s.series AND p.i = s.i AND p.n > 0),
+    sided AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN k END IGNORE NULLS) OVER b AS pk, last_value(y IGNORE NULLS) OVER b AS py, first_value(CASE WHEN y IS NOT NULL THEN k END IGNORE NULLS) OVER f AS qk, first_value(y IGNORE NULLS) OVER f AS qy FROM dense
+        WINDOW b AS (PARTITION BY series ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY series ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT series, CASE series {" ".join(f"WHEN '{k}' THEN '{f}'" for k, (_, _, f, _, _) in _RAGGED.items())} END AS frequency, CASE series WHEN 'days' THEN 7 WHEN 'months' THEN 12 WHEN 'quarters' THEN 4 ELSE 1 END::INT AS season, k::INT AS i,
+        CASE series {" ".join(f"WHEN '{k}' THEN {at}" for k, (_, _, _, _, at) in _RAGGED.items())} END::VARCHAR AS period, round(coalesce(y, py + (qy - py) * (k - pk) / greatest(qk - pk, 1)), 2) AS y, y IS NULL AS filled FROM sided
+""")
+def prepared_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = prepare.prepare(_ragged(spark, sf_dir), "series", "t", "v")[0]
+    return rounded(ready.withColumn("period", F.to_date("period").cast("string")), 2, "y")
+
+
+@query(f"""
+    WITH {_RAGGED_SQL}, g AS (SELECT e.series, sum((p.i IS NULL OR p.n = 0)::INT) AS gaps, count(*) AS periods FROM (SELECT series, unnest(range(a, b + 1)) AS i FROM e WHERE observed >= 8) e LEFT JOIN p ON p.series = e.series AND p.i = e.i GROUP BY ALL)
+    SELECT e.series, CASE WHEN observed >= 8 THEN 'ok' ELSE 'refused' END AS status, CASE WHEN observed >= 8 THEN '' ELSE 'fewer than 8 periods with data' END AS reason,
+        coalesce(periods, 0)::BIGINT AS periods, observed::BIGINT AS observed, merged::BIGINT AS merged, coalesce(gaps, 0)::BIGINT AS gaps, (z - b)::BIGINT AS cut, odd::BIGINT AS odd FROM e LEFT JOIN g ON g.series = e.series
+""")
+def prepared_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.prepare(_ragged(spark, sf_dir), "series", "t", "v")[1].select("series", "status", "reason", "periods", "observed", "merged", "gaps", "cut", "odd")
+
+
+@query(None)
+def forecast_ragged_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six periods ahead of series of different frequencies, with refusals and caveats as rows."""
+    return fitted.forecast_series(_ragged(spark, sf_dir), "series", "t", "v")
