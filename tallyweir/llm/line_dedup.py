@@ -96,8 +96,10 @@ def _shingles(line: F.Column, shingle: int) -> F.Column:
 def _copies(gone: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """(row_key, keeper): rows that would be near copies of another as a whole, if they kept the lines that it keeps.
 
-    ``gone`` is (row_key, keeper, chars), a row for each line lost. What both
-    would hold is measured in characters of lines, after all other lines are cut.
+    ``gone`` is (row_key, keeper, chars), a row for each line lost. Lines that
+    the other keeps must make up ``percent`` of the characters of either, after
+    all other lines are cut. A few changed words leave whole lines unlike, so
+    this share is smaller than that of common words.
     """
     lost = gone.groupBy("row_key").agg(F.sum("chars").alias("lost"))
     shared = gone.where("row_key <> keeper").groupBy("row_key", "keeper").agg(F.sum("chars").alias("own"))
@@ -105,15 +107,16 @@ def _copies(gone: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     sizes = _key(docs.select("doc_id", "text")).groupBy("row_key").agg(F.max(F.length("text")).alias("size"))
     kept = sizes.join(lost, "row_key", "left").select("row_key", (F.col("size") - F.coalesce("lost", F.lit(0))).alias("kept"))
     both = best.join(kept, "row_key").join(kept.toDF("keeper", "kept_2"), "keeper")
-    return both.where(100 * F.col("own") >= percent * (F.col("kept") + F.col("kept_2"))).select("row_key", "keeper")
+    return both.where((100 * F.col("own") >= percent * (F.col("kept") + F.col("own"))) & (100 * F.col("own") >= percent * F.col("kept_2"))).select("row_key", "keeper")
 
 
-def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, whole_copies: bool = False) -> DataFrame:
+def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, copies: int | None = None) -> DataFrame:
     """(doc_id, row_key, pos), staged, of every line that is not the first of its component.
 
-    With ``whole_copies``, a row that shares ``percent`` of its text with a
-    single other one once all other lines are cut keeps the lines that the other
-    keeps: it is a near copy of a document, which is for a later stage to see.
+    With ``copies``, a row that shares so many percent of what is left of both
+    with a single other one, once all other lines are cut, keeps the lines that
+    the other keeps: it is a near copy of a document, which is for a later stage
+    to see.
     """
     lines = lines_of(docs)
     with Scratch(docs.sparkSession, "line-dedup") as scratch:
@@ -141,11 +144,11 @@ def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, whole_co
         places = scratch.stage(found.select("g", F.struct("doc_id", "row_key", "pos").alias("at"), "chars"), "places")
         keepers = scratch.stage(places.groupBy("g").agg(F.min("at").alias("keep")), "keepers")
         gone = places.join(if_few(keepers), "g").where(~F.col("at").eqNullSafe(F.col("keep"))).select("at.*", "g", "chars", F.col("keep.row_key").alias("keeper"))
-        if whole_copies:
+        if copies is not None:
             gone = scratch.stage(gone, "gone")
-            copies = scratch.stage(_copies(gone, docs, percent), "copies")
+            whole = scratch.stage(_copies(gone, docs, copies), "copies")
             # of lines that are near-equal inside a row, the first is spared
-            spared = gone.join(if_few(copies), ["row_key", "keeper"]).groupBy("row_key", "g").agg(F.min("pos").alias("pos"))
+            spared = gone.join(if_few(whole), ["row_key", "keeper"]).groupBy("row_key", "g").agg(F.min("pos").alias("pos"))
             gone = gone.join(if_few(scratch.stage(spared.select("row_key", "pos"), "spared")), ["row_key", "pos"], "left_anti")
         gone = gone.select("doc_id", "row_key", "pos").distinct()
         return stage(gone, "removed")
@@ -169,14 +172,14 @@ def _others(lines: F.Column, places: F.Column) -> F.Column:
     return let(lines, lambda a: F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), places), lambda i: a[i]))
 
 
-def keep_first_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, whole_copies: bool = False, still: Callable[[F.Column], F.Column] | None = None) -> DataFrame:
+def keep_first_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, copies: int | None = None, still: Callable[[F.Column], F.Column] | None = None) -> DataFrame:
     """``docs`` without the removed lines; a document that loses its last line with text goes too.
 
-    ``whole_copies`` as in :func:`removed_lines`; with ``still``, a document that lost
+    ``copies`` as in :func:`removed_lines`; with ``still``, a document that lost
     lines also goes unless its new text passes.
     """
     key, gone = unused(docs, "row_key", "removed")
-    removed = _by_document(removed_lines(docs, shingle, percent, whole_copies)).toDF(key, gone)
+    removed = _by_document(removed_lines(docs, shingle, percent, copies)).toDF(key, gone)
     joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(removed, key, "left")
     kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(_others(F.split("text", "\n"), F.col(gone)), "\n"))
     good = F.btrim("text", F.lit(WHITE)) != ""
