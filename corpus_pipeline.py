@@ -23,6 +23,9 @@ from tallyweir.llm import line_dedup, mixing, near_dedup, quality, sentencepiece
 from tallyweir.llm._common import Scratch, read_table, stage
 from tallyweir.llm.queries import piece_model
 
+#: Percent of their lines that near copies of a whole document share.
+COPIES = 70
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the distribution test reject go."""
@@ -35,7 +38,7 @@ def fuzzy_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Near copies of a whole document keep the lines that it keeps, so that the
     next stage finds both.
     """
-    return line_dedup.keep_first_lines(docs, whole_copies=True, still=quality.passes_base)
+    return line_dedup.keep_first_lines(docs, copies=COPIES, still=quality.passes_base)
 
 
 def near_dup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
