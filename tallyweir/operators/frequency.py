@@ -88,7 +88,7 @@ def last_windows(df: DataFrame, date: str, grain: str) -> DataFrame:
     """
     w, at = WINDOW[grain], F.col(f"`{date}`")
     day = F.to_date(at)
-    ends = df.where(at.isNotNull()).agg(F.min(bin_of(at, grain)).alias("a"), F.max(bin_of(at, grain)).alias("b"), F.max(day).alias("hi"), (F.count_distinct(day) / F.count_distinct(F.trunc(day, "month"))).alias("per_month")).where("a is not null")
+    ends = df.where(at.isNotNull()).agg(F.min(bin_of(at, grain)).alias("a"), F.max(bin_of(at, grain)).alias("b"), F.max(day).alias("hi"), F.try_divide(F.count_distinct(day), F.count_distinct(F.trunc(day, "month"))).alias("per_month")).where("a is not null")
     back = {"D": lambda d, k: F.date_add(d, -k), "W": lambda d, k: F.date_add(d, -7 * k), "MS": lambda d, k: F.add_months(d, -k), "YS": lambda d, k: F.add_months(d, -12 * k)}[grain]
     # weeks carry their last day, so a window ends the day after its label; other periods end where the next begins
     end = F.date_add("b", 1) if grain == "W" else back(F.col("b"), -1)

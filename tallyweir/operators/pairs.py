@@ -47,9 +47,17 @@ def pair_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(first, second, ``SUMS``) of all ordered pairs of ``columns``, sums about the means of the columns."""
     n = len(columns)
     flat = df.select(*[F.col(f"`{c}`").cast("double").alias(f"m{i}") for i, c in enumerate(columns)])
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count, total = np.zeros(n), np.zeros(n)
+        for frame in frames:
+            x = _numbers(frame, n)
+            good = np.isfinite(x)
+            count, total = count + good.sum(0), total + np.where(good, x, 0.0).sum(0)
+        yield pd.DataFrame({"i": range(n), "c": count, "t": total})
+
     # means keep the sums of squares small; a mean of what is finite does
-    cells = flat.select(F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"m{i}").alias("x")) for i in range(n)])).alias("c")).select("c.*")
-    means = {r["at"]: r["x"] for r in cells.where("x is not null and abs(x) < double('infinity')").groupBy("at").agg(F.avg("x").alias("x")).collect()}
+    means = {r["i"]: r["t"] / r["c"] for r in flat.mapInPandas(sums, "i int, c double, t double").groupBy("i").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).where("c > 0").collect()}
     centre = np.array([means.get(i, 0.0) for i in range(n)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -51,6 +51,9 @@ def _updated(delay: int):  # noqa: ANN202
         for frame in frames:
             for day, v in zip(frame["day"], frame["v"], strict=True):
                 new[day.toordinal() - _EPOCH] = new.get(day.toordinal() - _EPOCH, 0.0) + v
+        if state.exists and state.get[2] > state.get[0]:
+            # the run was cut, so days near its start can no longer be put right
+            new = {day: v for day, v in new.items() if day >= state.get[2] + 2 * REACH}
         if not new:
             return
         lo, hi = min(new), max(new)
@@ -67,7 +70,8 @@ def _updated(delay: int):  # noqa: ANN202
         middle = _medians(run)
         at = np.arange(touched - begin, len(run))
         yield pd.DataFrame({"series": key[0], "day": [Date.fromordinal(int(begin + i) + _EPOCH) for i in at], "y": run[at], "mid": middle[at]})
-        keep = max(begin, last - delay - 1 - 2 * REACH)
+        # late rows of the next batch are held against what was newest before this one
+        keep = max(begin, old - delay - 1 - 2 * REACH)
         state.update((int(first), int(last), int(keep), run[keep - begin :].tolist()))
 
     return update

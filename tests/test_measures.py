@@ -159,7 +159,7 @@ def test_segment_shifts_noise_and_holes(spark):
     for i in range(14):
         month = datetime.datetime(2023 + i // 12, i % 12 + 1, 15)
         for j in range(20):
-            rows += [(month, "steady", True, 100.0), (month, "wild", True, 100.0 * (0.2 if i % 2 else 2.2) * (0.6 if i >= 11 else 1)), (month, "new", True, 200.0)] if i >= 8 or j else [(month, "steady", True, 100.0)]
+            rows += [(month, "steady", True, 100.0), (month, "wild", True, 100.0 * (0.2 if i % 2 else 2.2) * (0.3 if i >= 10 else 1)), (month, "new", True, 200.0)] if i >= 8 or j else [(month, "steady", True, 100.0)]
     got = {r["label"]: r for r in segments.segment_shifts(spark.createDataFrame([r for r in rows if not (r[1] == "new" and r[0].month % 2)], SALES), "d", "net_sales", ["store"]).collect()}
     assert not got["wild"]["found"] and abs(got["wild"]["change"]) >= 25
     b, r, noise = _plain_shift([r for r in rows if not (r[1] == "new" and r[0].month % 2)], "new")
