@@ -210,6 +210,35 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.set(name, before[k]) if before[k] is not None else spark.conf.unset(name)
 
 
+#: Words of 64 bits in a sketch.
+WORDS = 32
+
+
+def sketches(owned: DataFrame) -> DataFrame:
+    """(id, size, w0, w1, ..., bits): a set's size, a bit field in which each element sets one bit, and the number of bits set.
+
+    ``owned`` is (id, items array<bigint>), items distinct. A set is one row, so it is folded
+    before the exchange.
+    """
+    bits = owned.select("id", F.explode("items").alias("s")).select("id", F.pmod("s", F.lit(WORDS)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 58) as int))").alias("bit"))
+    made = bits.groupBy("id").agg(F.count("*").alias("size"), *[F.coalesce(F.bit_or(F.when(F.col("w") == w, F.col("bit"))), F.lit(0)).cast("long").alias(f"w{w}") for w in range(WORDS)])
+    return made.withColumn("bits", F.expr(" + ".join(f"bit_count(w{w})" for w in range(WORDS))))
+
+
+def sketch_most() -> F.Column:
+    """The most elements that two sets of :func:`sketches` can share: a bit of one that the other lacks is an element of its own.
+
+    Close to the truth while sets are small against the number of bits, valid for all.
+    """
+    # one count of common bits a pair keeps the generated code of the join small
+    common = F.expr(" + ".join(f"bit_count(w{w} & w{w}_2)" for w in range(WORDS)))
+    return common + F.least(F.col("size") - F.col("bits"), F.col("size_2") - F.col("bits_2"))
+
+
+#: Members up to which all pairs of a bucket are looked at; members of larger ones meet by rare elements.
+BUCKET = 256
+
+
 def linked(
     sets: DataFrame,
     fetch: Callable[[DataFrame], DataFrame],
@@ -228,11 +257,12 @@ def linked(
     occurs: an original rather than a changed copy), so a hot bucket costs one
     pair per member and is pre-aggregated before the exchange. After the
     union-find only buckets whose members are in different components are left:
-    pairs inside a component cannot change it. Their members do not meet by
-    bucket, which would take all pairs, but by the rare elements of their sets
-    (``elements`` of texts is (id, items), items distinct): see ``meetings``.
-    That is exact, so no link between members is lost, whatever they share a
-    bucket with. The links found then join the components of before.
+    pairs inside a component cannot change it. In a bucket of up to BUCKET
+    members all pairs of different components are held against the bound of
+    their sketches. Members of larger buckets do not meet in pairs, but by the
+    rare elements of their sets (``elements`` of texts is (id, items), items
+    distinct): see ``meetings``. Either way is exact, so no link between members
+    is lost. The links found then join the components of before.
     """
     with Scratch(sets.sparkSession, "linked") as scratch:
         keyed = sets.select("id", "weight", F.explode("keys").alias("key"))
@@ -245,11 +275,19 @@ def linked(
         first = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
         rooted = shared.join(first.withColumnRenamed("id", "b"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
         # the leader has met everyone; only other members can still be linked across components
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key")
-        rest = scratch.stage(rooted.join(mixed, "key").where("a <> b").select(F.col("b").alias("id"), "root").distinct(), "rest")
-        items = elements(texts.join(if_few(rest.select("id")), "id", "left_semi"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key", "n")
+        rest = scratch.stage(rooted.join(mixed, "key").where("a <> b").select("key", "n", F.col("b").alias("id"), "root"), "rest")
+        few, many = rest.where(F.col("n") <= BUCKET), rest.where(F.col("n") > BUCKET).select("id", "root").distinct()
+        sketched = scratch.stage(sketches(elements(texts.join(if_few(few.select("id").distinct()), "id", "left_semi"))), "sketches")
+        each = few.join(sketched, "id").drop("n")
+        other = each.select("key", *[F.col(c).alias(f"{c}_2") for c in each.columns if c != "key"])
+        bound = (100 + percent) * sketch_most() >= percent * (F.col("size") + F.col("size_2"))
+        close = each.join(other, "key").where((F.col("root") < F.col("root_2")) & bound)
+        close = close.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"), F.col("root").alias("x"), F.col("root_2").alias("y")).distinct()
+        items = elements(texts.join(if_few(many.select("id")), "id", "left_semi"))
         entries = listed(items.select("id", F.size("items").cast("long").alias("n"), "items"), percent)
-        across = scratch.stage(meetings(entries.join(rest, "id"), percent, scratch), "across")
+        far = meetings(entries.join(many, "id"), percent, scratch).select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        across = scratch.stage(close.union(far).dropDuplicates(["a", "b"]), "across")
         more = scratch.stage(verify(across.select("a", "b"), texts).join(across, ["a", "b"]).select(F.col("x").alias("src"), F.col("y").alias("dst")), "more")
         if more.isEmpty():
             return place.stage(first, "roots")

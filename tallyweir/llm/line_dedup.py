@@ -10,7 +10,8 @@ each component the first line stays, in order of doc_id and place.
 Lines are what a split at ``\\n`` gives. Defined results: null text has no
 lines; lines of white space only are never removed and take no part; a line
 shorter than a shingle is one shingle; repeated rows (same doc_id and text)
-count as one document and keep or lose the same lines; texts and lines of any
+count as one document and keep or lose the same lines; of different texts with
+one id, the one with the smaller hash of both comes first; texts and lines of any
 length are read whole; an empty table gives an empty result; other columns are
 carried along by ``keep_first_lines``, whatever their names.
 
