@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweir.functions import cleaning, inference
 from tallyweir.operators import findings, fitted, forecast, frequency, insights, pairs, periods, prepare, quantiles, recommend, roles, segments
-from tallyweir.plans import ingest, sqlguard
+from tallyweir.plans import ingest, outputs, sqlguard
 from tallyweir.sources.shared import Folder, followed
 from tallyweir.streaming import levels
 
@@ -666,8 +666,9 @@ def series_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT CASE WHEN abs(s - 1) >= 0.03 THEN s ELSE 1.0 END AS scale, CASE WHEN abs(s - 1) >= 0.03 THEN CASE WHEN daily THEN 'day' ELSE 'reporting date' END END AS unit FROM u
         WHERE abs(new - old * CASE WHEN abs(s - 1) >= 0.03 THEN s ELSE 1.0 END) >= 0.03 * abs(old * CASE WHEN abs(s - 1) >= 0.03 THEN s ELSE 1.0 END)
     ), g AS (
-        SELECT dimension, coalesce(label, '(blank)') AS label, scale, unit, coalesce(sum(v) FILTER (d < c0), 0) * scale AS before, coalesce(sum(v) FILTER (d >= c0), 0) AS after
-        FROM (SELECT 'priority' AS dimension, priority AS label, d, v, c0 FROM r UNION ALL SELECT 'status', status, d, v, c0 FROM r), k GROUP BY ALL
+        SELECT dimension, label, scale, unit, old * scale AS before, after FROM (
+            SELECT dimension, coalesce(label, '(blank)') AS label, coalesce(sum(v) FILTER (d < c0), 0) AS old, coalesce(sum(v) FILTER (d >= c0), 0) AS after
+            FROM (SELECT 'priority' AS dimension, priority AS label, d, v, c0 FROM r UNION ALL SELECT 'status', status, d, v, c0 FROM r) GROUP BY ALL), k
     ), f AS (
         SELECT dimension, CASE WHEN count(*) >= 2 THEN max(abs(after - before)) / sum(abs(after - before)) END AS focus FROM g GROUP BY 1
     )
@@ -720,7 +721,7 @@ _MOVED = SQL["moved_segments"].replace(_SHIFTED, "SELECT o_orderdate::DATE AS d,
     whole AS (SELECT *, CASE WHEN mn > 0 AND p99 / p50 > 8 THEN NULL ELSE 3 * (q3 - q1) END AS gap FROM (SELECT count(*) AS n, sum(o_totalprice) AS total, min(o_totalprice) AS mn, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.75) AS q3, quantile_cont(o_totalprice, 0.99) AS p99 FROM planted)),
     odd AS (SELECT count(*) AS n, sum(o_totalprice) AS held FROM planted, whole WHERE gap > 0 AND (o_totalprice < q1 - gap OR o_totalprice > q3 + gap)),
     moved AS ({SQL["latest_change"].replace("FROM orders", "FROM planted")}),
-    leading AS (SELECT dimension, label, delta, sum(delta) OVER () AS total, sum(before) OVER () AS base FROM moved WHERE lead ORDER BY abs(delta) DESC, label DESC LIMIT 1),
+    chief AS (SELECT dimension, label, delta, sum(delta) OVER () AS total, sum(before) OVER () AS base FROM moved WHERE lead ORDER BY abs(delta) DESC, label DESC LIMIT 1),
     days AS ({SQL["spiked_day_anomalies"].replace("sum(o_totalprice * " + _SPIKED + ") AS v FROM orders", "sum(o_totalprice) AS v FROM planted")}),
     months AS (SELECT period, y, row_number() OVER (ORDER BY period) AS i, count(*) OVER () AS n FROM (
         SELECT date_trunc('month', o_orderdate)::DATE AS period, sum(o_totalprice) AS y FROM planted GROUP BY 1) WHERE period < (SELECT CASE WHEN last_day(max(o_orderdate)::DATE) - max(o_orderdate)::DATE > 2 THEN date_trunc('month', max(o_orderdate)) ELSE max(o_orderdate) END FROM planted)),
@@ -729,7 +730,7 @@ _MOVED = SQL["moved_segments"].replace(_SHIFTED, "SELECT o_orderdate::DATE AS d,
     found AS (
         SELECT 1 AS place, 'quality' AS kind, CASE WHEN mn >= 0 AND held / total >= 0.2 THEN 'warn' ELSE 'info' END AS severity, 'amount' AS subject FROM odd o, whole WHERE o.n > 0
         UNION ALL SELECT 2, 'quality', 'info', 'negative' FROM planted WHERE o_totalprice < 0 HAVING count(*) >= 3
-        UNION ALL SELECT 3, 'change', CASE WHEN total > 0 AND (abs(delta / total) < 0.25 OR delta > 0) THEN 'good' ELSE 'warn' END, dimension FROM leading
+        UNION ALL SELECT 3, 'change', CASE WHEN total > 0 AND (abs(delta / total) < 0.25 OR delta > 0) THEN 'good' ELSE 'warn' END, dimension FROM chief
         UNION ALL SELECT 4 + row_number() OVER (ORDER BY abs(score) DESC, "day") / 10.0, 'anomaly', 'warn', "day" FROM days
         UNION ALL SELECT 5, 'trend', CASE WHEN c > 0 THEN 'good' ELSE 'warn' END, 'amount' FROM trend WHERE abs(c) >= 5
         UNION ALL SELECT 7 + CASE dimension WHEN 'priority' THEN 0.1 ELSE 0.2 END, 'driver', 'info', dimension FROM groups GROUP BY dimension HAVING count(*) >= 3 AND min(v) >= 0 AND max(v) / sum(v) > greatest(0.35, 1.5 / count(*))
@@ -776,11 +777,11 @@ def _ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     sided AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN k END IGNORE NULLS) OVER b AS pk, last_value(y IGNORE NULLS) OVER b AS py, first_value(CASE WHEN y IS NOT NULL THEN k END IGNORE NULLS) OVER f AS qk, first_value(y IGNORE NULLS) OVER f AS qy FROM dense
         WINDOW b AS (PARTITION BY series ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY series ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
     SELECT series, CASE series {" ".join(f"WHEN '{k}' THEN '{f}'" for k, (_, _, f, _, _) in _RAGGED.items())} END AS frequency, CASE series WHEN 'days' THEN 7 WHEN 'months' THEN 12 WHEN 'quarters' THEN 4 ELSE 1 END::INT AS season, k::INT AS i,
-        CASE series {" ".join(f"WHEN '{k}' THEN {at}" for k, (_, _, _, _, at) in _RAGGED.items())} END::VARCHAR AS period, round(coalesce(y, py + (qy - py) * (k - pk) / greatest(qk - pk, 1)), 2) AS y, y IS NULL AS filled FROM sided
+        CASE series {" ".join(f"WHEN '{k}' THEN {at}" for k, (_, _, _, _, at) in _RAGGED.items())} END::VARCHAR AS period, round(coalesce(y, py + (qy - py) * (k - pk) / greatest(qk - pk, 1)), 1) AS y, y IS NULL AS filled FROM sided
 """)
 def prepared_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = prepare.prepare(_ragged(spark, sf_dir), "series", "t", "v")[0]
-    return rounded(ready.withColumn("period", F.to_date("period").cast("string")), 2, "y")
+    return rounded(ready.withColumn("period", F.to_date("period").cast("string")), 1, "y")
 
 
 @query(f"""
@@ -796,3 +797,25 @@ def prepared_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecast_ragged_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six periods ahead of series of different frequencies, with refusals and caveats as rows."""
     return fitted.forecast_series(_ragged(spark, sf_dir), "series", "t", "v")
+
+
+@query(f"""
+    WITH {_MONTHS}, kept AS (SELECT * FROM series WHERE period < (SELECT CASE WHEN last_day(max(o_orderdate)::DATE) - max(o_orderdate)::DATE > 2 THEN date_trunc('month', max(o_orderdate)) ELSE max(o_orderdate) END FROM orders)),
+    bars AS (SELECT 2 AS chart, 'priority' AS d, o_orderpriority AS x, sum(o_totalprice) AS y FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY ALL UNION ALL SELECT 3, 'status', o_orderstatus, sum(o_totalprice) FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY ALL),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY chart ORDER BY y DESC, x) AS place FROM bars)
+    SELECT 1 AS chart, 'amount by month' AS title, 'line' AS kind, row_number() OVER (ORDER BY period)::INT AS place, period::VARCHAR AS x, round(y, 2) AS y FROM kept
+    UNION ALL SELECT chart, 'amount by ' || d, 'bar', place::INT, x, round(y, 2) FROM ordered WHERE place <= 8
+    UNION ALL SELECT 4, 'How amount is spread', 'hist', bin, NULL, n FROM ({SQL["histogram_prices"]})
+""")
+def starter_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("order_date"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("amount"))
+    # the words for a bin are formatted apart from the query's rows
+    return rounded(outputs.starter_charts(orders, roles.roles(orders)), 2, "y").withColumn("x", F.when(F.col("kind") != "hist", F.col("x")))
+
+
+@query("SELECT to_json({'region': r_regionkey, 'name': r_name, 'ratio': CASE WHEN r_regionkey % 2 = 0 THEN NULL ELSE r_regionkey / 4 END, 'seen': CASE WHEN r_regionkey = 3 THEN NULL ELSE '2024-01-0' || (r_regionkey + 1) || 'T10:00:00' END})::VARCHAR AS row FROM region")
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("r_regionkey")
+    ratio = F.when(key == 0, float("nan")).when(key % 2 == 0, float("inf")).otherwise(key / 4)
+    seen = F.when(key != 3, F.make_timestamp(F.lit(2024), F.lit(1), key + 1, F.lit(10), F.lit(0), F.lit(0)))
+    return outputs.json_rows(table(spark, sf_dir, "region").select(key.alias("region"), F.col("r_name").alias("name"), ratio.alias("ratio"), seen.alias("seen")))
