@@ -725,6 +725,7 @@ _MOVED = SQL["moved_segments"].replace(_SHIFTED, "SELECT o_orderdate::DATE AS d,
     days AS ({SQL["spiked_day_anomalies"].replace("sum(o_totalprice * " + _SPIKED + ") AS v FROM orders", "sum(o_totalprice) AS v FROM planted")}),
     months AS (SELECT period, y, row_number() OVER (ORDER BY period) AS i, count(*) OVER () AS n FROM (
         SELECT date_trunc('month', o_orderdate)::DATE AS period, sum(o_totalprice) AS y FROM planted GROUP BY 1) WHERE period < (SELECT CASE WHEN last_day(max(o_orderdate)::DATE) - max(o_orderdate)::DATE > 2 THEN date_trunc('month', max(o_orderdate)) ELSE max(o_orderdate) END FROM planted)),
+    periods AS (SELECT period, 0.6745 * off / nullif(median(abs(off)) OVER (), 0) AS z FROM (SELECT period, y - median(y) OVER () AS off FROM months)),
     trend AS (SELECT 100 * (avg(y) FILTER (i > n - greatest(2, n // 3)) - avg(y) FILTER (i <= greatest(2, n // 3))) / abs(avg(y) FILTER (i <= greatest(2, n // 3))) AS c FROM months HAVING count(*) >= 6),
     groups AS (SELECT 'priority' AS dimension, o_orderpriority AS label, sum(o_totalprice) AS v FROM planted GROUP BY ALL UNION ALL SELECT 'status', o_orderstatus, sum(o_totalprice) FROM planted GROUP BY ALL),
     found AS (
@@ -733,6 +734,7 @@ _MOVED = SQL["moved_segments"].replace(_SHIFTED, "SELECT o_orderdate::DATE AS d,
         UNION ALL SELECT 3, 'change', CASE WHEN total > 0 AND (abs(delta / total) < 0.25 OR delta > 0) THEN 'good' ELSE 'warn' END, dimension FROM chief
         UNION ALL SELECT 4 + row_number() OVER (ORDER BY abs(score) DESC, "day") / 10.0, 'anomaly', 'warn', "day" FROM days
         UNION ALL SELECT 5, 'trend', CASE WHEN c > 0 THEN 'good' ELSE 'warn' END, 'amount' FROM trend WHERE abs(c) >= 5
+        UNION ALL SELECT * FROM (SELECT 6 + row_number() OVER (ORDER BY abs(z) DESC, period) / 10.0 AS place, 'anomaly' AS kind, 'warn' AS severity, period::VARCHAR AS subject FROM periods WHERE abs(z) > 3.5 AND (SELECT count(*) FROM days) = 0 AND (SELECT count(*) FROM months) >= 6) WHERE place < 6.25
         UNION ALL SELECT 7 + CASE dimension WHEN 'priority' THEN 0.1 ELSE 0.2 END, 'driver', 'info', dimension FROM groups GROUP BY dimension HAVING count(*) >= 3 AND min(v) >= 0 AND max(v) / sum(v) > greatest(0.35, 1.5 / count(*))
         UNION ALL SELECT 8 + rank / 10.0, 'driver', CASE WHEN change > 0 THEN 'good' ELSE 'warn' END, dimension FROM ({_MOVED}) WHERE rank <= 2
     )
@@ -746,7 +748,7 @@ def findings_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Series with holes and several values a period: name, time, orders taken, frequency, number of a period, and its first day.
 _RAGGED = {
-    "days": ("d", "day(d) NOT IN (10, 11)", "D", "d - DATE '1970-01-05'", "DATE '1970-01-05' + i::INT"),
+    "weeks": ("date_trunc('week', d)::DATE", "week(d) % 5 <> 0", "W", "(t - DATE '1970-01-05') // 7", "DATE '1970-01-05' + (7 * i)::INT"),
     "months": ("date_trunc('month', d)::DATE", "month(d) <> 4", "MS", "12 * (year(t) - 1970) + month(t) - 1", "(DATE '1970-01-01' + to_months(i::INT))::DATE"),
     "quarters": ("date_trunc('quarter', d)::DATE", "true", "QS", "4 * (year(t) - 1970) + quarter(t) - 1", "(DATE '1970-01-01' + to_months((3 * i)::INT))::DATE"),
     "year starts": ("d", "month(d) = 1 AND day(d) = 1 AND d < DATE '2000-01-01'", "YS", "year(t) - 1970", "(DATE '1970-01-01' + to_years(i::INT))::DATE"),
@@ -754,7 +756,7 @@ _RAGGED = {
 _RAGGED_SQL = f"""
     o AS (SELECT o_orderdate::DATE AS d, CASE WHEN o_orderkey % 41 = 0 THEN 'nan'::DOUBLE WHEN o_orderkey % 43 > 0 THEN o_totalprice END AS v FROM orders WHERE o_orderdate IS NOT NULL),
     t AS ({" UNION ALL ".join(f"SELECT '{k}' AS series, d, {at} AS t, v FROM o WHERE {which}" for k, (at, which, *_) in _RAGGED.items())}),
-    n AS (SELECT series, CASE series {" ".join(f"WHEN '{k}' THEN {i.replace('d -', 't -')}" for k, (_, _, _, i, _) in _RAGGED.items())} END AS i, v FROM t),
+    n AS (SELECT series, CASE series {" ".join(f"WHEN '{k}' THEN {i}" for k, (_, _, _, i, _) in _RAGGED.items())} END AS i, v FROM t),
     p AS (SELECT series, i, sum(v) FILTER (NOT isnan(v)) AS y, count(v) FILTER (NOT isnan(v)) AS n, count(v) FILTER (isnan(v)) AS odd FROM n GROUP BY ALL),
     e AS (SELECT series, min(i) FILTER (n > 0) AS a, max(i) FILTER (n > 0) AS b, max(i) AS z, count(*) FILTER (n > 0) AS observed, sum(greatest(n - 1, 0)) AS merged, sum(odd) AS odd FROM p GROUP BY ALL)
 """
@@ -766,7 +768,7 @@ def _ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(key % 41 == 0, float("nan")).when(key % 43 > 0, F.col("o_totalprice"))
     day = table(spark, sf_dir, "orders").where("o_orderdate is not null").select(F.to_date("o_orderdate").alias("d"), v.alias("v"))
     first = (F.month(d) == 1) & (F.dayofmonth(d) == 1) & (d < F.lit("2000-01-01").cast("date"))
-    times = {"days": F.when(~F.dayofmonth(d).isin(10, 11), d), "months": F.when(F.month(d) != 4, F.trunc(d, "month")), "quarters": F.trunc(d, "quarter"), "year starts": F.when(first, d)}
+    times = {"weeks": F.when(F.weekofyear(d) % 5 != 0, F.trunc(d, "week")), "months": F.when(F.month(d) != 4, F.trunc(d, "month")), "quarters": F.trunc(d, "quarter"), "year starts": F.when(first, d)}
     return day.select("v", F.explode(F.array(*[F.struct(F.lit(k).alias("series"), t.alias("t")) for k, t in times.items()])).alias("x")).select("x.*", "v").where("t is not null")
 
 
@@ -776,7 +778,7 @@ def _ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense AS (SELECT s.series, s.i, y, row_number() OVER (PARTITION BY s.series ORDER BY s.i) - 1 AS k FROM spine s LEFT JOIN p ON p.series = s.series AND p.i = s.i AND p.n > 0),
     sided AS (SELECT *, last_value(CASE WHEN y IS NOT NULL THEN k END IGNORE NULLS) OVER b AS pk, last_value(y IGNORE NULLS) OVER b AS py, first_value(CASE WHEN y IS NOT NULL THEN k END IGNORE NULLS) OVER f AS qk, first_value(y IGNORE NULLS) OVER f AS qy FROM dense
         WINDOW b AS (PARTITION BY series ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY series ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-    SELECT series, CASE series {" ".join(f"WHEN '{k}' THEN '{f}'" for k, (_, _, f, _, _) in _RAGGED.items())} END AS frequency, CASE series WHEN 'days' THEN 7 WHEN 'months' THEN 12 WHEN 'quarters' THEN 4 ELSE 1 END::INT AS season, k::INT AS i,
+    SELECT series, CASE series {" ".join(f"WHEN '{k}' THEN '{f}'" for k, (_, _, f, _, _) in _RAGGED.items())} END AS frequency, CASE series WHEN 'weeks' THEN 52 WHEN 'months' THEN 12 WHEN 'quarters' THEN 4 ELSE 1 END::INT AS season, k::INT AS i,
         CASE series {" ".join(f"WHEN '{k}' THEN {at}" for k, (_, _, _, _, at) in _RAGGED.items())} END::VARCHAR AS period, round(coalesce(y, py + (qy - py) * (k - pk) / greatest(qk - pk, 1)), 1) AS y, y IS NULL AS filled FROM sided
 """)
 def prepared_series(spark: SparkSession, sf_dir: str) -> DataFrame:
