@@ -235,8 +235,8 @@ def sketch_most() -> F.Column:
     return common + F.least(F.col("size") - F.col("bits"), F.col("size_2") - F.col("bits_2"))
 
 
-#: Members up to which all pairs of a bucket are looked at; members of larger ones meet by rare elements.
-BUCKET = 256
+#: Members up to which all pairs of a bucket are looked at, some 0.1 ms a member; members of larger ones meet by rare elements.
+BUCKET = 4096
 
 
 def linked(
@@ -285,8 +285,8 @@ def linked(
         close = each.join(other, "key").where((F.col("root") < F.col("root_2")) & bound)
         close = close.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"), F.col("root").alias("x"), F.col("root_2").alias("y")).distinct()
         items = elements(texts.join(if_few(many.select("id")), "id", "left_semi"))
-        entries = listed(items.select("id", F.size("items").cast("long").alias("n"), "items"), percent)
-        far = meetings(entries.join(many, "id"), percent, scratch).select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        sets_of = items.select("id", F.size("items").cast("long").alias("n"), "items").join(many, "id")
+        far = meetings(listed(sets_of, percent, "root"), percent, scratch).select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         across = scratch.stage(close.union(far).dropDuplicates(["a", "b"]), "across")
         more = scratch.stage(verify(across.select("a", "b"), texts).join(across, ["a", "b"]).select(F.col("x").alias("src"), F.col("y").alias("dst")), "more")
         if more.isEmpty():

@@ -37,16 +37,17 @@ def counted(entries: DataFrame) -> DataFrame:
     return entries.withColumn("df", F.count("*").over(Window.partitionBy("e"))).where("df > 1")
 
 
-def listed(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, n, e, pos): the entries of the inverted lists.
+def listed(sets: DataFrame, percent: int, *carried: str) -> DataFrame:
+    """(id, n, carried, e, pos): the entries of the inverted lists of (id, n, carried, items).
 
     ``pos`` is an element's place in its set, rare elements first. Elements that
     no other set holds come before all others and open no list; a set that has
     more of them than it may have for itself has no partner.
     """
-    held = counted(sets.select("id", "n", F.explode("items").alias("e"))).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("known"))
-    own = held.withColumn("own", F.col("n") - F.size("known")).withColumn("open", F.expr(f"n - {least_sql('n', percent)} + 1 - own").cast("int")).where("open > 0")
-    return own.select("id", "n", "own", F.posexplode(F.slice("known", F.lit(1), F.col("open"))).alias("i", "x")).select("id", "n", F.col("x.e").alias("e"), (F.col("own") + F.col("i")).alias("pos"))
+    own = ["id", "n", *carried]
+    held = counted(sets.select(*own, F.explode("items").alias("e"))).groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("known"))
+    first = held.withColumn("own", F.col("n") - F.size("known")).withColumn("open", F.expr(f"n - {least_sql('n', percent)} + 1 - own").cast("int")).where("open > 0")
+    return first.select(*own, "own", F.posexplode(F.slice("known", F.lit(1), F.col("open"))).alias("i", "x")).select(*own, F.col("x.e").alias("e"), (F.col("own") + F.col("i")).alias("pos"))
 
 
 def may_link(small: str, large: str, percent: int) -> F.Column:
