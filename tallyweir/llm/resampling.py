@@ -54,10 +54,11 @@ def _starts(words: F.Column, n: int) -> F.Column:
 
 def features_of(words: F.Column, longest: int, buckets: int) -> F.Column:
     """Buckets of all runs of 1 to ``longest`` words, repeats included."""
-    parts = [F.transform(words, lambda w: _bucket(w, buckets))]
-    for n in range(2, longest + 1):
-        parts.append(F.transform(_starts(words, n), lambda i, n=n: _bucket(F.array_join(F.slice(words, i, n), " "), buckets)))
-    return F.concat(*parts)
+
+    def runs(n: int) -> F.Column:
+        return F.transform(_starts(words, n), lambda i: _bucket(F.array_join(F.slice(words, i, n), " "), buckets))
+
+    return F.concat(F.transform(words, lambda w: _bucket(w, buckets)), *[runs(n) for n in range(2, longest + 1)])
 
 
 def crossing_features(text: F.Column, longest: int, buckets: int) -> F.Column:
@@ -65,12 +66,12 @@ def crossing_features(text: F.Column, longest: int, buckets: int) -> F.Column:
     lines = F.split(text, "\n")
     placed = F.flatten(F.transform(lines, lambda line, i: F.transform(words_of(line), lambda w: F.struct(w.alias("w"), i.alias("i")))))
 
+    def runs(words: F.Column, n: int) -> F.Column:
+        across = F.filter(_starts(words, n), lambda i: words[i - 1]["i"] != words[i + (n - 2)]["i"])
+        return F.transform(across, lambda i: _bucket(F.array_join(F.transform(F.slice(words, i, n), lambda x: x["w"]), " "), buckets))
+
     def made(words: F.Column) -> F.Column:
-        parts = []
-        for n in range(2, longest + 1):
-            across = F.filter(_starts(words, n), lambda i, n=n: words[i - 1]["i"] != words[i + (n - 2)]["i"])
-            parts.append(F.transform(across, lambda i, n=n: _bucket(F.array_join(F.transform(F.slice(words, i, n), lambda x: x["w"]), " "), buckets)))
-        return F.concat(*parts)
+        return F.concat(*[runs(words, n) for n in range(2, longest + 1)])
 
     return let(placed, made)
 
