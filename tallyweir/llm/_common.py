@@ -13,7 +13,6 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,7 +79,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.held: list[DataFrame] = []
 
     def stage(self, df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex}"
@@ -94,17 +92,10 @@ class Scratch:
             if str(path.getParent().toString()).rstrip("/").endswith(self.root.rsplit("/", 1)[-1]):
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def hold(self, df: DataFrame) -> DataFrame:
-        """``df`` kept by the executors for a few further reads; a lost executor's share is computed again from the tables below it."""
-        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return self.held[-1]
-
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *failure: object) -> None:
-        for df in self.held:
-            df.unpersist()
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -158,20 +149,23 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
 def components(edges: DataFrame, place: Scratch | None = None) -> DataFrame:
     """Connected components of ``edges`` (long columns src, dst): distributed union-find.
 
-    Alternates the large-star and small-star contractions until no edge changes
-    and returns (id, root) with ``root`` the smallest id of the component; ids
-    without an edge do not appear. All state stays in tables of the shared
-    folder, of which only the result is left (in ``place``, if given).
+    Alternates the large-star and small-star contractions until only stars are
+    left, which no contraction changes, and returns (id, root) with ``root`` the
+    smallest id of the component; ids without an edge do not appear. All state
+    stays in tables of the shared folder, of which only the result is left (in
+    ``place``, if given).
     Self-loops, repeated and null edges are ignored.
     """
     with Scratch(edges.sparkSession, "union-find") as scratch:
         now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-        now, before = scratch.stage(now, "edges"), None
+        now = scratch.stage(now, "edges")
         while True:
-            count, mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-            if (count, mark) == before or count == 0:
+            # in a star every id but the root has one edge up, and the root none
+            ends = now.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+            ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+            count, open_ends = ends.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if(F.expr("up > 1 or up = 1 and down = 1"))).first()
+            if open_ends == 0:
                 break
-            before = (count, mark)
             both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
             large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -188,7 +182,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def if_few(rows: DataFrame) -> DataFrame:
-    """``rows`` (staged or held, a few short columns), marked for broadcast if a count shows that there are few."""
+    """``rows`` (staged, a few short columns), marked for broadcast if a count shows that there are few."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
@@ -266,10 +260,14 @@ def linked(
     """
     with Scratch(sets.sparkSession, "linked") as scratch:
         keyed = sets.select("id", "weight", F.explode("keys").alias("key"))
-        leaders = keyed.groupBy("key").agg(F.max_by("id", "weight").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+        found = keyed.groupBy("key").agg(F.max_by("id", "weight").alias("a"), F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
+        leaders = scratch.stage(found, "leaders")
+        # the members of a bucket of two are known by now; only for larger ones the sets are read again
+        two = leaders.where("n = 2").select("key", "a", F.explode(F.array("lo", "hi")).alias("b"))
         with settings(sets.sparkSession, spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=HASHED):
-            shared = scratch.stage(keyed.join(leaders, "key").select("key", "a", F.col("id").alias("b")), "buckets")
-        texts = scratch.hold(fetch(scratch.hold(shared.select(F.col("b").alias("id")).distinct())))
+            shared = scratch.stage(keyed.join(if_few(leaders.where("n > 2").select("key", "a")), "key").select("key", "a", F.col("id").alias("b")).union(two), "buckets")
+        # staged, not held: a held table's whole plan would stand in every plan that reads it, and all of those stay with the driver
+        texts = scratch.stage(fetch(scratch.stage(shared.select(F.col("b").alias("id")).distinct(), "sharing")), "texts")
         pairs = shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = verify(pairs, texts)
         first = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)

@@ -48,7 +48,8 @@ def _key(docs: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, pos, line, h1, h2) of every line that holds more than white space."""
     found = _key(docs.select("doc_id", "text")).select("doc_id", "row_key", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return found.where(F.btrim("line", F.lit(WHITE)) != "").withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
+    # the left end tells already whether a line is white throughout; btrim would also walk all others to their right end
+    return found.where(F.ltrim("line", F.lit(WHITE)) != "").withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(7), "line"))
 
 
 def _turned(x: F.Column, bits: int) -> F.Column:
@@ -130,9 +131,11 @@ def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, copies:
 
         def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-            sets = F.struct(_shingles(F.col("x"), shingle).alias("s"), _shingles(F.col("y"), shingle).alias("t"))
-            good = let(sets, lambda p: 100 * F.size(F.array_intersect(p["s"], p["t"])) >= percent * F.size(F.array_union(p["s"], p["t"])))
-            return both.where(good).select("a", "b")
+            # a condition on the partition's number keeps the optimizer from copying the sets into the filter, where they
+            # would be made again for each use; outside of a lambda they are met by generated code
+            s, t = (F.when(F.spark_partition_id() >= 0, F.array_distinct(_shingles(F.col(c), shingle))) for c in ("x", "y"))
+            sets = both.select("a", "b", s.alias("s"), t.alias("t"))
+            return sets.where((100 + percent) * F.size(F.array_intersect("s", "t")) >= percent * (F.size("s") + F.size("t"))).select("a", "b")
 
         def elements(texts: DataFrame) -> DataFrame:
             return texts.select("id", F.array_distinct(_shingles(F.col("text"), shingle)).alias("items"))
@@ -183,7 +186,7 @@ def keep_first_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, copie
     removed = _by_document(removed_lines(docs, shingle, percent, copies)).toDF(key, gone)
     joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(removed, key, "left")
     kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(_others(F.split("text", "\n"), F.col(gone)), "\n"))
-    good = F.btrim("text", F.lit(WHITE)) != ""
+    good = F.ltrim("text", F.lit(WHITE)) != ""
     new = joined.withColumn("text", kept).where(F.col(gone).isNull() | (good & still(F.col("text")) if still else good))
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

@@ -92,6 +92,33 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(3001)) and len([r for r in got if r >= 5000]) == 98 and min(got) == 0
 
 
+@pytest.mark.parametrize(("edges", "tables"), [([(i, 0) for i in range(1, 9)], 1), ([(3, 1), (3, 2)], 2), ([], 1)])
+def test_components_end_when_stars_are_left(spark, monkeypatch, edges, tables):
+    made, stage = [], _common.Scratch.stage
+    monkeypatch.setattr(_common.Scratch, "stage", lambda self, df, name, *more: made.append(name) or stage(self, df, name, *more))
+    got = {(r.id, r.root) for r in _common.components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    least = min((min(e) for e in edges), default=None)
+    assert got == {(i, least) for e in edges for i in e}
+    assert made.count("edges") == tables
+
+
+def test_linked_holds_no_table_and_reads_sets_once_for_buckets_of_two(spark, monkeypatch):
+    # a held table's plan stands in all plans above it
+    plans, stage = {}, _common.Scratch.stage
+
+    def seen(self, df, name, *more):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return stage(self, df, name, *more)
+
+    monkeypatch.setattr(_common.Scratch, "stage", seen)
+    text = "one line of text that stands in two documents with a letter changed "
+    rows = [(1, text * 3 + "a"), (2, text * 3 + "b"), (3, "something else altogether, in a single document only")]
+    got = {(r.doc_id, r.n_removed) for r in line_dedup.decisions(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(1, 0), (2, 1), (3, 0)}
+    assert not any("InMemoryRelation" in plan for plan in plans.values())
+    assert "max_by" not in plans["buckets"]
+
+
 def test_hot_bucket_in_cells(spark, monkeypatch):
     monkeypatch.setattr(_prefix, "CELL", 4)
     rng, base = np.random.default_rng(1), [f"w{i}" for i in range(40)]
