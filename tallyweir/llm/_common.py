@@ -190,6 +190,10 @@ def if_few(rows: DataFrame) -> DataFrame:
 HASHED = "64m"
 
 
+#: Bytes of a generated method up to which an operator that looks at wide pairs is one.
+LONG_METHOD = "4000"
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """The session with other settings (``__`` in names stands for a dot), for what is computed inside."""
@@ -211,22 +215,28 @@ WORDS = 32
 def sketches(owned: DataFrame) -> DataFrame:
     """(id, size, w0, w1, ..., bits): a set's size, a bit field in which each element sets one bit, and the number of bits set.
 
-    ``owned`` is (id, items array<bigint>), items distinct. A set is one row, so it is folded
-    before the exchange.
+    ``owned`` is (id, items array<bigint>), items distinct, dealt out by id, so
+    that a set is folded where it is: word by word, then into one row.
     """
-    bits = owned.select("id", F.explode("items").alias("s")).select("id", F.pmod("s", F.lit(WORDS)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 58) as int))").alias("bit"))
-    made = bits.groupBy("id").agg(F.count("*").alias("size"), *[F.coalesce(F.bit_or(F.when(F.col("w") == w, F.col("bit"))), F.lit(0)).cast("long").alias(f"w{w}") for w in range(WORDS)])
-    return made.withColumn("bits", F.expr(" + ".join(f"bit_count(w{w})" for w in range(WORDS))))
+    each = owned.select("id", F.size("items").cast("long").alias("size"), F.explode("items").alias("s"))
+    bits = each.select("id", "size", F.pmod("s", F.lit(WORDS)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 58) as int))").alias("bit"))
+    words = bits.groupBy("id", "size", "w").agg(F.bit_or("bit").alias("word"))
+    made = words.groupBy("id", "size").agg(*[F.coalesce(F.max(F.when(F.col("w") == w, F.col("word"))), F.lit(0)).cast("long").alias(f"w{w}") for w in range(WORDS)])
+    return made.withColumn("bits", F.expr(" + ".join(f"bit_count(w{w})" for w in range(WORDS))).cast("long"))
 
 
-def sketch_most() -> F.Column:
-    """The most elements that two sets of :func:`sketches` can share: a bit of one that the other lacks is an element of its own.
+def may_be_linked(percent: int) -> F.Column:
+    """Whether two sets of :func:`sketches` can have a Jaccard index of ``percent``.
 
+    A bit of one that the other lacks is an element of its own, so they share
+    at most the common bits and those elements that set no bit of their own.
     Close to the truth while sets are small against the number of bits, valid for all.
     """
     # one count of common bits a pair keeps the generated code of the join small
     common = F.expr(" + ".join(f"bit_count(w{w} & w{w}_2)" for w in range(WORDS)))
-    return common + F.least(F.col("size") - F.col("bits"), F.col("size_2") - F.col("bits_2"))
+    most = common + F.least(F.col("size") - F.col("bits"), F.col("size_2") - F.col("bits_2"))
+    near = F.expr(f"100 * size_2 >= {percent} * size and 100 * size >= {percent} * size_2")
+    return near & ((100 + percent) * most >= percent * (F.col("size") + F.col("size_2")))
 
 
 #: Members up to which all pairs of a bucket are looked at, some 0.1 ms a member; members of larger ones meet by rare elements.
@@ -238,6 +248,7 @@ def linked(
     fetch: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame, DataFrame], DataFrame],
     elements: Callable[[DataFrame], DataFrame],
+    sketch: Callable[[DataFrame], DataFrame],
     percent: int,
     place: Scratch,
 ) -> DataFrame:
@@ -245,11 +256,14 @@ def linked(
 
     ``sets`` is a staged table (id, weight, keys), ids unique, keys one per band;
     ``fetch`` takes all ids that share a key and returns (id, text), the only
-    time that texts are looked up; ``verify`` takes pairs (a, b) and those texts
-    and returns the pairs that are truly linked. First every member is held
-    against its bucket's member of the largest weight (how often its text
-    occurs: an original rather than a changed copy), so a hot bucket costs one
-    pair per member and is pre-aggregated before the exchange. After the
+    time that texts are looked up; ``verify`` takes pairs (a, b, total), total the
+    sum of their sets' sizes, and those texts,
+    and returns the pairs that are truly linked; ``sketch`` returns the sketches
+    of those texts, whose bound drops most other pairs before. First every
+    member is held against its bucket's member of the largest weight (how often
+    its text occurs: an original rather than a changed copy; the same one in all
+    buckets that hold several of one weight), so a hot bucket costs one pair per
+    member and is pre-aggregated before the exchange. After the
     union-find only buckets whose members are in different components are left:
     pairs inside a component cannot change it. In a bucket of up to BUCKET
     members all pairs of different components are held against the bound of
@@ -259,8 +273,10 @@ def linked(
     is lost. The links found then join the components of before.
     """
     with Scratch(sets.sparkSession, "linked") as scratch:
-        keyed = sets.select("id", "weight", F.explode("keys").alias("key"))
-        found = keyed.groupBy("key").agg(F.max_by("id", "weight").alias("a"), F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
+        # weights first, then a hash of the id, in one number
+        rank = F.least("weight", F.lit((1 << 22) - 1)) * F.lit(1 << 40) + F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))
+        keyed = sets.select("id", rank.alias("rank"), F.explode("keys").alias("key"))
+        found = keyed.groupBy("key").agg(F.max_by("id", "rank").alias("a"), F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
         leaders = scratch.stage(found, "leaders")
         # the members of a bucket of two are known by now; only for larger ones the sets are read again
         two = leaders.where("n = 2").select("key", "a", F.explode(F.array("lo", "hi")).alias("b"))
@@ -268,25 +284,35 @@ def linked(
             shared = scratch.stage(keyed.join(if_few(leaders.where("n > 2").select("key", "a")), "key").select("key", "a", F.col("id").alias("b")).union(two), "buckets")
         # staged, not held: a held table's whole plan would stand in every plan that reads it, and all of those stay with the driver
         texts = scratch.stage(fetch(scratch.stage(shared.select(F.col("b").alias("id")).distinct(), "sharing")), "texts")
-        pairs = shared.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        sketched = scratch.stage(sketch(texts), "sketches")
+        other = sketched.select(*[F.col(c).alias(f"{c}_2") for c in sketched.columns])
+        pairs = shared.where("a <> b").select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("id_2")).distinct()
+        pairs = pairs.join(sketched, "id").join(other, "id_2").where(may_be_linked(percent)).select(F.col("id").alias("a"), F.col("id_2").alias("b"), (F.col("size") + F.col("size_2")).alias("total"))
         links = verify(pairs, texts)
         first = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
         rooted = shared.join(first.withColumnRenamed("id", "b"), "b", "left").select("key", "a", "b", F.coalesce("root", "b").alias("root"))
         # the leader has met everyone; only other members can still be linked across components
         mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key", "n")
         rest = scratch.stage(rooted.join(mixed, "key").where("a <> b").select("key", "n", F.col("b").alias("id"), "root"), "rest")
-        few, many = rest.where(F.col("n") <= BUCKET), rest.where(F.col("n") > BUCKET).select("id", "root").distinct()
-        sketched = scratch.stage(sketches(elements(texts.join(if_few(few.select("id").distinct()), "id", "left_semi"))), "sketches")
-        each = few.join(sketched, "id").drop("n")
+        largest = rest.agg(F.max("n")).first()[0]
+        if largest is None:
+            return place.stage(first, "roots")
+        each = rest.where(F.col("n") <= BUCKET).join(sketched, "id").drop("n")
         other = each.select("key", *[F.col(c).alias(f"{c}_2") for c in each.columns if c != "key"])
-        bound = (100 + percent) * sketch_most() >= percent * (F.col("size") + F.col("size_2"))
-        close = each.join(other, "key").where((F.col("root") < F.col("root_2")) & bound)
-        close = close.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"), F.col("root").alias("x"), F.col("root_2").alias("y")).distinct()
-        items = elements(texts.join(if_few(many.select("id")), "id", "left_semi"))
-        sets_of = items.select("id", F.size("items").cast("long").alias("n"), "items").join(many, "id")
-        far = meetings(listed(sets_of, percent, "root"), percent, scratch).select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        across = scratch.stage(close.union(far).dropDuplicates(["a", "b"]), "across")
-        more = scratch.stage(verify(across.select("a", "b"), texts).join(across, ["a", "b"]).select(F.col("x").alias("src"), F.col("y").alias("dst")), "more")
+        close = each.join(other, "key").where((F.col("root") < F.col("root_2")) & may_be_linked(percent))
+        close = close.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"), F.col("root").alias("x"), F.col("root_2").alias("y"), (F.col("size") + F.col("size_2")).alias("total"))
+        if largest > BUCKET:
+            many = rest.where(F.col("n") > BUCKET).select("id", "root").distinct()
+            items = elements(texts.join(if_few(many.select("id")), "id", "left_semi"))
+            sets_of = items.select("id", F.size("items").cast("long").alias("n"), "items").join(many, "id")
+            far = meetings(listed(sets_of, percent, "root"), percent, scratch)
+            for end in ("a", "b"):
+                far = far.join(sketched.select(F.col("id").alias(end), F.col("size").alias(f"size_{end}")), end)
+            close = close.union(far.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("size_a") + F.col("size_b")))
+        # loops over pairs of so many columns are too long to be compiled well in one method
+        with settings(sets.sparkSession, spark__sql__codegen__hugeMethodLimit=LONG_METHOD):
+            across = scratch.stage(close.dropDuplicates(["a", "b"]), "across")
+        more = scratch.stage(verify(across.select("a", "b", "total"), texts).join(across, ["a", "b"]).select(F.col("x").alias("src"), F.col("y").alias("dst")), "more")
         if more.isEmpty():
             return place.stage(first, "roots")
         second = components(more, scratch)

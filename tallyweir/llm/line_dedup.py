@@ -27,7 +27,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm._common import Scratch, if_few, linked, stage, unused
+from tallyweir.llm._common import Scratch, if_few, linked, sketches, stage, unused
 from tallyweir.llm.quality import WHITE, let
 
 #: Characters are UTF-16 units, so that places in a line are places in its bytes.
@@ -131,16 +131,16 @@ def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, copies:
 
         def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
-            # a condition on the partition's number keeps the optimizer from copying the sets into the filter, where they
-            # would be made again for each use; outside of a lambda they are met by generated code
-            s, t = (F.when(F.spark_partition_id() >= 0, F.array_distinct(_shingles(F.col(c), shingle))) for c in ("x", "y"))
-            sets = both.select("a", "b", s.alias("s"), t.alias("t"))
-            return sets.where((100 + percent) * F.size(F.array_intersect("s", "t")) >= percent * (F.size("s") + F.size("t"))).select("a", "b")
+            # a condition on the partition's number keeps the optimizer from moving the sets into the filter; outside of a
+            # lambda they are met by generated code, which passes over repeated ones
+            s, t = (F.when(F.spark_partition_id() >= 0, _shingles(F.col(c), shingle)) for c in ("x", "y"))
+            sets = both.select("a", "b", "total", s.alias("s"), t.alias("t"))
+            return sets.where((100 + percent) * F.size(F.array_intersect("s", "t")) >= percent * F.col("total")).select("a", "b")
 
         def elements(texts: DataFrame) -> DataFrame:
             return texts.select("id", F.array_distinct(_shingles(F.col("text"), shingle)).alias("items"))
 
-        roots = linked(signed.select("id", "weight", "keys"), fetch, confirmed, elements, percent, scratch)
+        roots = linked(signed.select("id", "weight", "keys"), fetch, confirmed, elements, lambda texts: sketches(elements(texts.repartition("id"))), percent, scratch)
         # lines that occur once and are linked with none stay, and take no further part
         groups = signed.select("id", "h1", "h2", "weight").join(if_few(roots), "id", "left").where("weight > 1 or root is not null")
         named = scratch.stage(groups.select("h1", "h2", F.coalesce("root", "id").alias("g")), "groups")

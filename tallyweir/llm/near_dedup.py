@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.llm._arrays import mix, word_shingles
-from tallyweir.llm._common import Scratch, if_few, linked, map_arrow, stage, unused
+from tallyweir.llm._common import Scratch, if_few, linked, map_arrow, sketches, stage, unused
 
 #: Bands and rows in each. At a similarity of 0.85 a pair shares no band with a chance of 4e-7, at 0.8 of 5e-5.
 BANDS, ROWS = 25, 5
@@ -135,7 +135,7 @@ def _labelled(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int
             wanted = scratch.stage(classes.join(if_few(ids), "id", "left_semi").select("id", "t1", "t2"), "wanted")
             return printed(docs.select("text")).join(if_few(wanted), ["t1", "t2"]).dropDuplicates(["id"]).select("id", "text")
 
-        roots = linked(classes.select("id", "weight", "keys"), fetch, lambda pairs, texts: confirmed(pairs, texts, shingle, percent), lambda texts: shingle_sets(texts, shingle), percent, scratch)
+        roots = linked(classes.select("id", "weight", "keys"), fetch, lambda pairs, texts: confirmed(pairs, texts, shingle, percent), lambda texts: shingle_sets(texts, shingle), lambda texts: sketches(shingle_sets(texts, shingle).repartition("id")), percent, scratch)
         rooted = classes.join(if_few(roots), "id", "left").select("f1", "f2", F.col("n").alias("m"), "rep", "id", F.coalesce("root", "id").alias("group"))
         groups = rooted.groupBy("group").agg(F.min("rep").alias("component"))
         named = scratch.stage(rooted.join(groups, "group").drop("rep"), "named")

@@ -119,6 +119,33 @@ def test_linked_holds_no_table_and_reads_sets_once_for_buckets_of_two(spark, mon
     assert "max_by" not in plans["buckets"]
 
 
+def test_small_buckets_stage_no_lists(spark, monkeypatch):
+    # lists of rare elements are for large buckets only: their plans stayed with the driver although they were empty
+    made, stage = [], _common.Scratch.stage
+    monkeypatch.setattr(_common.Scratch, "stage", lambda self, df, name, *more: made.append(name) or stage(self, df, name, *more))
+    rng, base = np.random.default_rng(1), [f"w{i}" for i in range(40)]
+    texts = []
+    for _ in range(40):
+        text = list(base)
+        for at in rng.choice(40, 4, replace=False):
+            text[at] = f"v{int(rng.integers(0, 3))}"
+        texts.append(" ".join(text))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 3, 70, bands=60, rows=2).collect()}
+    assert got == dict(enumerate(_groups(texts, 3, 70)))
+    assert "across" in made and not {"lists", "cells"} & set(made)
+
+
+def test_only_pairs_that_sketches_let_through_are_verified(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, texts, *more, f=near_dedup.confirmed: held.append(pairs.count()) or f(pairs, texts, *more))
+    half = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*half, *[f"u{i}x{j}" for j in range(60)]])) for i in range(30)]
+    rows.append((30, rows[0][1] + " more"))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 80, bands=60, rows=2).collect()}
+    assert got == {**{i: i for i in range(30)}, 30: 0}
+    assert sum(held) <= 2
+
+
 def test_hot_bucket_in_cells(spark, monkeypatch):
     monkeypatch.setattr(_prefix, "CELL", 4)
     rng, base = np.random.default_rng(1), [f"w{i}" for i in range(40)]
