@@ -36,8 +36,8 @@ UNITS = "UTF-16BE"
 BANDS, ROWS = 8, 3
 #: Orders of the elements: a hash turned by this many bits, so that other bits lead, with its first two bits flipped by
 #: these masks, so that each order prefers another quarter of the hashes.
-_TURNS, _QUARTERS = tuple(range(0, 64, 8)), (0, 1 << 62, -(1 << 62))
-#: Elements that an order's quarter holds, on average, at least among those handed on.
+_TURNS, _QUARTERS = (0, 11, 21, 32, 43, 53), (0, 1 << 62, -(1 << 62), -(1 << 63))
+#: Elements that an order's quarter holds, on average, among those handed on.
 _FEW = 4
 
 
@@ -61,27 +61,25 @@ def signatures(lines: DataFrame, shingle: int) -> DataFrame:
     """(h1, h2, weight, keys) of every distinct line: occurrences and band keys.
 
     Every shingle is hashed. Of a long line only shingles that can be a minimum
-    are handed on to the aggregation: those whose hash, in one of the orders,
-    has zeros behind its first two bits, as many as leave at least _FEW shingles
-    a quarter on average. The window depends on the number of shingles; where
-    it is empty for an order (a chance of e**-_FEW at most), that order's value
+    are handed on to the aggregation: those whose hash, in one of the orders, is
+    small behind its first two bits, under a limit that leaves _FEW shingles a
+    quarter on average. The limit depends on the number of shingles; where no
+    shingle of a quarter is under it (a chance of e**-_FEW), that order's value
     is the minimum of what the other orders let through.
     """
     n = F.greatest(F.expr(f"cast(length(units) div 2 as int) - {shingle - 1}"), F.lit(1))
-    free = F.greatest(F.lit(0), F.floor(F.log2(F.col("n") / (4 * _FEW)))).cast("int")
-    wide = lines.select("h1", "h2", F.encode("line", UNITS).alias("units")).withColumn("n", n).withColumn("free", free)
-    window = F.expr("shiftleft(shiftleft(1L, free) - 1L, 62 - free)")
-    wide = wide.withColumn("window", window).select("h1", "h2", "units", "n", *[_turned(F.col("window"), (64 - t) % 64).alias(f"w{t}") for t in _TURNS])
-    each = wide.select("h1", "h2", "units", *[f"w{t}" for t in _TURNS], F.explode(F.sequence(F.lit(1), F.col("n") * 2 - 1, F.lit(2))).alias("i"))
+    wide = lines.select("h1", "h2", F.encode("line", UNITS).alias("units")).withColumn("n", n)
+    limit = F.expr(f"cast({float(1 << 62)}D * least(1D, {_FEW * len(_QUARTERS)}D / n) as bigint)")
+    each = wide.withColumn("limit", limit).select("h1", "h2", "units", "limit", F.explode(F.sequence(F.lit(1), F.col("n") * 2 - 1, F.lit(2))).alias("i"))
     # the zero from the partition's number keeps the optimizer from copying the hash into each condition of the filter
     zero = F.spark_partition_id().bitwiseAND(F.lit(0)).cast("long")
-    hashed = each.select("h1", "h2", *[f"w{t}" for t in _TURNS], (F.col("i") == 1).alias("first"), F.xxhash64(F.substring("units", F.col("i"), F.lit(2 * shingle))).bitwiseOR(zero).alias("s"))
-    near = [F.col("s").bitwiseAND(F.col(f"w{t}")) == 0 for t in _TURNS]
+    hashed = each.select("h1", "h2", "limit", (F.col("i") == 1).alias("first"), F.xxhash64(F.substring("units", F.col("i"), F.lit(2 * shingle))).bitwiseOR(zero).alias("s"))
+    near = [_turned(F.col("s"), t).bitwiseAND(F.lit((1 << 62) - 1)) < F.col("limit") for t in _TURNS]
     handed = hashed.where(reduce(or_, near, F.col("first")))
     minima = [F.min(_turned(F.col("s"), t).bitwiseXOR(F.lit(q))) for t in _TURNS for q in _QUARTERS]
     signed = handed.groupBy("h1", "h2").agg(F.count_if("first").alias("weight"), *[m.alias(f"m{i}") for i, m in enumerate(minima)])
     # a band's minima are of three turns and three quarters; each minimum is in one band
-    keys = [F.xxhash64(F.lit(b), *[f"m{3 * ((b + 3 * r) % 8) + r}" for r in range(ROWS)]) for b in range(BANDS)]
+    keys = [F.xxhash64(F.lit(b), *[f"m{4 * (b % 2 * ROWS + r) + (b // 2 + r) % 4}" for r in range(ROWS)]) for b in range(BANDS)]
     return signed.select("h1", "h2", "weight", F.array(*keys).alias("keys"))
 
 
@@ -138,7 +136,8 @@ def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, copies:
             return sets.where((100 + percent) * F.size(F.array_intersect("s", "t")) >= percent * F.col("total")).select("a", "b")
 
         def elements(texts: DataFrame) -> DataFrame:
-            return texts.select("id", F.array_distinct(_shingles(F.col("text"), shingle)).alias("items"))
+            # as above: else the set would be made again for its size
+            return texts.select("id", F.when(F.spark_partition_id() >= 0, F.array_distinct(_shingles(F.col("text"), shingle))).alias("items"))
 
         roots = linked(signed.select("id", "weight", "keys"), fetch, confirmed, elements, lambda texts: sketches(elements(texts.repartition("id"))), percent, scratch)
         # lines that occur once and are linked with none stay, and take no further part
@@ -166,7 +165,8 @@ def _by_document(removed: DataFrame) -> DataFrame:
 def decisions(docs: DataFrame, shingle: int = 9, percent: int = 80) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every row of ``docs``."""
     gone = _by_document(removed_lines(docs, shingle, percent))
-    keyed = _key(docs.select("doc_id", "text")).select("doc_id", "row_key", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    keyed = _key(docs.select("doc_id", "text")).select("doc_id", "row_key", F.coalesce(breaks + 1, F.lit(0)).alias("n_lines"))
     joined = keyed.join(gone, "row_key", "left")
     return joined.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
 
