@@ -212,16 +212,22 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
 WORDS = 32
 
 
-def sketches(owned: DataFrame) -> DataFrame:
+def sketches(owned: DataFrame, groups: int = WORDS) -> DataFrame:
     """(id, size, w0, w1, ..., bits): a set's size, a bit field in which each element sets one bit, and the number of bits set.
 
     ``owned`` is (id, items array<bigint>), items distinct, dealt out by id, so
-    that a set is folded where it is: word by word, then into one row.
+    that a set is folded where it is: into a row for each of ``groups`` of words
+    (a divisor of WORDS; with fewer there are fewer rows to find, but each has more words), then into one row.
     """
     each = owned.select("id", F.size("items").cast("long").alias("size"), F.explode("items").alias("s"))
     bits = each.select("id", "size", F.pmod("s", F.lit(WORDS)).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 58) as int))").alias("bit"))
-    words = bits.groupBy("id", "size", "w").agg(F.bit_or("bit").alias("word"))
-    made = words.groupBy("id", "size").agg(*[F.coalesce(F.max(F.when(F.col("w") == w, F.col("word"))), F.lit(0)).cast("long").alias(f"w{w}") for w in range(WORDS)])
+    if groups < WORDS:
+        bits = bits.select("id", "size", F.expr(f"w % {groups}").alias("w"), F.expr(f"w div {groups}").alias("k"), "bit")
+        held = [F.bit_or(F.when(F.col("k") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))) for k in range(WORDS // groups)]
+    else:
+        held = [F.bit_or("bit")]
+    words = bits.groupBy("id", "size", "w").agg(*[h.alias(f"word{k}") for k, h in enumerate(held)])
+    made = words.groupBy("id", "size").agg(*[F.coalesce(F.max(F.when(F.col("w") == w % groups, F.col(f"word{w // groups}"))), F.lit(0)).cast("long").alias(f"w{w}") for w in range(WORDS)])
     return made.withColumn("bits", F.expr(" + ".join(f"bit_count(w{w})" for w in range(WORDS))).cast("long"))
 
 
@@ -254,7 +260,8 @@ def linked(
 ) -> DataFrame:
     """Components of sets that share a band key and pass ``verify``: (id, root), staged in ``place``, ids without a link left out.
 
-    ``sets`` is a staged table (id, weight, keys), ids unique, keys one per band;
+    ``sets`` is a staged table (id, weight, keys), ids unique, keys one per band
+    (without a weight, the larger of two ids stands for the larger weight);
     ``fetch`` takes all ids that share a key and returns (id, text), the only
     time that texts are looked up; ``verify`` takes pairs (a, b, total), total the
     sum of their sets' sizes, and those texts,
@@ -273,10 +280,15 @@ def linked(
     is lost. The links found then join the components of before.
     """
     with Scratch(sets.sparkSession, "linked") as scratch:
-        # weights first, then a hash of the id, in one number
-        rank = F.least("weight", F.lit((1 << 22) - 1)) * F.lit(1 << 40) + F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))
-        keyed = sets.select("id", rank.alias("rank"), F.explode("keys").alias("key"))
-        found = keyed.groupBy("key").agg(F.max_by("id", "rank").alias("a"), F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1")
+        ends = [F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")]
+        if "weight" in sets.columns:
+            # weights first, then a hash of the id, in one number
+            rank = F.least("weight", F.lit((1 << 22) - 1)) * F.lit(1 << 40) + F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))
+            keyed = sets.select("id", rank.alias("rank"), F.explode("keys").alias("key"))
+            found = keyed.groupBy("key").agg(F.max_by("id", "rank").alias("a"), *ends).where("n > 1")
+        else:
+            keyed = sets.select("id", F.explode("keys").alias("key"))
+            found = keyed.groupBy("key").agg(*ends).where("n > 1").withColumn("a", F.col("hi"))
         leaders = scratch.stage(found, "leaders")
         # the members of a bucket of two are known by now; only for larger ones the sets are read again
         two = leaders.where("n = 2").select("key", "a", F.explode(F.array("lo", "hi")).alias("b"))

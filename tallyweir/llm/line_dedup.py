@@ -27,7 +27,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweir.llm._common import Scratch, if_few, linked, sketches, stage, unused
+from tallyweir.llm._common import Scratch, if_few, linked, settings, sketches, stage, unused
 from tallyweir.llm.quality import WHITE, let
 
 #: Characters are UTF-16 units, so that places in a line are places in its bytes.
@@ -120,12 +120,21 @@ def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, copies:
     """
     lines = lines_of(docs)
     with Scratch(docs.sparkSession, "line-dedup") as scratch:
-        # distinct lines are numbered: no two share an id
-        signed = scratch.stage(signatures(lines, shingle).withColumn("id", F.monotonically_increasing_id()), "signatures")
+        # distinct lines are numbered, no two alike: first by weight, which makes leaders of buckets, then by partition and row
+        number = F.least("weight", F.lit((1 << 13) - 1)) * F.lit(1 << 50) + F.monotonically_increasing_id()
+        # hardly a value stands in it twice
+        with settings(docs.sparkSession, parquet__enable__dictionary="false"):
+            signed = scratch.stage(signatures(lines, shingle).withColumn("id", number), "signatures")
+        held: list[DataFrame] = []
 
         def fetch(ids: DataFrame) -> DataFrame:
-            wanted = scratch.stage(signed.join(if_few(ids), "id", "left_semi").select("id", "h1", "h2"), "wanted")
-            return lines.select("h1", "h2", "line").join(if_few(wanted), ["h1", "h2"]).groupBy("id").agg(F.min("line").alias("text"))
+            # all places of lines that occur twice or share a key, so that the documents need not be cut into lines again
+            shared = if_few(ids).withColumn("shared", F.lit(True))
+            wanted = signed.join(shared, "id", "left").where("weight > 1 or shared").select("id", "h1", "h2", (F.col("weight") > 1).alias("twice"), "shared")
+            wanted = scratch.stage(wanted, "wanted")
+            found = lines.select("doc_id", "row_key", "pos", F.length("line").alias("chars"), "h1", "h2", "line").join(if_few(wanted), ["h1", "h2"])
+            held.append(scratch.stage(found.select("id", "twice", "doc_id", "row_key", "pos", "chars", F.when(F.col("shared"), F.col("line")).alias("line")), "found"))
+            return held[0].where("line is not null").groupBy("id").agg(F.min("line").alias("text"))
 
         def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
@@ -139,12 +148,10 @@ def removed_lines(docs: DataFrame, shingle: int = 9, percent: int = 80, copies:
             # as above: else the set would be made again for its size
             return texts.select("id", F.when(F.spark_partition_id() >= 0, F.array_distinct(_shingles(F.col("text"), shingle))).alias("items"))
 
-        roots = linked(signed.select("id", "weight", "keys"), fetch, confirmed, elements, lambda texts: sketches(elements(texts.repartition("id"))), percent, scratch)
+        roots = linked(signed.select("id", "keys"), fetch, confirmed, elements, lambda texts: sketches(elements(texts.repartition("id")), 8), percent, scratch)
         # lines that occur once and are linked with none stay, and take no further part
-        groups = signed.select("id", "h1", "h2", "weight").join(if_few(roots), "id", "left").where("weight > 1 or root is not null")
-        named = scratch.stage(groups.select("h1", "h2", F.coalesce("root", "id").alias("g")), "groups")
-        found = lines.select("doc_id", "row_key", "pos", "h1", "h2", F.length("line").alias("chars")).join(if_few(named), ["h1", "h2"])
-        places = scratch.stage(found.select("g", F.struct("doc_id", "row_key", "pos").alias("at"), "chars"), "places")
+        found = held[0].drop("line").join(if_few(roots), "id", "left").where("twice or root is not null")
+        places = scratch.stage(found.select(F.coalesce("root", "id").alias("g"), F.struct("doc_id", "row_key", "pos").alias("at"), "chars"), "places")
         keepers = scratch.stage(places.groupBy("g").agg(F.min("at").alias("keep")), "keepers")
         gone = places.join(if_few(keepers), "g").where(~F.col("at").eqNullSafe(F.col("keep"))).select("at.*", "g", "chars", F.col("keep.row_key").alias("keeper"))
         if copies is not None:

@@ -119,6 +119,29 @@ def test_linked_holds_no_table_and_reads_sets_once_for_buckets_of_two(spark, mon
     assert "max_by" not in plans["buckets"]
 
 
+def test_lines_are_cut_for_signatures_and_places_only(spark, monkeypatch):
+    # documents were cut into lines a third time, for the places of what was found
+    cut, stage = [], _common.Scratch.stage
+
+    def seen(self, df, name, *more):
+        if "posexplode" in df._jdf.queryExecution().optimizedPlan().toString():
+            cut.append(name)
+        return stage(self, df, name, *more)
+
+    monkeypatch.setattr(_common.Scratch, "stage", seen)
+    line = "one line of text that stands in two documents with a letter changed " * 3
+    rows = [(1, f"{line}a\nshort\nnothing like it stands anywhere else"), (2, f"{line}b\nshort"), (3, f"x\n{line}a"), (4, "x")]
+    got = {(r.doc_id, r.removed) for r in line_dedup.decisions(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(1, ""), (2, "0,1"), (3, "1"), (4, "0")}
+    assert cut == ["signatures", "found"]
+
+
+def test_sketches_of_fewer_groups_are_the_same(spark):
+    owned = spark.range(40).selectExpr("id", "array_distinct(transform(sequence(0L, id * 7), x -> xxhash64(x, id))) items").repartition("id")
+    want = {tuple(r) for r in _common.sketches(owned).collect()}
+    assert len(want) == 40 and {tuple(r) for r in _common.sketches(owned, 8).collect()} == want
+
+
 def test_small_buckets_stage_no_lists(spark, monkeypatch):
     # lists of rare elements are for large buckets only: their plans stayed with the driver although they were empty
     made, stage = [], _common.Scratch.stage
