@@ -309,9 +309,11 @@ def linked(
         largest = rest.agg(F.max("n")).first()[0]
         if largest is None:
             return place.stage(first, "roots")
-        each = rest.where(F.col("n") <= BUCKET).join(sketched, "id").drop("n")
+        # of the buckets that two members share, only that of the least key makes a row of them
+        held = rest.where(F.col("n") <= BUCKET).groupBy("id", "root").agg(F.collect_set("key").alias("keys"))
+        each = held.join(sketched, "id").withColumn("key", F.explode("keys"))
         other = each.select("key", *[F.col(c).alias(f"{c}_2") for c in each.columns if c != "key"])
-        close = each.join(other, "key").where((F.col("root") < F.col("root_2")) & may_be_linked(percent))
+        close = each.join(other, "key").where((F.col("root") < F.col("root_2")) & may_be_linked(percent) & (F.col("key") == F.array_min(F.array_intersect("keys", "keys_2"))))
         close = close.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"), F.col("root").alias("x"), F.col("root_2").alias("y"), (F.col("size") + F.col("size_2")).alias("total"))
         if largest > BUCKET:
             many = rest.where(F.col("n") > BUCKET).select("id", "root").distinct()
