@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import threading
 
 import duckdb
 import pytest
@@ -123,3 +124,22 @@ def test_date_ranges_reach_the_scan(spark):
     plan = queries.change_bridge(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     pushed = [line for line in plan.split("\n") if "PushedFilters" in line and "o_orderdate" in line]
     assert pushed and "GreaterThanOrEqual(o_orderdate" in pushed[0]
+
+
+def test_self_join_of_odd_and_many_rows(spark, tmp_path):
+    name, columns = "guarded_self_join", "c_nationkey int, c_custkey bigint"
+    odd = [(1, 1), (1, 2), (1, 2), (1, 2), (1, 5), (1, None), (2, 7), (2, 7), (3, 1), (4, None), (4, None), (4, 9), (None, 1), (None, 2), (5, -3), (5, 4)]
+    for part, rows in (("odd", odd), ("none", []), ("nulls", [(1, None), (1, None)])):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{part}/customer.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view customer as select * from '{tmp_path}/{part}/customer.parquet/*.parquet'")
+        assert plain(map(tuple, queries.QUERIES[name](spark, f"{tmp_path}/{part}").collect())) == plain(con.execute(queries.SQL[name]).fetchall())
+    # one by one, these 10^10 pairs take minutes
+    spark.range(200_000).selectExpr("cast(1 as int) as c_nationkey", "id as c_custkey").write.parquet(f"{tmp_path}/many/customer.parquet")
+    context = spark.sparkContext
+    timer = threading.Timer(40, context.cancelAllJobs)
+    timer.start()
+    try:
+        assert [tuple(r) for r in queries.QUERIES[name](spark, f"{tmp_path}/many").collect()] == [(1, 200_000 * 199_999 // 2)]
+    finally:
+        timer.cancel()
